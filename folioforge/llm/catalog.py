@@ -1,0 +1,35 @@
+"""Queries of the training-data problems; none but p2 lives outside this subpackage."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from folioforge.llm.packing import fill_report, pack_documents
+from folioforge.llm.tokens import encode_corpus
+from folioforge.plans.runtime import table
+
+
+def _p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_corpus(table(spark, sf, "documents"))
+
+
+def _p9_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(table(spark, sf, "documents"))
+
+
+def _p9_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_report(pack_documents(table(spark, sf, "documents")))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "p8_ids": _p8_ids,
+        "p9_containers": _p9_containers,
+        "p9_fill": _p9_fill,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
