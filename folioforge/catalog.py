@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.operators.timestamps import all_source_values, found_moments, normalise_timestamps
+from folioforge.plans.runtime import table
+
+
+def _p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return found_moments(*(table(spark, sf, t) for t in ("article_requests", "source_manifests", "publishers")))
+
+
+def _p2_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    return normalise_timestamps(all_source_values(*(table(spark, sf, t) for t in ("article_requests", "source_manifests", "publishers"))))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p2_found": _p2_found, "p2_normalised": _p2_normalised}
 
 
 def oracle_sql() -> dict[str, str]:
