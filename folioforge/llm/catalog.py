@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.packing import fill_report, pack_documents
+from folioforge.llm.site_lines import clean_bodies, repeated_lines, site_patterns
+from folioforge.llm.splitting import split_chunks, sufficient_boundaries
 from folioforge.llm.tokens import encode_corpus
 from folioforge.plans.runtime import table
 
 
+def _p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sufficient_boundaries(table(spark, sf, "chunks"))
+
+
+def _p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return split_chunks(table(spark, sf, "chunks"))
+
+
+def _p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_lines(table(spark, sf, "article_requests"), table(spark, sf, "publishers"))
+
+
+def _p6_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return site_patterns(table(spark, sf, "article_requests"), table(spark, sf, "publishers"))
+
+
+def _p6_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return clean_bodies(table(spark, sf, "article_requests"), table(spark, sf, "publishers"))
+
+
 def _p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
@@ -25,6 +47,11 @@ def _p9_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p4_found": _p4_found,
+        "p4_pieces": _p4_pieces,
+        "p6_found": _p6_found,
+        "p6_patterns": _p6_patterns,
+        "p6_bodies": _p6_bodies,
         "p8_ids": _p8_ids,
         "p9_containers": _p9_containers,
         "p9_fill": _p9_fill,
