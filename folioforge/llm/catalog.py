@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from folioforge.llm.packing import fill_report, pack_documents
+from folioforge.llm.quality import not_prose, text_quality
 from folioforge.llm.site_lines import clean_bodies, repeated_lines, site_patterns
 from folioforge.llm.splitting import split_chunks, sufficient_boundaries
 from folioforge.llm.tokens import encode_corpus
 from folioforge.plans.runtime import table
 
 
+def _p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicate_pairs(table(spark, sf, "article_requests"), table(spark, sf, "chunks"))
+
+
+def _p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf, "article_requests"), table(spark, sf, "chunks"))
+
+
 def _p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return sufficient_boundaries(table(spark, sf, "chunks"))
 
@@ -21,6 +31,14 @@ def _p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_chunks(table(spark, sf, "chunks"))
 
 
+def _p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return not_prose(table(spark, sf, "documents"))
+
+
+def _p5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return text_quality(table(spark, sf, "documents"))
+
+
 def _p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines(table(spark, sf, "article_requests"), table(spark, sf, "publishers"))
 
@@ -47,8 +65,12 @@ def _p9_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": _p1_found,
+        "p1_classes": _p1_classes,
         "p4_found": _p4_found,
         "p4_pieces": _p4_pieces,
+        "p5_found": _p5_found,
+        "p5_quality": _p5_quality,
         "p6_found": _p6_found,
         "p6_patterns": _p6_patterns,
         "p6_bodies": _p6_bodies,
