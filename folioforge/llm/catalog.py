@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
+from folioforge.llm.neighbours import close_pairs, nearest_records
 from folioforge.llm.packing import fill_report, pack_documents
 from folioforge.llm.quality import not_prose, text_quality
 from folioforge.llm.site_lines import clean_bodies, repeated_lines, site_patterns
@@ -23,6 +24,14 @@ def _p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf, "article_requests"), table(spark, sf, "chunks"))
 
 
+def _p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return close_pairs(table(spark, sf, "chunks"))
+
+
+def _p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest_records(table(spark, sf, "chunks"))
+
+
 def _p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return sufficient_boundaries(table(spark, sf, "chunks"))
 
@@ -67,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _p1_found,
         "p1_classes": _p1_classes,
+        "p3_found": _p3_found,
+        "p3_neighbours": _p3_neighbours,
         "p4_found": _p4_found,
         "p4_pieces": _p4_pieces,
         "p5_found": _p5_found,
