@@ -2,16 +2,17 @@
 
 Method: multi-index Hamming join. A text stands for the set of its three-word sequences. Its
 signature has 64 positions of 16 bits (the low bits of 64 minima of hashed sequences), cut
-into 16 chunks of 4 positions. By the pigeonhole principle two signatures that differ in at most 31 of
-64 positions have a chunk with at most one differing position; so each chunk is posted once per
+into chunks of 4 positions, 14 of which are posted. By the pigeonhole principle two signatures that differ
+in at most 27 of those 56 positions have a chunk with at most one differing position; so each chunk is posted once per
 allowed error (the position left out), and all pairs under that signature distance meet under
-a common key. A 64-bit sketch (one bit per position) drops chance meetings inside the join; the similarity is
-then computed on the whole sets.
+a common key. A 64-bit sketch (one bit per position) drops chance meetings inside the join, four bits per
+position drop most of the others; the similarity is then computed on the whole sets of the texts that remain.
 
-Scale: equal texts, then equal sequence sets, are one node from the start, so a text that a
-third of all rows hold costs one. Keys are joined by Spark's own join (skewed keys are split by
+Scale: equal sequence sets are one node from the start, so a text that a third of all rows hold
+costs one in the join. Keys are joined by Spark's own join (skewed keys are split by
 AQE); no group is gathered anywhere. A pair similar to the degree of exactly one half is
-found with probability 0.997 (1 - 0.6875 ** 16), at 0.6 with 0.99999.
+found with probability 0.98 (it misses all keys with probability 0.6875 ** 14 = 0.005, the sketches with
+0.01), at 0.6 with 0.999.
 """
 
 from __future__ import annotations
@@ -26,13 +27,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.plans.runtime import save_table
+from folioforge.plans.runtime import fan_out, save_table
 
 WORDS = 3
-POSITIONS, CHUNKS = 64, 16
+POSITIONS, CHUNKS = 64, 14
 SIMILARITY = 0.5
 #: Differing sketch bits up to which a meeting is looked at: 16 expected at similarity 0.5, with a spread of 3.5.
-SKETCH_BITS = 26
+SKETCH_BITS = 25
+#: The same for pairs that met under a single key.
+SINGLE_BITS = 20
+#: Positions that differ in four bits up to which a pair is computed: 30 expected at similarity 0.5, with a spread of 3.9.
+FINE_POSITIONS = 41
 #: Groups of copies up to this size are written as all their pairs, larger ones as pairs with their first record.
 EXPAND = 64
 _WORD = re.compile(r"[^\W_]+")
@@ -75,52 +80,67 @@ class Shingler:
         return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> tuple[np.ndarray, int]:
-    """(16 chunks of four 16-bit positions, as int64; sketch, as int64)."""
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """(chunks of four 16-bit positions, sketch of one bit per position, four words of four bits per position), all int64."""
     a, b = _permutations()
     low = ((shingles[None, :] * a + b) >> np.uint64(24)).min(axis=1)
     low = low * np.uint64(0x9E3779B97F4A7C15)
-    lanes = ((low >> np.uint64(40)) & np.uint64(0xFFFF)).reshape(CHUNKS, POSITIONS // CHUNKS)
-    chunks = np.zeros(CHUNKS, dtype=np.uint64)
-    for j in range(POSITIONS // CHUNKS):
-        chunks |= lanes[:, j] << np.uint64(16 * j)
-    bits = ((low >> np.uint64(60)) & np.uint64(1)).astype(np.uint64)
-    sketch = np.bitwise_or.reduce(bits << np.arange(POSITIONS, dtype=np.uint64))
-    return chunks.view(np.int64), int(np.uint64(sketch).view(np.int64))
+    lanes = ((low >> np.uint64(40)) & np.uint64(0xFFFF)).reshape(POSITIONS // 4, 4)
+    chunks = np.bitwise_or.reduce(lanes << np.arange(0, 64, 16, dtype=np.uint64), axis=1)
+    nibbles = ((low >> np.uint64(60)) & np.uint64(15)).reshape(4, 16)
+    fine = np.bitwise_or.reduce(nibbles << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
+    sketch = np.bitwise_or.reduce((nibbles.ravel() & np.uint64(1)) << np.arange(POSITIONS, dtype=np.uint64))
+    return chunks[:CHUNKS].view(np.int64), int(sketch.view(np.int64)), fine.view(np.int64)
+
+
+def _cls(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
 def signatures(records: DataFrame, words: int = WORDS) -> DataFrame:
-    """(kind, text_key, cls, n, chunks, sketch, shingles) of each distinct text with a word sequence.
+    """(kind, id, at, cls, chunks, sketch, fine) of each record with a word sequence.
 
     ``records`` has (kind INT, id STRING, at, text). cls is the 64-bit hash of the sequence set; texts of one
-    cls have the same set. shingles are 32-bit, enough for the sets of two texts.
+    cls have the same set. Narrow: texts are not shuffled.
     """
-    texts = records.groupBy("kind", F.xxhash64("text").alias("text_key"), F.length("text").alias("len_")).agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
-            keep, cls, n, chunks, sketches, sets = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                s = shingler(text)
-                if not len(s):
-                    continue
-                c, sketch = signature(s)
-                keep.append(i)
-                cls.append(int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)))
-                n.append(len(s))
-                chunks.append(c)
-                sketches.append(sketch)
-                sets.append((s & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-            at = pa.array(keep, pa.int32())
-            cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(chunks, pa.list_(pa.int64())), pa.array(sketches, pa.int64()), pa.array(sets, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["kind", "text_key", "cls", "n", "chunks", "sketch", "shingles"])
-
-    return texts.select("kind", "text_key", "text").mapInArrow(run, "kind int, text_key bigint, cls bigint, n int, chunks array<bigint>, sketch bigint, shingles array<int>")
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                keep, rows = [], []
+                for i, text in enumerate(batch.column(3).to_pylist()):
+                    s = shingler(text)
+                    if len(s):
+                        keep.append(i)
+                        rows.append((_cls(s), *signature(s)))
+                at = pa.array(keep, pa.int32())
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
+                cols = [batch.column(k).take(at) for k in range(3)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(cols, ["kind", "id", "at", "cls", "chunks", "sketch", "fine"])
+
+    src = records.select("kind", "id", F.unix_micros("at").alias("at"), "text")
+    return src.mapInArrow(run, "kind int, id string, at bigint, cls bigint, chunks array<bigint>, sketch bigint, fine array<bigint>")
+
+
+def _sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(cls, shingles) of texts; the sequences by 32-bit hashes, enough for the sets of two texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                sets = [shingler(t) for t in batch.column(0).to_pylist()]
+                low = [(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(_cls, sets)), pa.int64()), pa.array(low, pa.list_(pa.int32()))], ["cls", "shingles"])
+
+    return texts.select("text").mapInArrow(run, "cls bigint, shingles array<int>")
 
 
 def _keys(kind: Column, chunks: Column) -> Column:
-    """64 keys: each chunk with one of its four positions replaced by a tag of kind, chunk and position."""
+    """56 keys: each chunk with one of its four positions replaced by a tag of kind, chunk and position."""
     out = []
     for c in range(CHUNKS):
         for j in range(4):
@@ -130,15 +150,33 @@ def _keys(kind: Column, chunks: Column) -> Column:
     return F.array(*out)
 
 
-def similar_classes(sigs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(cls_a, cls_b, similarity) of different sequence sets alike to the given degree; cls_a < cls_b."""
-    nodes = sigs.select("kind", "cls", "chunks", "sketch").dropDuplicates(["kind", "cls"])
+def similar_classes(records: DataFrame, sigs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(cls_a, cls_b, similarity) of different sequence sets alike to the given degree; cls_a < cls_b.
+
+    A pair that met under one key only must also agree in the sketch more closely; chance meetings
+    are single ones, alike pairs meet under several keys.
+    """
+    first = F.min(F.struct("id", "chunks", "sketch", "fine")).alias("f")
+    nodes = save_table(sigs.groupBy("kind", "cls").agg(first).select("kind", "cls", "f.*"), "nodes")
     keyed = nodes.select(F.explode(_keys(F.col("kind"), F.col("chunks"))).alias("key"), "cls", "sketch").repartition("key")
     a, b = keyed.alias("a"), keyed.alias("b")
-    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= SKETCH_BITS)
-    pairs = a.join(b, meets).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
+    apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
+    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (apart <= SKETCH_BITS)
+    met = a.join(b, meets).groupBy(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).agg(F.count("*").alias("met"), F.min(apart).alias("apart"))
+    likely = met.where((F.col("met") > 1) | (F.col("apart") <= SINGLE_BITS)).select("cls_a", "cls_b")
+    fine = nodes.select("cls", "fine")
+    likely = likely.join(fine.select(F.col("cls").alias("cls_a"), F.col("fine").alias("fa")), "cls_a").join(fine.select(F.col("cls").alias("cls_b"), F.col("fine").alias("fb")), "cls_b")
+    differ = F.lit(0)
+    for w in range(1, 5):
+        x = F.element_at("fa", w).bitwiseXOR(F.element_at("fb", w))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    pairs = save_table(likely.where(differ <= FINE_POSITIONS).select("cls_a", "cls_b"), "pairs")
     ends = pairs.select(F.explode(F.array(F.struct(F.col("cls_a").alias("cls"), F.lit(0).alias("side")), F.struct(F.col("cls_b").alias("cls"), F.lit(1).alias("side")))).alias("e"), "cls_a", "cls_b").select("e.*", "cls_a", "cls_b")
-    sets = ends.join(sigs.select("cls", "shingles"), "cls").groupBy("cls_a", "cls_b").agg(F.max(F.when(F.col("side") == 0, F.col("shingles"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("shingles"))).alias("y"))
+    wanted = nodes.join(ends.select("cls").distinct(), "cls", "left_semi").select("kind", "id")
+    texts = records.join(wanted, ["kind", "id"], "left_semi")
+    sets = ends.join(_sets(texts).dropDuplicates(["cls"]), "cls")
+    sets = sets.groupBy("cls_a", "cls_b").agg(F.max(F.when(F.col("side") == 0, F.col("shingles"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("shingles"))).alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     share = both / (F.size("x") + F.size("y") - both)
     return sets.select("cls_a", "cls_b", share.alias("similarity")).where(F.col("similarity") >= similarity)
@@ -150,10 +188,9 @@ def _records(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     return r.unionByName(c).where("id is not null and text is not null")
 
 
-def _members(records: DataFrame, sigs: DataFrame) -> DataFrame:
+def _members(sigs: DataFrame) -> DataFrame:
     """(kind, id, cls) once per record, by its latest delivery."""
-    once = records.groupBy("kind", "id").agg(F.max(F.struct("at", F.xxhash64("text").alias("text_key"))).alias("m")).select("kind", "id", "m.text_key")
-    return once.join(sigs.select("kind", "text_key", "cls"), ["kind", "text_key"]).select("kind", "id", "cls")
+    return sigs.groupBy("kind", "id").agg(F.max(F.struct("at", "cls")).alias("m")).select("kind", "id", "m.cls")
 
 
 def near_duplicate_pairs(requests: DataFrame, chunks: DataFrame, similarity: float = SIMILARITY, expand: int = EXPAND) -> DataFrame:
@@ -165,12 +202,12 @@ def near_duplicate_pairs(requests: DataFrame, chunks: DataFrame, similarity: flo
     different texts is lost. Null texts, texts under three words and empty tables give no pairs.
     """
     records = _records(requests, chunks)
-    sigs = save_table(signatures(records), "signatures")
-    members = save_table(_members(records, sigs), "members")
+    sigs = save_table(signatures(fan_out(records)), "signatures")
+    members = save_table(_members(sigs), "members")
     groups = members.groupBy("kind", "cls").agg(F.count("*").alias("size"), F.min("id").alias("first"))
     whole = members.join(groups, ["kind", "cls"])
     shown = whole.where((F.col("size") <= expand) | (F.col("id") == F.col("first"))).select("cls", "id")
-    pairs = similar_classes(sigs, similarity)
+    pairs = similar_classes(records, sigs, similarity)
     across = pairs.join(shown.select(F.col("cls").alias("cls_a"), F.col("id").alias("x")), "cls_a").join(shown.select(F.col("cls").alias("cls_b"), F.col("id").alias("y")), "cls_b").select("x", "y")
     copies = whole.where(F.col("size") > 1)
     small = copies.where(F.col("size") <= expand).select("kind", "cls", "id")
@@ -186,9 +223,9 @@ def near_duplicate_classes(requests: DataFrame, chunks: DataFrame, similarity: f
     group; links counts the different groups similar to it.
     """
     records = _records(requests, chunks)
-    sigs = save_table(signatures(records), "signatures")
-    members = _members(records, sigs)
-    pairs = similar_classes(sigs, similarity)
+    sigs = save_table(signatures(fan_out(records)), "signatures")
+    members = _members(sigs)
+    pairs = similar_classes(records, sigs, similarity)
     degree = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     groups = members.groupBy("kind", "cls").agg(F.count("*").alias("copies"), F.min("id").alias("class_id"))
     kind = F.when(F.col("kind") == 0, "request").otherwise("chunk").alias("kind")
