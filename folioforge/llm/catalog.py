@@ -12,6 +12,7 @@ from folioforge.llm.packing import fill_report, pack_documents
 from folioforge.llm.quality import not_prose, text_quality
 from folioforge.llm.site_lines import clean_bodies, repeated_lines, site_patterns
 from folioforge.llm.splitting import split_chunks, sufficient_boundaries
+from folioforge.llm.subjects import document_subjects, subject_shares
 from folioforge.llm.tokens import encode_corpus
 from folioforge.plans.runtime import table
 
@@ -72,6 +73,17 @@ def _p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(pack_documents(table(spark, sf, "documents")))
 
 
+_P10 = ("documents", "article_requests", "subject_labels", "subject_areas")
+
+
+def _p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return document_subjects(*(table(spark, sf, t) for t in _P10))
+
+
+def _p10_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return subject_shares(*(table(spark, sf, t) for t in _P10))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _p1_found,
@@ -88,6 +100,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": _p8_ids,
         "p9_containers": _p9_containers,
         "p9_fill": _p9_fill,
+        "p10_found": _p10_found,
+        "p10_shares": _p10_shares,
     }
 
 
