@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from folioforge.llm.neighbours import close_pairs, nearest_records
+from folioforge.llm.ocr_repair import noise_lines, repaired_texts
 from folioforge.llm.packing import fill_report, pack_documents
 from folioforge.llm.quality import not_prose, text_quality
 from folioforge.llm.site_lines import clean_bodies, repeated_lines, site_patterns
@@ -61,6 +62,14 @@ def _p6_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return clean_bodies(table(spark, sf, "article_requests"), table(spark, sf, "publishers"))
 
 
+def _p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return noise_lines(table(spark, sf, "chunks"), table(spark, sf, "page_metadata"))
+
+
+def _p7_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return repaired_texts(table(spark, sf, "chunks"), table(spark, sf, "page_metadata"))
+
+
 def _p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
@@ -97,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": _p6_found,
         "p6_patterns": _p6_patterns,
         "p6_bodies": _p6_bodies,
+        "p7_found": _p7_found,
+        "p7_texts": _p7_texts,
         "p8_ids": _p8_ids,
         "p9_containers": _p9_containers,
         "p9_fill": _p9_fill,
