@@ -1,26 +1,490 @@
-"""Queries of the core engine and their SQL counterparts."""
+"""Queries of the core engine by name, and their SQL counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folioforge.functions import text as X
+from folioforge.operators import chunking, filters, generations, identity, pages, queue, retrieval
 from folioforge.operators.timestamps import all_source_values, found_moments, normalise_timestamps
-from folioforge.plans.runtime import table
+from folioforge.plans.config import Queue
+from folioforge.plans.oracle import ORACLE
+from folioforge.plans.runtime import fan_out, table
+from folioforge.sources import readers
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+#: The moment at which queue queries are asked, and what they ask.
+NOW = datetime(2025, 1, 20, tzinfo=timezone.utc)
+MODEL = "harbor-embed-64"
+QUESTION = "router firewall packet"
 
-def _p2_found(spark: SparkSession, sf: str) -> DataFrame:
+
+def _query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _long(*cols: str) -> list:
+    return [F.col(c).cast("bigint").alias(c) for c in cols]
+
+
+# Pages and routing
+
+
+@_query
+def text_quality(spark, sf):
+    q = pages.with_quality(fan_out(table(spark, sf, "documents").select("doc_id", "text")), "text")
+    r = [F.round(c, 6).alias(c) for c in ("alpha_ratio", "replacement_char_ratio", "avg_word_length")]
+    return q.select("doc_id", *_long("char_count", "word_count"), *r, *_long("line_count"), F.array_join("flags", ",").alias("flags"), "is_true_text")
+
+
+@_query
+def quality_flag_counts(spark, sf):
+    q = pages.with_quality(fan_out(table(spark, sf, "documents").select("text")), "text")
+    return q.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
+
+
+def _routed(spark, sf):
+    """Documents as pages of their site; image signals are derived from the id."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text", (F.col("doc_id") % 5 == 0).alias("has_images"))
+    q = pages.with_quality(fan_out(docs), "text")
+    return q.withColumn("has_visual", F.col("has_images") | F.col("is_true_text") | (F.col("doc_id") % 3 == 0))
+
+
+@_query
+def ocr_route(spark, sf):
+    return pages.route_pages(_routed(spark, sf), "source").select("doc_id", "usable", "likely_true_text", "route")
+
+
+@_query
+def source_votes(spark, sf):
+    return pages.source_votes(_routed(spark, sf), "source")
+
+
+@_query
+def extraction_summary(spark, sf):
+    return pages.extraction_summary(table(spark, sf, "page_metadata"))
+
+
+@_query
+def normalized_pages(spark, sf):
+    docs = fan_out(table(spark, sf, "documents").select("doc_id", "text")).withColumn("page_number", (F.col("doc_id") % 50 + 1).cast("int"))
+    return pages.normalized_pages(docs, "page_number", "text").select("doc_id", "markdown", *_long("char_count", "word_count"))
+
+
+@_query
+def combined_chapters(spark, sf):
+    live = retrieval.live_chunks(table(spark, sf, "chunks"), "source_id", "chapter", "chunk_index", "text")
+    return pages.combine_pages(live, ["source_id", "chapter"], "chunk_index", "text")
+
+
+@_query
+def raster_signals(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.col("event_id") % 97 == 0, ((F.col("event_id") * 37) % 4000).alias("dark"), F.lit(1_000_000).alias("n"))
+    e = e.toDF("event_id", "drawings", "dark", "n")
+    return e.select("event_id", pages.blank_raster(F.col("dark"), F.col("n")).alias("blank"), pages.visual_raster(F.col("drawings"), F.col("dark"), F.col("n")).alias("visual"))
+
+
+# Names, addresses, tags, front matter
+
+
+@_query
+def url_forms(spark, sf):
+    r = table(spark, sf, "article_requests").select("request_id", "url", "canonical_url").distinct()
+    return r.select("request_id", X.normalize_url(F.col("url")).alias("url_form"), X.normalize_url(F.col("canonical_url")).alias("canonical_form"))
+
+
+@_query
+def source_ids(spark, sf):
+    m = table(spark, sf, "source_manifests").select("source_id", "title", "created_at").distinct()
+    made = X.source_id(F.col("title"), F.col("created_at"))
+    return m.select("source_id", X.slugify(F.col("title")).alias("slug"), made.alias("made_id"), X.valid_source_id(F.col("source_id")).alias("valid"))
+
+
+@_query
+def file_names(spark, sf):
+    j = table(spark, sf, "jobs").select("job_id", F.concat(F.lit("/in box/"), F.col("filename"), F.lit(" (1)")).alias("f")).distinct()
+    return j.select("job_id", X.safe_filename(F.col("f")).alias("file_name"), X.chapter_filename(F.regexp_extract("job_id", "([0-9]+)$", 1).substr(-3, 3)).alias("chapter_file"))
+
+
+@_query
+def tags_normalized(spark, sf):
+    r = table(spark, sf, "article_requests").select("request_id", "tags").distinct()
+    return r.select("request_id", F.array_join(X.normalize_tags(F.col("tags")), "|").alias("tags"))
+
+
+@_query
+def input_kinds(spark, sf):
+    j = table(spark, sf, "jobs").groupBy(readers.input_kind(F.col("filename")).alias("kind")).agg(F.count("*").alias("jobs"))
+    return j
+
+
+@_query
+def front_matter(spark, sf):
+    """Manifests written as Markdown with front matter, read back and merged with defaults."""
+    m = identity.latest_manifests(table(spark, sf, "source_manifests")).select("source_id", "title", "collection", "external_id", "tags")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit("'")), F.lit('"'))
+    lines = [F.lit("---"), F.concat(F.lit("title: "), quoted("title")), F.concat(F.lit("collection: "), quoted("collection")), F.concat(F.lit("external_id: "), quoted("external_id")), F.concat(F.lit("tags: ["), F.array_join(F.transform(F.col("tags"), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), ", "), F.lit("]")), F.lit("ignored: 1"), F.lit("---"), F.lit("Body of it.")]
+    written = m.select("source_id", F.concat_ws("\n", *lines).alias("markdown"))
+    read = readers.resolve_metadata(readers.parse_front_matter(written, "source_id", "markdown"), {})
+    return read.select("source_id", "title", "collection", "external_id", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "|").alias("tags"), "source_type", "language", "body", "front_error", "has_title")
+
+
+@_query
+def service_answers(spark, sf):
+    """OCR and embedding answers built from events, parsed."""
+    e = table(spark, sf, "events").where("event_id % 10 = 0").select("event_id", "event_type")
+    chat = F.concat(F.lit('{"choices":[{"message":{"content":" '), F.col("event_type"), F.lit('\\n"}}]}'))
+    vectors = F.concat(F.lit('{"data":[{"index":1,"embedding":[3,4]},{"index":0,"embedding":['), (F.col("event_id") % 7).cast("string"), F.lit(",0]}]}"))
+    unit = F.transform(readers.embedding_response(vectors), retrieval.normalize)
+    return e.select("event_id", readers.ocr_response_markdown(chat).alias("markdown"), F.element_at(F.element_at(unit, 1), 1).alias("first_x"), F.element_at(F.element_at(unit, 2), 2).alias("second_y"))
+
+
+# Identity and duplicates
+
+
+@_query
+def identity_keys(spark, sf):
+    return identity.request_identities(table(spark, sf, "article_requests")).select("request_id", "identity_key")
+
+
+@_query
+def duplicate_decisions(spark, sf):
+    d = identity.duplicate_decisions(identity.request_identities(table(spark, sf, "article_requests")))
+    return d.select("request_id", "decision", "existing_id")
+
+
+@_query
+def identity_backfill(spark, sf):
+    return identity.backfill_identities(table(spark, sf, "source_manifests")).select("source_id", "identity_key", "backfilled")
+
+
+@_query
+def identity_collisions(spark, sf):
+    return identity.identity_collisions(identity.backfill_identities(table(spark, sf, "source_manifests")))
+
+
+@_query
+def published_already(spark, sf):
+    r = identity.request_identities(table(spark, sf, "article_requests"))
+    s = identity.backfill_identities(table(spark, sf, "source_manifests")).select("source_id", "identity_key")
+    return identity.find_by_identity(r, s).select("request_id", "source_id")
+
+
+@_query
+def reservation_reconcile(spark, sf):
+    jobs = queue.latest_jobs(table(spark, sf, "jobs"))
+    held = jobs.select("identity_key", F.col("job_id").alias("owner_id"), F.when(F.col("attempts") > 1, "direct").otherwise("job").alias("owner_type"), "source_id", "created_at")
+    live = identity.latest_manifests(table(spark, sf, "source_manifests"))
+    out = identity.reservation_state(held, jobs.where(queue.is_active()), live, F.lit(NOW))
+    return out.select("owner_id", "release")
+
+
+# Chunking
+
+
+@_query
+def split_long_text(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return chunking.split_documents(docs, "doc_id", "text").select("doc_id", *_long("char_from", "char_to"), "text")
+
+
+@_query
+def packed_chunks(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    c = chunking.chunk_sources(docs, "doc_id", "text")
+    return c.select("source", "chunk_index", "inferred_chapter", "section", F.array_join("pages", ",").alias("pages"), "text")
+
+
+@_query
+def described_chunks(spark, sf):
+    """Sites' documents chunked and joined to manifest-like and page-like metadata."""
+    docs = table(spark, sf, "documents").where("text is not null")
+    sources = docs.select(F.col("doc_id").cast("string").alias("source_id"), F.lit(None).cast("string").alias("chapter"), F.col("title"), F.col("source_type"), F.col("lang").alias("language")).dropDuplicates(["source_id"])
+    c = chunking.chunk_sources(docs.dropDuplicates(["doc_id"]), "doc_id", "text")
+    meta = docs.select(F.col("doc_id").cast("string").alias("source_id"), F.lit(1).alias("page_number"), F.when(F.col("doc_id") % 4 == 0, "ocr").otherwise("markdown").alias("extraction_method"), F.when(F.col("doc_id") % 4 == 0, "m1").alias("ocr_model")).dropDuplicates(["source_id"])
+    return chunking.describe_chunks(c, sources, meta).select("chunk_id", "source_id", "chapter", "section", "page_start", "page_end", "chunk_index", "extraction_method", "ocr_model", "title", "language")
+
+
+@_query
+def markdown_parts(spark, sf):
+    """Parts between blank lines with their first page marker and heading."""
+    docs = fan_out(table(spark, sf, "documents").select("doc_id", "text"))
+    p = docs.select("doc_id", F.posexplode(F.split("text", "\n[ \t\n]*\n")).alias("pos", "part")).where(F.regexp_replace("part", X.SPACE, "") != "")
+    page = F.nullif(F.regexp_extract("part", X.PAGE_MARKER, 1), F.lit("")).cast("bigint")
+    head = F.nullif(F.regexp_extract("part", r"(?md)^(#{1,6})[ \t]+([^\n]+)$", 2), F.lit(""))
+    return p.select("doc_id", F.col("pos").cast("bigint").alias("pos"), page.alias("page"), X.clean_heading(head).alias("heading"))
+
+
+# Filters
+
+
+def _live(spark, sf):
+    cols = ("source_id", "source_type", "title", "chapter", "section", "page_start", "page_end", "chunk_index", "text", "language", "publisher", "tags", "embedding_model")
+    return retrieval.live_chunks(table(spark, sf, "chunks"), *cols)
+
+
+@_query
+def filter_equal_pages(spark, sf):
+    f = filters.Filters(equal={"language": "en", "source_type": "documentation"}, page_start=3, page_end=20)
+    return filters.apply_filters(_live(spark, sf), f).select("chunk_id")
+
+
+@_query
+def filter_tags(spark, sf):
+    return filters.apply_filters(_live(spark, sf), filters.Filters(tags=("law",))).select("chunk_id")
+
+
+@_query
+def filter_dates(spark, sf):
+    """Requests whose normalised source time lies in a range: filters on converted timestamps."""
+    v = normalise_timestamps(all_source_values(*(table(spark, sf, t) for t in ("article_requests", "source_manifests", "publishers"))))
+    wide = v.where("field_name = 'created_at_source'").select("record_id", F.timestamp_micros("utc_micros").alias("created_at_source"))
+    f = filters.Filters(after={"created_at_source": datetime(2021, 1, 1, tzinfo=timezone.utc)}, before={"created_at_source": datetime(2022, 12, 31, tzinfo=timezone.utc)})
+    return filters.apply_filters(wide, f).select("record_id")
+
+
+@_query
+def page_overlaps(spark, sf):
+    """Chunks of one source that share a page with a later chunk, counted by chunk."""
+    live = _live(spark, sf).where("page_start is not null and page_end is not null").select(F.col("chunk_id").alias("id"), "source_id", "chapter", "page_start", "page_end")
+    live = live.withColumn("key", F.concat_ws("|", "source_id", F.coalesce("chapter", F.lit("")))).drop("source_id", "chapter")
+    pairs = filters.overlapping_pages(live, live, "key").where("left_id < right_id")
+    return pairs.groupBy("left_id").agg(F.count("*").alias("n_overlaps"))
+
+
+# Search
+
+
+def _query_vector(spark, sf):
+    first = table(spark, sf, "chunks").where(retrieval.usable_vector(MODEL)).orderBy("chunk_id", "created_at").select("embedding").limit(1).collect()
+    return list(first[0][0]) if first else [0.0]
+
+
+def _searchable(spark, sf):
+    return retrieval.live_chunks(table(spark, sf, "chunks"), "source_id", "title", "chapter", "section", "page_start", "page_end", "text", "language", "tags", "embedding_model", "embedding_dimension", "embedding")
+
+
+@_query
+def bm25_topk(spark, sf):
+    return retrieval.top(retrieval.bm25(_live(spark, sf), QUESTION), "lexical", 20)
+
+
+@_query
+def vector_topk(spark, sf):
+    return retrieval.top(retrieval.cosine_to(_searchable(spark, sf), _query_vector(spark, sf), MODEL), "cosine", 20)
+
+
+def _hybrid(spark, sf, method):
+    return retrieval.hybrid_search(_searchable(spark, sf), QUESTION, _query_vector(spark, sf), MODEL, filters.Filters(equal={"language": "en"}), method=method)
+
+
+@_query
+def hybrid_relative(spark, sf):
+    return _hybrid(spark, sf, "relative")
+
+
+@_query
+def hybrid_rrf(spark, sf):
+    return _hybrid(spark, sf, "rrf")
+
+
+def _hits(spark, sf):
+    live = _live(spark, sf)
+    return live.join(F.broadcast(retrieval.top(retrieval.bm25(live, QUESTION), "lexical", 10)), "chunk_id").withColumnRenamed("lexical", "score")  # 10 rows
+
+
+@_query
+def search_lines(spark, sf):
+    return retrieval.result_lines(_hits(spark, sf))
+
+
+@_query
+def context_pack(spark, sf):
+    return retrieval.context_pack(_hits(spark, sf), "How do routers and firewalls pass packets?")
+
+
+@_query
+def model_mismatch(spark, sf):
+    return retrieval.mismatched_models(_live(spark, sf), MODEL)
+
+
+@_query
+def neighbours_by_label(spark, sf):
+    """Exact cosine top-10 of the embeddings table to its first vector."""
+    e = table(spark, sf, "embeddings")
+    q = e.orderBy("vec_id").limit(1).select("embedding").collect()
+    rows = e.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit("m").alias("embedding_model"), F.size("embedding").alias("embedding_dimension"))
+    return retrieval.top(retrieval.cosine_to(rows, list(q[0][0]), "m"), "cosine", 10)
+
+
+# Index generations
+
+
+def _generations(spark, sf):
+    live = retrieval.live_chunks(table(spark, sf, "chunks"), "source_id", "chunk_index", "text", "page_start")
+    old = live.where("chunk_index % 7 <> 0")
+    new = live.where("chunk_index % 5 <> 0").withColumn("text", F.when(F.col("chunk_index") % 3 == 0, F.upper("text")).otherwise(F.col("text")))
+    return old, new
+
+
+@_query
+def stale_chunks(spark, sf):
+    return generations.stale_ids(*_generations(spark, sf))
+
+
+@_query
+def generation_diff(spark, sf):
+    return generations.difference(*_generations(spark, sf)).groupBy("change").agg(F.count("*").alias("chunks"))
+
+
+@_query
+def upsert_generation(spark, sf):
+    return generations.upsert(*_generations(spark, sf)).select("chunk_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+@_query
+def duplicate_chunk_ids(spark, sf):
+    return generations.duplicate_ids(table(spark, sf, "chunks"))
+
+
+@_query
+def dimension_report(spark, sf):
+    return generations.dimension_report(table(spark, sf, "chunks")).select("embedding_model", "vectors", *_long("least", "most"), "misstated", "uniform")
+
+
+@_query
+def source_models(spark, sf):
+    return generations.source_models(table(spark, sf, "chunks"), MODEL)
+
+
+@_query
+def chunk_stats(spark, sf):
+    return generations.chunk_stats(_live(spark, sf))
+
+
+@_query
+def facet_rollup(spark, sf):
+    f = generations.facet_counts(_live(spark, sf), "source_type", "language")
+    return f.select("source_type", "language", "chunks", F.col("level").cast("bigint").alias("level"))
+
+
+@_query
+def index_properties(spark, sf):
+    live = _live(spark, sf).select("chunk_id", "source_id", "section", "page_start", "tags")
+    return generations.index_properties(live)
+
+
+@_query
+def source_list(spark, sf):
+    m = identity.latest_manifests(table(spark, sf, "source_manifests"))
+    return m.select("source_id", "title", "source_type", "chapter")
+
+
+@_query
+def chunk_list(spark, sf):
+    return _live(spark, sf).select("chunk_id", "title", X.page_label(F.col("page_start"), F.col("page_end")).alias("pages"))
+
+
+# Queue
+
+
+def _jobs(spark, sf):
+    return queue.latest_jobs(table(spark, sf, "jobs"))
+
+
+@_query
+def job_ready(spark, sf):
+    return queue.ready_jobs(_jobs(spark, sf), F.lit(NOW), 25).select("job_id")
+
+
+@_query
+def job_claim(spark, sf):
+    return queue.claim(_jobs(spark, sf), F.lit(NOW), "worker-x").select("job_id", "status", "attempts", "worker_id")
+
+
+@_query
+def job_recovery(spark, sf):
+    return queue.recover_interrupted(_jobs(spark, sf)).groupBy("status").agg(F.count("*").alias("jobs"), F.count("worker_id").alias("owned"))
+
+
+@_query
+def job_failures(spark, sf):
+    return queue.after_failure(_jobs(spark, sf), F.lit(NOW))
+
+
+@_query
+def admission_control(spark, sf):
+    u = _jobs(spark, sf).select("job_id", "created_at", (F.col("attempts") * 1000003 + 17).cast("bigint").alias("bytes"))
+    return queue.admit(u, Queue(storage_bytes=200_000_000)).select("job_id", "used", "admitted")
+
+
+@_query
+def blocked_jobs(spark, sf):
+    live = identity.latest_manifests(table(spark, sf, "source_manifests"))
+    return queue.blocking_jobs(_jobs(spark, sf), live)
+
+
+@_query
+def expired_uploads(spark, sf):
+    return queue.expired_uploads(_jobs(spark, sf), F.lit(NOW))
+
+
+@_query
+def orphan_uploads(spark, sf):
+    jobs = _jobs(spark, sf)
+    uploads = jobs.select("upload_path", "job_id").unionByName(jobs.where("attempts = 1").select(F.concat("upload_path", F.lit(".tmp")).alias("upload_path"), "job_id"))
+    return queue.orphan_uploads(uploads, jobs, jobs.where("status = 'running'"))
+
+
+@_query
+def worker_health(spark, sf):
+    return queue.worker_health(_jobs(spark, sf), F.lit(NOW))
+
+
+@_query
+def queue_health(spark, sf):
+    return queue.queue_health(_jobs(spark, sf))
+
+
+@_query
+def job_phases(spark, sf):
+    j = _jobs(spark, sf)
+    return j.groupBy("status", "phase", queue.transition(F.col("status"), F.col("phase")).alias("next_phase")).agg(F.count("*").alias("jobs"))
+
+
+@_query
+def event_activity(spark, sf):
+    """Hourly events by type, the batch form of the streaming window."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select(F.unix_timestamp("w.start").alias("hour_s"), "event_type", "events", "total")
+
+
+# Timestamps
+
+
+@_query
+def p2_found(spark, sf):
     return found_moments(*(table(spark, sf, t) for t in ("article_requests", "source_manifests", "publishers")))
 
 
-def _p2_normalised(spark: SparkSession, sf: str) -> DataFrame:
+@_query
+def p2_normalised(spark, sf):
     return normalise_timestamps(all_source_values(*(table(spark, sf, t) for t in ("article_requests", "source_manifests", "publishers"))))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": _p2_found, "p2_normalised": _p2_normalised}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLE.items() if k in _QUERIES}
+
+
+__all__ = ["oracle_sql", "queries"]
