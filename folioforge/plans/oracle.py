@@ -132,7 +132,7 @@ select source_id, {_slug('title')} slug, {_slug('title')} || '_' || year(ts) ||
     "tags_normalized": f"with t as (select distinct request_id, tags from article_requests) select request_id, array_to_string(list_filter(list_transform(flatten(list_transform(coalesce(tags, []), lambda t: string_split(t, ','))), lambda x: {_strip('x')}), lambda x: x <> ''), '|') tags from t",
     "input_kinds": "select case lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) when 'pdf' then 'pdf' when 'md' then 'markdown' when 'markdown' then 'markdown' when 'txt' then 'text' when 'png' then 'image' when 'jpg' then 'image' when 'jpeg' then 'image' when 'tif' then 'image' when 'tiff' then 'image' when 'webp' then 'image' when 'bmp' then 'image' end kind, count(*) jobs from jobs group by 1",
     "front_matter": f"with {_MANIFESTS} select source_id, replace(nullif(title, ''), chr(34), chr(39)) title, replace(nullif(collection, ''), chr(34), chr(39)) collection, replace(nullif(external_id, ''), chr(34), chr(39)) external_id, array_to_string(list_filter(list_transform(flatten(list_transform(coalesce(tags, []), lambda t: string_split(t, ','))), lambda x: {_strip('x')}), lambda x: x <> ''), '|') tags, 'other' source_type, 'unknown' AS language, 'Body of it.' body, null::varchar front_error, coalesce(length({_strip('title')}) > 0, false) has_title from m",
-    "service_answers": "select event_id, event_type markdown, case when event_id % 7 = 0 then 0.0 else 1.0 end first_x, 0.8 second_y from events where event_id % 10 = 0",
+    "service_answers": "select event_id, event_type markdown, case when event_id % 7 = 0 then 0.0::double else 1.0::double end first_x, 0.8::double second_y from events where event_id % 10 = 0",
     "identity_keys": f"with {_IDENTITIES} select request_id, identity_key from i",
     "duplicate_decisions": f"""with {_IDENTITIES}, d as (select *, case when identity_key is not null then first_value(request_id) over (partition by identity_key order by received_at, request_id) end f from i)
 select request_id, case when identity_key is null then 'invalid' when f = request_id or duplicate_policy = 'create' then 'accepted' else 'rejected' end decision, case when f <> request_id then f end existing_id from d""",
