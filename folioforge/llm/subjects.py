@@ -27,8 +27,8 @@ from folioforge.plans.runtime import fan_out, save_table
 
 BUCKETS = 1 << 17
 #: Bounds of the training sample: weakly labelled requests, and documents labelled by people.
-SAMPLE, LABELLED = 5000, 2000
-EPOCHS, RATE, DECAY = 30, 0.5, 1e-5
+SAMPLE, LABELLED = 3000, 1500
+EPOCHS, RATE, DECAY = 16, 0.5, 1e-5
 #: Share of a document's sentences or entries from which on a subject is the document's.
 SHARE = 0.25
 #: Weight of the paragraph's and of the document's mean score in the score of a sentence.
@@ -74,7 +74,7 @@ def units_of(text: str) -> list[list[str]]:
 def unreadable(text: str) -> bool:
     """Whether a text is junk by the quality rules; those are applied only where function words are rare."""
     words = _WORD.findall(text.lower())
-    if sum(map(COMMON.__contains__, words)) >= 0.08 * len(words) and words:
+    if words and sum(map(COMMON.__contains__, words)) >= 0.08 * len(words) and sum(map(len, words)) >= 3 * len(words):
         return False
     return document_stats(text)["doc_form"] == "junk"
 
