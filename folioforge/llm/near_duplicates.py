@@ -92,15 +92,16 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return chunks[:CHUNKS].view(np.int64), sketch.view(np.int64), fine.view(np.int64)
 
 
-def _cls(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
+def _cls(shingles: np.ndarray, kind: int) -> int:
+    """Hash of a sequence set; sets of different kinds of records never share one."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), kind)).view(np.int64))
 
 
 def signatures(records: DataFrame, words: int = WORDS) -> DataFrame:
     """(kind, id, at, cls, chunks, sketch, fine) of each record with a word sequence.
 
-    ``records`` has (kind INT, id STRING, at, text). cls is the 64-bit hash of the sequence set; texts of one
-    cls have the same set. Narrow: texts are not shuffled.
+    ``records`` has (kind INT, id STRING, at, text). cls is the 64-bit hash of kind and sequence set; texts of
+    one cls have the same set. Narrow: texts are not shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,11 +110,11 @@ def signatures(records: DataFrame, words: int = WORDS) -> DataFrame:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
                 keep, rows = [], []
-                for i, text in enumerate(batch.column(3).to_pylist()):
+                for i, (kind, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
                     s = shingler(text)
                     if len(s):
                         keep.append(i)
-                        rows.append((_cls(s), *signature(s)))
+                        rows.append((_cls(s, kind), *signature(s)))
                 at = pa.array(keep, pa.int32())
                 kinds = (pa.int64(), *[pa.list_(pa.int64())] * 3)
                 cols = [batch.column(k).take(at) for k in range(3)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
@@ -124,18 +125,18 @@ def signatures(records: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """(cls, shingles) of texts; the sequences by 32-bit hashes, enough for the sets of two texts."""
+    """(cls, shingles) of (kind, text) rows; the sequences by 32-bit hashes, enough for the sets of two texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                sets = [shingler(t) for t in batch.column(0).to_pylist()]
+                sets = [shingler(t) for t in batch.column(1).to_pylist()]
                 low = [(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(_cls, sets)), pa.int64()), pa.array(low, pa.list_(pa.int32()))], ["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(_cls, sets, batch.column(0).to_pylist())), pa.int64()), pa.array(low, pa.list_(pa.int32()))], ["cls", "shingles"])
 
-    return texts.select("text").mapInArrow(run, "cls bigint, shingles array<int>")
+    return texts.select("kind", "text").mapInArrow(run, "cls bigint, shingles array<int>")
 
 
 def _keys(kind: Column, chunks: Column) -> Column:
