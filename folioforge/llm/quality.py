@@ -79,11 +79,10 @@ def classify_block(lines: list[str], words: list[str], common: float) -> tuple[s
         return "junk", "replacement_chars"
     if visible >= 12 and not text.isascii() and len(_MOJIBAKE.findall(text)) > MAX_MOJIBAKE * visible:
         return "junk", "mojibake"
-    if common < MIN_COMMON:
-        if sum(bool(_HEX.match(x.strip())) for x in lines) > 0.6 * n:
-            return "junk", "hex_dump"
-        if sum(bool(_BASE64.match(x.strip())) and " " not in x.strip() for x in lines) > 0.6 * n:
-            return "junk", "encoded"
+    if sum(bool(_HEX.match(x.strip() + " ")) for x in lines) > 0.6 * n:
+        return "junk", "hex_dump"
+    if common < MIN_COMMON and sum(bool(_BASE64.match(x.strip())) and " " not in x.strip() for x in lines) > 0.6 * n:
+        return "junk", "encoded"
     letters = sum(map(len, _LETTERS.findall(text)))
     alnum = letters + sum(map(len, _DIGITS.findall(text)))
     leaders = sum(bool(_LEADER.search(x.rstrip())) for x in lines)
@@ -91,7 +90,7 @@ def classify_block(lines: list[str], words: list[str], common: float) -> tuple[s
         return "list", "leader_lines" if leaders > bullets else "bullet_lines"
     stops = sum(bool(_STOP.search(x.rstrip())) for x in lines)
     pairs = n >= 2 and stops <= 0.25 * n and sum(bool(_PAIR.match(x.strip())) and len(x.split()) <= 8 for x in lines) >= 0.7 * n
-    if n >= 2 and stops < 0.4 * n and alnum >= 0.4 * visible and not pairs and _table_like(lines, common):
+    if n >= 2 and stops < 0.4 * n and alnum >= 0.4 * _visible(" ".join(x for x in lines if not _RULE.match(x.strip()))) and not pairs and _table_like(lines, common):
         return "table", "cell_rows"
     if letters < MIN_LETTERS * visible and alnum < 0.6 * visible:
         return "junk", "few_letters"
