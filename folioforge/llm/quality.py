@@ -40,9 +40,10 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{4,16}[:\s]\s*)?(?:[0-9a-fA-F]{2,4}\s+){5,}")
 _BASE64 = re.compile(r"\S{28,}$")
+_MARKUP = re.compile(r"</?[A-Za-z!][^<>]*>|\{[^{}\n]*\}|//[0-9a-f]{6,}|&#?\w+;")
 _MOJIBAKE = re.compile(r"[ÃÂâðŸ¤¶¼½±©®œ€�ï¿]")
 #: Fixed thresholds of the rules.
-MIN_LETTERS, MAX_REPLACEMENT, MAX_MOJIBAKE, MIN_COMMON, MAX_TOP_WORD, MIN_DISTINCT = 0.5, 0.02, 0.15, 0.06, 0.34, 0.2
+MIN_LETTERS, MAX_REPLACEMENT, MAX_MOJIBAKE, MAX_MARKUP, MIN_COMMON, MAX_TOP_WORD, MIN_DISTINCT = 0.5, 0.02, 0.15, 0.5, 0.06, 0.34, 0.2
 
 
 def _visible(text: str) -> int:
@@ -83,6 +84,8 @@ def classify_block(lines: list[str], words: list[str], common: float) -> tuple[s
         return "junk", "hex_dump"
     if common < MIN_COMMON and sum(bool(_BASE64.match(x.strip())) and " " not in x.strip() for x in lines) > 0.6 * n:
         return "junk", "encoded"
+    if ("<" in text or "{" in text) and sum(map(len, _MARKUP.findall(text))) > MAX_MARKUP * visible:
+        return "junk", "markup"
     letters = sum(map(len, _LETTERS.findall(text)))
     alnum = letters + sum(map(len, _DIGITS.findall(text)))
     leaders = sum(bool(_LEADER.search(x.rstrip())) for x in lines)

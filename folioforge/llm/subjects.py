@@ -33,6 +33,9 @@ EPOCHS, RATE, DECAY = 16, 0.5, 1e-5
 SHARE = 0.25
 #: Weight of the paragraph's and of the document's mean score in the score of a sentence.
 PARAGRAPH, DOCUMENT = 0.35, 0.15
+#: A sentence says nothing of a subject if its best score leads the next by less; a document is not read
+#: at all if fewer of its sentences than LEAST say something.
+MARGIN, LEAST = 1.6, 0.2
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]?\s+(?=[\"'“«(]?[^\W\d_a-zåäöéüß])")
 _SKIP = re.compile(r"\s*(?:<!--.*-->\s*$|#{1,6}\s|```|[|:\-=+*_\s]+$)")
@@ -141,16 +144,14 @@ def _fit(flat: np.ndarray, sizes: np.ndarray, target: np.ndarray, n: int) -> tup
     return weights, bias
 
 
-def _smoothed(raw: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
-    """Scores of a document's units with their paragraph's and document's means mixed in."""
+def _paragraph_means(raw: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
     sums = np.zeros((int(paragraph[-1]) + 1, raw.shape[1]), dtype=np.float32)
     np.add.at(sums, paragraph, raw)
-    means = sums / np.bincount(paragraph)[:, None]
-    return raw + PARAGRAPH * means[paragraph] + DOCUMENT * raw.mean(0)
+    return (sums / np.bincount(paragraph)[:, None])[paragraph]
 
 
 def document_shares(text: str | None, hasher: Hasher, weights: np.ndarray, bias: np.ndarray, thresholds: np.ndarray) -> np.ndarray | None:
-    """Share of a text's units by subject; None if it has no unit with a word or is unreadable."""
+    """Share of each subject among a text's units that tell one (others, like shelf marks, do not count); None if it has no unit with a word or is unreadable."""
     units, paragraph = [], []
     for k, block in enumerate(units_of(text or "")):
         for u in block:
@@ -161,10 +162,15 @@ def document_shares(text: str | None, hasher: Hasher, weights: np.ndarray, bias:
     if not units or unreadable(text or ""):
         return None
     _, compact = np.unique(paragraph, return_inverse=True)
-    scores = _smoothed(_scores(weights, bias, *_flat(units)), compact)
-    best = scores.argmax(1)
-    sure = scores[np.arange(len(best)), best] > thresholds[best]
-    return np.bincount(best[sure], minlength=weights.shape[1]) / len(units)
+    raw = _scores(weights, bias, *_flat(units))
+    near = raw + PARAGRAPH * _paragraph_means(raw, compact)
+    best = (near + DOCUMENT * raw.mean(0)).argmax(1)
+    two = np.sort(np.partition(near, -2, axis=1)[:, -2:], axis=1) if near.shape[1] > 1 else np.column_stack((near - MARGIN, near))
+    sure = (two[:, 1] > thresholds[best]) & (two[:, 1] - two[:, 0] >= MARGIN)
+    told = int(sure.sum())
+    if told < max(1, LEAST * len(units)):
+        return np.zeros(weights.shape[1])
+    return np.bincount(best[sure], minlength=weights.shape[1]) / told
 
 
 def train(rows: list[tuple[str, list[int], bool]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,8 +207,8 @@ def train(rows: list[tuple[str, list[int], bool]], n: int) -> tuple[np.ndarray,
 
 
 def calibrate(held: list[tuple[str, list[int], bool]], hasher: Hasher, weights: np.ndarray, bias: np.ndarray, n: int) -> np.ndarray:
-    """Per subject the score threshold with the best F1 against people's labels of held-out documents; -3 where there are none."""
-    grid = np.array([-4.0, -3.5, -3.0, -2.5, -2.0, -1.5, -1.0])
+    """Per subject the score threshold with the best F1 against people's labels of held-out documents; 0 where there are none."""
+    grid = np.array([-1.5, -1.0, -0.5, 0.0, 0.5, 1.0])
     found = np.zeros((len(grid), len(held), n), dtype=bool)
     truth = np.zeros((len(held), n), dtype=bool)
     for d, (text, subjects, _) in enumerate(held):
@@ -213,8 +219,8 @@ def calibrate(held: list[tuple[str, list[int], bool]], hasher: Hasher, weights:
                 found[g, d] = shares >= SHARE
     hits = (found & truth).sum(1)
     f1 = 2 * hits / np.maximum(1, found.sum(1) + truth.sum(0))
-    middle = np.abs(grid + 3.0)[:, None] * 1e-3  # among equals the middle of the grid
-    return np.where(truth.any(0), grid[(f1 - middle).argmax(0)], -3.0)
+    middle = np.abs(grid)[:, None] * 1e-3  # among equals the middle of the grid
+    return np.where(truth.any(0), grid[(f1 - middle).argmax(0)], 0.0)
 
 
 def training_rows(requests: DataFrame, documents: DataFrame, labels: DataFrame, subjects: list[str], sample: int = SAMPLE, labelled: int = LABELLED) -> DataFrame:
@@ -251,7 +257,7 @@ def fit(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def subject_shares(documents: DataFrame, requests: DataFrame, labels: DataFrame, areas: DataFrame, sample: int = SAMPLE, labelled: int = LABELLED) -> DataFrame:
     """(doc_id, subject, share) of every document and subject with a share above 0.
 
-    share: part of the document's sentences or entries that are about the subject. Null, empty and
+    share: part of the document's sentences or entries (of those that tell any subject) that are about this one. Null, empty and
     unreadable texts give no rows; neither do empty tables or a table of subjects without training rows. Repeated rows
     give repeated rows. ``areas`` is the list of subjects; it is collected (12 rows).
     """
