@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHUFFLES = re.compile(r"\b(?:Aggregate|Join|Window|Sort|Repartition|Distinct|Deduplicate)\b|RepartitionByExpression")
 #: A side is broadcast only if its parquet or row count bound is at most this many rows.
 BROADCAST_ROWS = 100_000
 
@@ -66,8 +68,11 @@ def fan_out(df: DataFrame, *keys: str, per_core: int = 1) -> DataFrame:
     """Spread a scan of few splits over the cluster before per-row Python work.
 
     A shuffle is added only if there are fewer splits than cores; larger inputs keep
-    their scan splits (spark.sql.files.maxPartitionBytes).
+    their scan splits (spark.sql.files.maxPartitionBytes). Plans that shuffle anyway are
+    left as they are (counting their partitions would run them).
     """
+    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     want = cores(df.sparkSession) * per_core
     if df.rdd.getNumPartitions() >= want:
         return df
