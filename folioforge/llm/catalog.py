@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
-from folioforge.llm.neighbours import close_pairs, nearest_records
+from folioforge.llm.neighbours import close_pairs, nearest_of_queries, nearest_records
 from folioforge.llm.ocr_repair import noise_lines, repaired_texts
 from folioforge.llm.packing import fill_report, pack_documents
 from folioforge.llm.quality import not_prose, text_quality
@@ -34,6 +34,10 @@ def _p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_records(table(spark, sf, "chunks"))
 
 
+def _p3_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest_of_queries(table(spark, sf, "chunks"))
+
+
 def _p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return sufficient_boundaries(table(spark, sf, "chunks"))
 
@@ -99,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_classes": _p1_classes,
         "p3_found": _p3_found,
         "p3_neighbours": _p3_neighbours,
+        "p3_queries": _p3_queries,
         "p4_found": _p4_found,
         "p4_pieces": _p4_pieces,
         "p5_found": _p5_found,

@@ -157,3 +157,21 @@ def test_nearest_pivots_in_order(places):
     got = nb.nearest_pivots(x, p, places)
     want = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :places]
     assert (got == want).all()
+
+
+def test_query_set_recall_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    df = vectors(spark, [(f"c{i:04d}", "m", 16, v.tolist()) for i, v in enumerate(x)])
+    got: dict[str, set] = {}
+    for r in nb.nearest_of_queries(df, every=20, pivots=128, block=40, shard=700).collect():
+        got.setdefault(r.chunk_id, set()).add(r.neighbour_id)
+    assert 100 < len(got) < 220 and all(len(v) == 10 for v in got.values())
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for q, found in got.items():
+        s = u @ u[int(q[1:])]
+        s[int(q[1:])] = -2
+        hit += len(found & {f"c{j:04d}" for j in np.argsort(-s)[:10]})
+    assert hit >= 0.9 * 10 * len(got)
+    assert nb.nearest_of_queries(vectors(spark, [])).count() == 0
