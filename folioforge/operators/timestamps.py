@@ -101,7 +101,7 @@ def _date(r: _Reader) -> bool:
         r.take("year", None, "month", None, "day")
     elif r.digits(1, 2) and r.peek(1) in ("/", ".") and r.digits(1, 2, 2) and r.peek(3) == r.peek(1) and r.digits(4, 4, 4):
         if r.peek(1) == "/":
-            r.take("first", None, "second", None, "year")
+            r.take("part_a", None, "part_b", None, "year")
         else:
             r.take("day", None, "month", None, "year")
     elif r.digits(1, 2) and r.peek(1) in (" ", "-") and r.peek(2) == "M":
@@ -221,8 +221,8 @@ def _convert(slots: dict[str, int], flags: frozenset[str], tokens: list[list[str
     else:
         year, day = number("year"), number("day")
         month = np.array([MONTHS[x] for x in column("name")], dtype=np.int64) if "name" in slots else number("month")
-        if "first" in slots:
-            a, b = number("first"), number("second")
+        if "part_a" in slots:
+            a, b = number("part_a"), number("part_b")
             us = np.array([o == "mdy" for o in orders])
             month, day = np.where(us, a, b), np.where(us, b, a)
     hour, minute, second = number("hour"), number("minute"), number("second")
