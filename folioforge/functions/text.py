@@ -16,7 +16,7 @@ PAGE_MARKER = r"<!--\s*page:\s*(\d+)\s*-->"
 
 def strip(c: Column) -> Column:
     """Without outer white space of any kind."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def tokens(c: Column) -> Column:
@@ -93,7 +93,7 @@ def page_markdown(text: Column, number: Column) -> Column:
     body = F.regexp_replace(strip(F.regexp_replace(text, r"\r\n?", "\n")), r"\n{3,}", "\n\n")
     marker = F.concat(F.lit("<!-- page: "), number.cast("string"), F.lit(" -->"))
     headed = F.concat(marker, F.lit("\n\n## Page "), number.cast("string"), F.lit("\n\n"), body)
-    return F.concat(F.regexp_replace(F.when(body.startswith(marker), body).otherwise(headed), f"{SPACE}+$", ""), F.lit("\n"))
+    return F.concat(F.regexp_replace(F.when(body.startswith(marker), body).otherwise(headed), f"(?<!{SPACE}){SPACE}+$", ""), F.lit("\n"))
 
 
 def page_label(first: Column, last: Column, zero_is_missing: bool = False) -> Column:
