@@ -88,7 +88,7 @@ def classify_block(lines: list[str], words: list[str], common: float) -> tuple[s
         return "junk", "markup"
     letters = sum(map(len, _LETTERS.findall(text)))
     alnum = letters + sum(map(len, _DIGITS.findall(text)))
-    leaders = sum(bool(_LEADER.search(x.rstrip())) for x in lines)
+    leaders = sum(bool(_LEADER.search(x.rstrip()[-120:])) for x in lines)
     if 2 * (bullets + leaders) >= n and letters >= 0.2 * visible and (n > 1 or common < 0.3):
         return "list", "leader_lines" if leaders > bullets else "bullet_lines"
     stops = sum(bool(_STOP.search(x.rstrip())) for x in lines)

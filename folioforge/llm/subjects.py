@@ -38,8 +38,8 @@ PARAGRAPH, DOCUMENT = 0.35, 0.15
 MARGIN, LEAST = 1.6, 0.2
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]?\s+(?=[\"'“«(]?[^\W\d_a-zåäöéüß])")
-_SKIP = re.compile(r"\s*(?:<!--.*-->\s*$|#{1,6}\s|```|[|:\-=+*_\s]+$)")
-_ENTRY = re.compile(r"\s*(?:[-*+•·‣◦▪–—]|\[[ xX]?\]|\(?\d{1,4}[.)]|\(?[A-Za-z][.)])\s+\S|.*(?:\||\t|\S {2,}\S|\.{4,}|[^\s,;][,;][^\s,;]| / )|[^:.!?]{1,40}:\s+(?:\S+\s*){1,5}$")
+_SKIP = re.compile(r"(?:<!--.*-->\s*$|#{1,6}\s|```|[|:\-=+*_\s]+$)")
+_ENTRY = re.compile(r"(?:[-*+•·‣◦▪–—]|\[[ xX]?\]|\(?\d{1,4}[.)]|\(?[A-Za-z][.)])\s+\S|.*(?:\||\t|\S {2,}\S|\.{4,}|[^\s,;][,;][^\s,;]| / )|[^:.!?]{1,40}:\s+\S+(?:\s+\S+){0,4}$")
 _END = re.compile(r"[.!?][\"'”’»)\]]*\s*$")
 
 
@@ -56,12 +56,12 @@ def units_of(text: str) -> list[list[str]]:
             if len(block) > 1 and (2 * entries >= len(block) and 2 * stops < len(block) or len(block) > 3 and not stops and max(map(len, block)) < 34):
                 out.append(list(block))
             else:
-                parts = _SENTENCE.split(" ".join(x.strip() for x in block))
+                parts = _SENTENCE.split(" ".join(block))
                 out.append([p for p in parts if p])
             block.clear()
 
-    for line in text.splitlines():
-        if not line.strip():
+    for line in map(str.strip, text.splitlines()):
+        if not line:
             close()
         elif line.startswith("```"):
             close()
