@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioforge.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from folioforge.llm.neighbours import close_pairs, nearest_of_queries, nearest_records
 from folioforge.llm.ocr_repair import noise_lines, repaired_texts
+from folioforge.llm.oracle import ORACLE
 from folioforge.llm.packing import fill_report, pack_documents
 from folioforge.llm.quality import not_prose, text_quality
 from folioforge.llm.site_lines import clean_bodies, repeated_lines, site_patterns
@@ -122,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

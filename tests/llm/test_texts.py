@@ -326,6 +326,23 @@ def test_units():
     assert subjects.units_of("## Head\n\nOne thing. Two\nthings here.\n\n- a\n- b\n\n```\ncode\n```") == [["One thing.", "Two things here."], ["- a", "- b"]]
 
 
+@pytest.mark.parametrize("name", ["p1_found", "p4_found", "p6_found"])
+def test_matches_sql(spark, data, name):
+    from pathlib import Path
+
+    import duckdb
+
+    from folioforge.llm import catalog
+
+    c = duckdb.connect()
+    for p in Path(data).glob("*.parquet"):
+        c.execute(f"create view {p.stem} as select * from '{p}'")
+    df = catalog.queries()[name](spark, data)
+    cursor = c.execute(catalog.oracle_sql()[name])
+    assert [d[0] for d in cursor.description] == df.columns
+    assert sorted(map(tuple, df.collect())) == sorted(cursor.fetchall())
+
+
 def test_every_query_runs(spark, data):
     from folioforge.llm import catalog
 
