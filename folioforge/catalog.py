@@ -14,7 +14,7 @@ from folioforge.operators.timestamps import all_source_values, found_moments, no
 from folioforge.plans.config import Queue
 from folioforge.plans.oracle import ORACLE
 from folioforge.plans.runtime import fan_out, table
-from folioforge.sources import readers
+from folioforge.sources import plugins, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -323,6 +323,16 @@ def neighbours_by_label(spark, sf):
     return retrieval.top(retrieval.cosine_to(rows, list(q[0][0]), "m"), "cosine", 10)
 
 
+@_query
+def hashed_embeddings(spark, sf):
+    """Chunks embedded without a service: length of the vector and its product with the query's."""
+    live = _live(spark, sf).select("chunk_id", "text")
+    v = plugins.embed_with(live, "chunk_id", "text", plugins.hashed_vectors, batch=256)
+    asked = F.array(*[F.lit(x) for x in plugins.hashed_vectors([QUESTION])[0]])
+    own = F.col("embedding")
+    return v.select("chunk_id", F.round(retrieval.dot(own, own), 4).alias("size"), F.round(retrieval.dot(own, asked), 4).alias("likeness"))
+
+
 # Index generations
 
 
@@ -391,6 +401,29 @@ def chunk_list(spark, sf):
     return _live(spark, sf).select("chunk_id", "title", X.page_label(F.col("page_start"), F.col("page_end")).alias("pages"))
 
 
+@_query
+def index_copy_check(spark, sf):
+    old, new = _generations(spark, sf)
+    return generations.copied_completely(old, generations.upsert(old, new))
+
+
+@_query
+def layout_fallback(spark, sf):
+    """Pages whose layout failed or was empty, from page attempts."""
+    p = pages.latest_pages(table(spark, sf, "page_metadata")).where("source_id is not null")
+    error = F.when(F.col("extraction_method") == "failed", "RuntimeError")
+    made = p.select("source_id", "page_number", F.when(F.col("extraction_method") != "skipped", "x").alias("layout"), error.alias("layout_error"), F.lit("y").alias("plain"))
+    return plugins.layout_fallback(made).groupBy("extraction_method", F.array_join("quality_flags", ",").alias("flags"), "fatal").agg(F.count("*").alias("pages"))
+
+
+@_query
+def publication_outcomes(spark, sf):
+    """Half of the sources published again, some with other content."""
+    live = identity.latest_manifests(table(spark, sf, "source_manifests")).select("source_id", "identity_key", "content_sha256")
+    other = F.when(F.length("source_id") % 3 == 0, F.lit("changed")).otherwise(F.col("content_sha256"))
+    return identity.publication_conflicts(live.withColumn("content_sha256", other), live.where(F.length("source_id") % 2 == 0))
+
+
 # Queue
 
 

@@ -75,3 +75,16 @@ def index_properties(chunks: DataFrame) -> DataFrame:
 def facet_counts(chunks: DataFrame, *facets: str) -> DataFrame:
     """Counts over all combinations of the facets' leading parts (rollup); an extension."""
     return chunks.rollup(*facets).agg(F.count("*").alias("chunks"), F.grouping_id().alias("level"))
+
+
+def delete_source(index: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """(the index without a source's chunks, one row with how many go)."""
+    gone = F.col("source_id").eqNullSafe(F.lit(source))
+    return index.where(~gone), index.agg(F.count_if(gone).alias("deleted"))
+
+
+def copied_completely(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row: rows of both generations and whether every id of the old one is in the new one."""
+    missing = old.select("chunk_id").distinct().join(new.select("chunk_id").distinct(), "chunk_id", "left_anti").agg(F.count("*").alias("missing"))
+    counts = old.agg(F.count("*").alias("old_rows")).crossJoin(new.agg(F.count("*").alias("new_rows"))).crossJoin(missing)  # one row each
+    return counts.withColumn("complete", F.col("missing") == 0)

@@ -100,3 +100,18 @@ def reservation_state(reservations: DataFrame, active_jobs: DataFrame, sources:
 def order_of_arrival(df: DataFrame, key: str, *order: str) -> DataFrame:
     """Adds ``arrival``, the place of a row among those of its key; for keys with bounded groups."""
     return df.withColumn("arrival", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+
+
+def backfill_conflicts(seen: DataFrame, current: DataFrame) -> DataFrame:
+    """Sources (source_id) that changed between a computed backfill and its installation, by update time and original path."""
+    a = seen.select("source_id", F.col("updated_at").alias("u_"), F.col("original_path").alias("o_"))
+    joined = current.join(a, "source_id")
+    same = F.col("updated_at").eqNullSafe(F.col("u_")) & F.col("original_path").eqNullSafe(F.col("o_"))
+    return joined.where(~same).select("source_id")
+
+
+def publication_conflicts(staged: DataFrame, live: DataFrame) -> DataFrame:
+    """(source_id, outcome) of staged sources: new, same (nothing to do) or conflict (the id has another identity or content)."""
+    a = live.select("source_id", F.col("identity_key").alias("k_"), F.col("content_sha256").alias("h_"), F.lit(True).alias("there_"))
+    same = F.col("identity_key").eqNullSafe(F.col("k_")) & F.col("content_sha256").eqNullSafe(F.col("h_"))
+    return staged.join(a, "source_id", "left").select("source_id", F.when(F.col("there_").isNull(), "new").when(same, "same").otherwise("conflict").alias("outcome"))

@@ -154,3 +154,13 @@ def context_pack(results: DataFrame, question: str, task: str = "answer") -> Dat
     parts = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))
     whole = F.concat(F.lit(head), F.array_join(F.transform(parts, lambda p: p["b"]), "\n"))
     return results.groupBy().agg(F.concat(F.regexp_replace(whole, r"\s+$", ""), F.lit("\n")).alias("context_pack"), F.count("*").alias("sources"))
+
+
+def check_request(query: str, top_k: int | None = None, alpha: float | None = None) -> None:
+    """Raises for an empty query, a top_k outside 1 to 100 or an alpha outside 0 to 1; None means the default."""
+    if not query:
+        raise ValueError("query must not be empty")
+    if top_k is not None and not 1 <= top_k <= 100:
+        raise ValueError("top_k must lie between 1 and 100")
+    if alpha is not None and not 0 <= alpha <= 1:
+        raise ValueError("alpha must lie between 0 and 1")

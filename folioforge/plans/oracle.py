@@ -186,4 +186,9 @@ select regexp_replace('{_PACK_HEAD}' || coalesce(string_agg(t, chr(10) order by
     "queue_health": f"with {_JOBS}, c as (select count(*) filter (status = 'queued') queued, count(*) filter (status = 'running') running, count(*) filter (status = 'succeeded') succeeded, count(*) filter (status = 'failed') failed from j) select *, queued + running active, queued + running < 20 has_room, case when queued + running < 20 then 'ok' else 'degraded' end state from c",
     "job_phases": f"with {_JOBS} select status, phase, case when status in ('queued', 'running') then case phase when 'queued' then 'extracting' when 'extracting' then 'embedding' when 'embedding' then 'indexing' when 'indexing' then 'done' end end next_phase, count(*) jobs from j group by all",
     "event_activity": "select (floor(epoch(ts) / 3600) * 3600)::bigint hour_s, event_type, count(*) events, round(sum(value), 4) total from events group by 1, 2",
+    "index_copy_check": f"with {_GENERATIONS}, up as (select chunk_id from new union all select chunk_id from old where chunk_id not in (select chunk_id from new)) select (select count(*) from old) old_rows, (select count(*) from up) new_rows, (select count(*) from (select chunk_id from old except select chunk_id from up)) missing, (select count(*) from (select chunk_id from old except select chunk_id from up)) = 0 complete",
+    "layout_fallback": """with l as (select * from (select *, row_number() over (partition by source_id, page_number order by extracted_at desc) r from page_metadata where source_id is not null) where r = 1),
+e as (select *, coalesce(extraction_method = 'failed', false) bad, extraction_method is null or extraction_method = 'skipped' no_text from l), b as (select *, coalesce(lag(bad) over (partition by source_id order by page_number), false) before from e)
+select case when bad or no_text then 'pymupdf' else 'pymupdf4llm' end extraction_method, case when bad then 'layout_failed:RuntimeError' when no_text then 'layout_empty' else '' end flags, bad and before fatal, count(*) pages from b group by all""",
+    "publication_outcomes": f"with {_MANIFESTS} select source_id, case when length(source_id) % 2 <> 0 then 'new' when length(source_id) % 3 = 0 and content_sha256 is distinct from 'changed' then 'conflict' else 'same' end outcome from m",
 }

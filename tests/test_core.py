@@ -246,3 +246,46 @@ def test_windowed_stream(spark, data, tmp_path):
     q = stream.writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(events) from activity").collect()[0][0] == events.count()
+
+
+def test_plugins(spark, tmp_path):
+    from folioforge.sources import plugins
+
+    df = spark.createDataFrame([("a", "red lamp"), ("b", "red lamp"), ("c", "other words here"), ("d", None)], "id string, text string")
+    v = dict(zip("abcd", plugins.hashed_vectors(["red lamp", "Lamp RED", "other words here", ""], 8)))
+    assert v["a"] == v["b"] and abs(sum(x * x for x in v["c"]) - 1) < 1e-9 and v["d"] == [0.0] * 8
+    got = plugins.embed_with(df, "id", "text", lambda texts: [[float(len(t)), 1.0] for t in texts], batch=2)
+    assert {r.id: (list(r.embedding), r.embedding_dimension) for r in got.collect()} == {"a": ([8.0, 1.0], 2), "b": ([8.0, 1.0], 2), "c": ([16.0, 1.0], 2)}
+    with pytest.raises(Exception, match="vectors"):
+        plugins.embed_with(df, "id", "text", lambda texts: []).collect()
+    scans = spark.createDataFrame([("s", 1, b"ok", False), ("s", 2, b"", False), ("s", 3, None, True)], "source_id string, page_number int, content binary, blank boolean")
+    provider = lambda content, n: (content.decode(), "m1")
+    read = {r.page_number: r for r in plugins.read_scans(scans, provider, "p", continue_on_error=True).collect()}
+    assert (read[1].extraction_method, read[1].ocr_model) == ("ocr", "m1") and read[2].quality_flags == ["ocr_failed"] and read[3].extraction_method == "skipped"
+    assert "[OCR failed:" in read[2].markdown and read[3].markdown.startswith("<!-- page: 3 -->")
+    with pytest.raises(Exception, match="no text"):
+        plugins.read_scans(scans, provider, "p").collect()
+    assert plugins.choose_provider("auto", {"x": provider}, "x") is provider
+    with pytest.raises(KeyError):
+        plugins.choose_provider("y", {"x": provider}, "x")
+    for n in ("b.png", "a.png"):
+        (tmp_path / n).write_bytes(n.encode())
+    files = readers.read_binary(spark, str(tmp_path), 100)
+    assert [(r.path[-5:], r.page_number) for r in plugins.numbered_images(files).orderBy("page_number").collect()] == [("a.png", 1), ("b.png", 2)]
+    import hashlib
+
+    assert plugins.folder_hash(files).collect()[0].content_sha256 == hashlib.sha256(b"a.png\0a.png\0b.png\0b.png\0").hexdigest()
+
+
+def test_requests_and_conflicts(spark):
+    retrieval.check_request("q", 1, 0.0)
+    for bad in (("",), ("q", 0), ("q", 101), ("q", 5, 1.5)):
+        with pytest.raises(ValueError):
+            retrieval.check_request(*bad)
+    t = datetime(2025, 1, 1)
+    seen = spark.createDataFrame([("a", t, "p"), ("b", t, "p")], "source_id string, updated_at timestamp, original_path string")
+    now_ = spark.createDataFrame([("a", t, "p"), ("b", t, "q")], seen.schema)
+    assert [r.source_id for r in identity.backfill_conflicts(seen, now_).collect()] == ["b"]
+    index = spark.createDataFrame([("c1", "s"), ("c2", "t"), ("c3", None)], "chunk_id string, source_id string")
+    left, gone = generations.delete_source(index, "s")
+    assert left.count() == 2 and gone.collect()[0].deleted == 1
