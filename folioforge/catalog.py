@@ -46,7 +46,7 @@ def text_quality(spark, sf):
 @_query
 def quality_flag_counts(spark, sf):
     q = pages.with_quality(fan_out(table(spark, sf, "documents").select("text")), "text")
-    return q.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
+    return pages.flag_counts(q)
 
 
 def _routed(spark, sf):

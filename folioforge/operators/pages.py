@@ -31,6 +31,17 @@ def with_quality(df: DataFrame, text: str, rules: Detection | None = None) -> Da
     return out.withColumn("flags", flags).withColumn("is_true_text", F.size("flags") == 0)
 
 
+#: Flags of with_quality in their order.
+FLAGS = ("too_few_chars", "low_alpha_ratio", "replacement_chars", "long_average_word", "no_lines")
+
+
+def flag_counts(pages: DataFrame) -> DataFrame:
+    """(flag, documents) of flags that occur, from pages with quality columns; counted in one pass without spreading the flags."""
+    one = pages.agg(*[F.count_if(F.array_contains("flags", f)).alias(f) for f in FLAGS])
+    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f).alias("documents")) for f in FLAGS])).alias("r")
+    return one.select(rows).select("r.flag", "r.documents").where("documents > 0")
+
+
 def usable_text_layer(rules: Detection | None = None) -> Column:
     """Whether a page with quality columns has a text layer worth keeping."""
     r = rules or Detection()
