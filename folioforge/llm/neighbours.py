@@ -9,6 +9,8 @@ Scale: pivots are drawn from the rows, so dense regions hold more pivots and inv
 short wherever the data crowd; the number of pivots grows with the square root of the rows, which keeps the
 meetings in proportion to the rows. Equal vectors are one node, so a vector that a third of all rows hold
 costs one. Recall against brute force is in the README.
+
+``nearest_records`` uses no index: it compares all vectors of a model and length, in blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioforge.plans.runtime import fan_out, save_table
+from folioforge.plans.runtime import cores, fan_out, save_table
 
 K = 10
 #: Pivots of one model: PIVOT_RATE times the root of its rows, within these bounds (the pivot sample is bounded).
@@ -206,10 +208,15 @@ def similar_nodes(nodes: DataFrame, near_bits: int = NEAR_BITS, both_bits: int =
     return scored.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e"), "cosine").select("e.*", "cosine")
 
 
+def best_nodes(near: DataFrame, k: int) -> DataFrame:
+    """(a, b, cosine): the ``k`` best of each a, ties by b."""
+    return near.withColumn("r_", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("r_") <= k).select("a", "b", "cosine")
+
+
 def _records(near: DataFrame, members: DataFrame, k: int, asked: DataFrame) -> DataFrame:
     """Neighbours of the ``asked`` members from (a, b, cosine) of nodes: each node's list of k + 1 records, its own copies first."""
     first = members.withColumn("nth_", F.row_number().over(W.partitionBy("node").orderBy("chunk_id"))).where(F.col("nth_") <= k + 1).select("node", F.col("chunk_id").alias("id_"))
-    near = near.withColumn("r_", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("r_") <= k + 1).select("a", "b", "cosine")
+    near = best_nodes(near, k + 1)
     others = near.join(first.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "id_", "cosine")
     own = first.select("node", "id_", F.lit(1.0).alias("cosine"))
     lists = others.unionByName(own).groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), F.col("id_").alias("id")))), 1, k + 1).alias("l_"))
@@ -218,15 +225,125 @@ def _records(near: DataFrame, members: DataFrame, k: int, asked: DataFrame) -> D
     return out.select("chunk_id", F.col("e_.id").alias("neighbour_id"), (-F.col("e_.d")).alias("cosine"), (F.col("p_") + 1).alias("rank"))
 
 
+def _blocks_of(nodes: DataFrame, block: int) -> DataFrame:
+    """(model, dim, ids, vecs): nodes of one model and length packed into rows of at most ``block`` vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def pack(key: tuple[str, int], least: int) -> Iterator[pa.RecordBatch]:
+            ids, x = (np.concatenate(part) for part in zip(*held[key]))
+            done = 0
+            while len(ids) - done >= least:
+                part = slice(done, done + block)
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([ids[part].tobytes()]), pa.array([x[part].tobytes()])], ["model", "dim", "ids", "vecs"])
+                done += block
+            held[key] = [(ids[done:], x[done:])]
+
+        for batch in batches:
+            ids, models = batch.column(1).to_numpy(), np.array(batch.column(0).to_pylist(), dtype=object)
+            starts, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(zero_copy_only=False)
+            sizes = np.diff(starts)
+            for key in {(m, int(d)) for m, d in zip(models, sizes)}:
+                rows = np.flatnonzero((models == key[0]) & (sizes == key[1]))
+                held.setdefault(key, []).append((ids[rows], flat[starts[rows][:, None] + np.arange(key[1])].astype(np.float32)))
+                if sum(len(i) for i, _ in held[key]) >= block:
+                    yield from pack(key, block)
+        for key in held:
+            yield from pack(key, 1)
+
+    return nodes.select("model", "node", "vec").mapInArrow(run, "model string, dim int, ids binary, vecs binary")
+
+
+class _Best:
+    """The k best of each query of a block so far: cosine rounded to 7 decimals, then id."""
+
+    STRIP = 1024
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, x, k
+        self.cos, self.found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
+        self.slack = 1e-6 + 1.2e-7 * x.shape[1]  # of a product in single precision
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for start in range(0, len(self.ids), self.STRIP):
+            self._strip(slice(start, start + self.STRIP), ids, x)
+
+    def _strip(self, part: slice, ids: np.ndarray, x: np.ndarray) -> None:
+        q, q_ids, cos, found, k, n = self.x[part], self.ids[part], self.cos[part], self.found[part], self.k, len(ids)
+        near = q @ x.T
+        least = cos[:, -1].copy()
+        if n > k + 1 and (few := np.flatnonzero(np.isneginf(least))).size:  # one more, as the query may be among them
+            least[few] = np.partition(near[few], n - k - 1, axis=1)[:, n - k - 1]
+        row, col = np.divmod(np.flatnonzero(near >= (least - self.slack).astype(np.float32)[:, None]), n)
+        other = q_ids[row] != ids[col]
+        row, col = row[other], col[other]
+        if not len(row):
+            return
+        exact = np.concatenate([np.einsum("ij,ij->i", q[row[i : i + 65536]].astype(np.float64), x[col[i : i + 65536]].astype(np.float64)) for i in range(0, len(row), 65536)])
+        met = np.unique(row)
+        row = np.concatenate([np.repeat(met, k), row])
+        all_cos = np.concatenate([cos[met].ravel(), np.round(np.minimum(1.0, exact), 7)])
+        all_ids = np.concatenate([found[met].ravel(), ids[col]])
+        order = np.lexsort((all_ids, -all_cos, row))
+        first = np.searchsorted(row[order], met)
+        kept = order[(first[:, None] + np.arange(k)).ravel()]  # each row has k at least: what it held before
+        cos[met], found[met] = all_cos[kept].reshape(-1, k), all_ids[kept].reshape(-1, k)
+
+    def batch(self) -> pa.RecordBatch:
+        there = ~np.isneginf(self.cos)
+        a = np.repeat(self.ids, there.sum(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(self.found[there]), pa.array(self.cos[there])], ["a", "b", "cosine"])
+
+
+def all_nearest(nodes: DataFrame, k: int, block: int = 4096, part: int = 1 << 18) -> DataFrame:
+    """(a, b, cosine): at least the ``k`` most similar nodes of each node, exact: every pair of a model and length is compared.
+
+    Blocks of vectors meet in a Cartesian product; a task keeps one block's best over the blocks of about ``part``
+    nodes that stream by, so its memory is bounded and only k rows a node and part leave it. The work grows with the square of the rows.
+    """
+    blocks = save_table(_blocks_of(nodes, block), "blocks")
+    n = nodes.count()
+    x, y = blocks.repartition(max(4 * cores(nodes.sparkSession), math.ceil(n / (16 * block)))).alias("x"), blocks.coalesce(max(1, math.ceil(n / part))).alias("y")
+    # equality written as two bounds: a join on so few keys would bring a whole model to one task
+    same = (F.col("x.model") >= F.col("y.model")) & (F.col("x.model") <= F.col("y.model")) & (F.col("x.dim") >= F.col("y.dim")) & (F.col("x.dim") <= F.col("y.dim"))
+    met = x.join(y.hint("shuffle_replicate_nl"), same).select("x.dim", "x.ids", "x.vecs", F.col("y.ids").alias("y_ids"), F.col("y.vecs").alias("y_vecs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, best = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim, ids = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                vectors = [np.frombuffer(batch.column(c)[i].as_py(), dtype=np.float32).reshape(-1, dim) for c in ((2, 4) if ids != asked else (4,))]
+                if ids != asked:
+                    if best is not None:
+                        yield best.batch()
+                    asked, best = ids, _Best(np.frombuffer(ids, dtype=np.int64), vectors[0], k)
+                best.add(np.frombuffer(batch.column(3)[i].as_py(), dtype=np.int64), vectors[-1])
+        if best is not None:
+            yield best.batch()
+
+    return met.mapInArrow(run, "a bigint, b bigint, cosine double")
+
+
 def nearest_records(chunks: DataFrame, k: int = K) -> DataFrame:
-    """(chunk_id, neighbour_id, cosine, rank): up to ``k`` most similar chunks of the same model found by the index.
+    """(chunk_id, neighbour_id, cosine, rank): the ``k`` most similar chunks of the same model and length of every chunk, near or far, exact.
 
-    Made for close neighbours (cosine 0.9 and more); of distant ones many are missed, see nearest_of_queries.
     Ordered by cosine (7 decimals), then id. Equal vectors are each other's first neighbours. A chunk counts once, by its
     latest row. Unusable vectors take no part; empty tables give no rows.
     """
     nodes, members = nodes_of(chunks)
     members = save_table(members, "members")
+    return _records(all_nearest(nodes, k + 1), members, k, members)
+
+
+def close_records(chunks: DataFrame, k: int = K) -> DataFrame:
+    """(chunk_id, neighbour_id, cosine, rank): what the permutation index finds of the ``k`` most similar chunks.
+
+    Made for close neighbours (cosine 0.9 and more); of distant ones many are missed, see nearest_records.
+    """
+    nodes, members = nodes_of(chunks)
+    members = save_table(members, "members")
     return _records(similar_nodes(nodes), members, k, members)
 
 
@@ -317,5 +434,5 @@ def _shard_search(shared, places: int, k: int, best: float, shard: int):
 
 def close_pairs(chunks: DataFrame, k: int = K, cosine: float = 0.9) -> DataFrame:
     """(chunk_a, chunk_b): pairs of cosine at least ``cosine`` in which one is among the other's ``k`` most similar; chunk_a < chunk_b, once each."""
-    near = nearest_records(chunks, k).where(F.col("cosine") >= cosine)
+    near = close_records(chunks, k).where(F.col("cosine") >= cosine)
     return near.select(F.least("chunk_id", "neighbour_id").alias("chunk_a"), F.greatest("chunk_id", "neighbour_id").alias("chunk_b")).distinct()
