@@ -60,7 +60,7 @@ def _p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _p6_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return site_patterns(table(spark, sf, "article_requests"), table(spark, sf, "publishers"))
+    return site_patterns(table(spark, sf, "article_requests"), table(spark, sf, "publishers"), gaps=True)
 
 
 def _p6_bodies(spark: SparkSession, sf: str) -> DataFrame:

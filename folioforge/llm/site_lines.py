@@ -4,8 +4,8 @@ Method: PrefixSpan over line-identifier sequences, one sequence database per sit
 identifier is the 64-bit hash of its normal form (lower case, runs of other characters one blank,
 digit runs 0). Patterns grow level by level as joins of occurrence tables (site, request,
 line number): level 1 are the frequent lines, level k extends each frequent pattern of k - 1
-lines by a frequent line that comes after it in the document (next line with letters). Support
-is the number of distinct requests of the site. Occurrences of frequent patterns, single
+lines by a frequent line that comes after it in the document (any later one, or only the next), until
+no pattern of a level is frequent. Support is the number of distinct requests of the site. Occurrences of frequent patterns, single
 lines included, are then removed.
 
 Everything but the per-request body is keyed by (site, line), so a site with a third of all
@@ -23,7 +23,6 @@ from folioforge.plans.runtime import fan_out, save_table
 
 MIN_REQUESTS = 5
 MIN_SHARE = 0.03
-MAX_LINES = 4
 
 
 def normal_form(line: Column) -> Column:
@@ -56,23 +55,32 @@ def frequent(pairs: DataFrame, totals: DataFrame, pattern: str = "pattern", min_
     return kept.where(F.col("support") >= min_share * F.col("site_requests")).select("site", pattern, "support")
 
 
-def frequent_sequences(lines: DataFrame, totals: DataFrame, min_requests: int = MIN_REQUESTS, min_share: float = MIN_SHARE, max_lines: int = MAX_LINES) -> tuple[DataFrame, DataFrame]:
+def frequent_sequences(lines: DataFrame, totals: DataFrame, min_requests: int = MIN_REQUESTS, min_share: float = MIN_SHARE, gaps: bool = False) -> tuple[DataFrame, DataFrame]:
     """PrefixSpan: (patterns, occurrences of frequent lines).
 
-    patterns: (site, pattern, n_lines, support), pattern being line identifiers joined by blanks;
-    sequences of adjacent frequent lines up to ``max_lines``. Occurrences: (site, request_id, line_no, line_id).
+    patterns: (site, pattern, n_lines, support), pattern being line identifiers joined by blanks; sequences of frequent
+    lines of any length, grown until no pattern of a level is frequent. With ``gaps`` other lines may lie between,
+    else only adjacent frequent lines count. Occurrences: (site, request_id, line_no, line_id).
     Postfix databases are the occurrence rows that follow a pattern's last line; each level keeps only
-    occurrences of frequent patterns, so later levels shrink.
+    occurrences of frequent patterns, with ``gaps`` the one that ends first in its request.
     """
     singles = frequent(lines.withColumnRenamed("line_id", "pattern"), totals, "pattern", min_requests, min_share)
     occurrences = save_table(lines.join(singles.select("site", F.col("pattern").alias("line_id")), ["site", "line_id"], "left_semi"), "lines")
     patterns = singles.select("site", F.col("pattern").cast("string").alias("pattern"), F.lit(1).alias("n_lines"), "support")
     in_request = W.partitionBy("site", "request_id").orderBy("line_no")
     follow = occurrences.withColumn("ord", F.row_number().over(in_request))
-    grown = follow.select("site", "request_id", "ord", F.col("line_id").cast("string").alias("pattern"))
-    following = follow.select("site", "request_id", (F.col("ord") - 1).alias("ord"), F.col("line_id").alias("after_"))
-    for k in range(2, max_lines + 1):
-        longer = grown.join(following, ["site", "request_id", "ord"]).select("site", "request_id", (F.col("ord") + 1).alias("ord"), F.concat_ws(" ", "pattern", F.col("after_").cast("string")).alias("pattern"))
+
+    def ends(found: DataFrame) -> DataFrame:
+        return found.groupBy("site", "request_id", "pattern").agg(F.min("ord").alias("ord")) if gaps else found
+
+    grown = ends(follow.select("site", "request_id", "ord", F.col("line_id").cast("string").alias("pattern")))
+    following = follow.select("site", "request_id", F.col("ord").alias("next_"), F.col("line_id").alias("after_"))
+    later = F.col("next_") > F.col("ord") if gaps else F.col("next_") == F.col("ord") + 1
+    k = 1
+    while not grown.isEmpty():
+        k += 1
+        longer = grown.join(following, ["site", "request_id"]).where(later).select("site", "request_id", F.col("next_").alias("ord"), F.concat_ws(" ", "pattern", F.col("after_").cast("string")).alias("pattern"))
+        longer = ends(longer)
         good = frequent(longer, totals, "pattern", min_requests, min_share)
         grown = save_table(longer.join(good.select("site", "pattern"), ["site", "pattern"], "left_semi"), f"level{k}")
         patterns = patterns.unionByName(frequent(grown, totals, "pattern", min_requests, min_share).select("site", "pattern", F.lit(k).alias("n_lines"), "support"))
@@ -93,12 +101,12 @@ def repeated_lines(requests: DataFrame, publishers: DataFrame, min_requests: int
     return lines.join(singles.select("site", F.col("pattern").alias("line_id")), ["site", "line_id"], "left_semi").select("request_id", "line_no")
 
 
-def site_patterns(requests: DataFrame, publishers: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
-    """(site, n_lines, support, first_line, pattern) of every frequent sequence of one or more lines."""
+def site_patterns(requests: DataFrame, publishers: DataFrame, gaps: bool = False) -> DataFrame:
+    """(site, pattern, n_lines, support) of every frequent sequence of one or more lines, adjacent or (``gaps``) with others between."""
     bodies = fan_out(site_requests(requests, publishers))
     lines = save_table(line_table(bodies), "lines")
     totals = bodies.groupBy("site").agg(F.count("*").alias("site_requests"))
-    patterns, _ = frequent_sequences(lines, totals, max_lines=max_lines)
+    patterns, _ = frequent_sequences(lines, totals, gaps=gaps)
     return patterns
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -171,6 +172,25 @@ def test_sequences_equal_brute_force(spark):
     assert Counter(got.values()) == want
 
 
+@pytest.mark.parametrize("gaps", [True, False])
+def test_sequences_of_any_length(spark, gaps):
+    """Longer than four lines, repeated lines, and (gaps) with rare and frequent lines between."""
+    rng = random.Random(6)
+    names = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]
+    rows = [(f"r{n:02d}", "\n".join(w for name in names for w in ([name] * (rng.random() < 0.8) + [f"only{'x' * n}y{name}"] * (rng.random() < 0.3) + ["beta"] * (rng.random() < 0.1))), None, "s") for n in range(40)]
+    empty = spark.createDataFrame([], PUB)
+    got = [(r.n_lines, r.support) for r in site_lines.site_patterns(requests(spark, rows), empty, gaps=gaps).collect()]
+    count: Counter = Counter()
+    for _, b, _, _ in rows:
+        ls = [x for x in b.split("\n") if x in names]
+        if gaps:
+            count.update({tuple(ls[i] for i in at) for k in range(1, len(ls) + 1) for at in itertools.combinations(range(len(ls)), k)})
+        else:
+            count.update({tuple(ls[i:j]) for i in range(len(ls)) for j in range(i + 1, len(ls) + 1)})
+    want = [(len(p), n) for p, n in count.items() if n >= 5]
+    assert sorted(got) == sorted(want) and max(k for k, _ in got) > 4
+
+
 # Problem 7
 
 
