@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from folioforge.plans.runtime import cores, fan_out, save_table
 
 K = 10
-#: Pivots of one model: PIVOT_RATE times the root of its rows, within these bounds (the pivot sample is bounded).
+#: Pivots of one model and length: PIVOT_RATE times the root of their rows, within these bounds (the pivot sample is bounded).
 PIVOT_RATE, LEAST_PIVOTS, MOST_PIVOTS = 7.5, 64, 8192
 #: Nearest pivots kept of a vector, and the greatest sum of places (from 0) of a posted triple.
 PLACES, MOST_SUM = 10, 13
@@ -93,21 +93,30 @@ def nodes_of(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pivots_of(nodes: DataFrame, rate: float = PIVOT_RATE, least: int = LEAST_PIVOTS, most: int = MOST_PIVOTS) -> dict[str, dict[int, np.ndarray]]:
-    """Pivots of each model by length: a sample of its nodes by hash, at most ``most``, whatever the number of rows."""
-    counts = {r["model"]: r["count"] for r in nodes.groupBy("model").count().collect()}
-    wanted = {m: int(min(n, most, max(least, rate * math.sqrt(n)))) for m, n in counts.items()}
-    out = {}
-    for m in sorted(counts):
-        share = min(1.0, 1.3 * wanted[m] / counts[m] + 30 / counts[m])
+    """Pivots of each model and length: a sample of its nodes by hash, at most ``most``, whatever the number of rows.
+
+    Each length draws its own, ``least`` or all of its nodes at the least, however rare it is in its model.
+    """
+    length = F.size("vec")
+    counts = {(r["model"], r["dim"]): r["count"] for r in nodes.groupBy("model", length.alias("dim")).count().collect()}
+    out: dict[str, dict[int, np.ndarray]] = {}
+    for (m, d), n in sorted(counts.items()):
+        wanted = int(min(n, most, max(least, rate * math.sqrt(n))))
+        share = min(1.0, 1.3 * wanted / n + 30 / n)
         at = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30))
-        drawn = nodes.where((F.col("model") == m) & (at < int(share * (1 << 30)))).select(at.alias("at"), "vec").orderBy("at").limit(wanted[m]).collect()
-        by_length: dict[int, list] = {}
-        for r in drawn:
-            by_length.setdefault(len(r["vec"]), []).append(r["vec"])
-        out[m] = {d: np.array(v, dtype=np.float32) for d, v in by_length.items()}
+        drawn = nodes.where((F.col("model") == m) & (length == d) & (at < int(share * (1 << 30)))).select(at.alias("at"), "vec").orderBy("at").limit(wanted).collect()
+        if drawn:
+            out.setdefault(m, {})[d] = np.array([r["vec"] for r in drawn], dtype=np.float32)
     return out
 
 
+def _pairs_of_few(nodes: DataFrame) -> DataFrame:
+    """(x, y), x < y: all pairs of a model and length that has fewer than three nodes and so no pivot triple."""
+    kind = [F.col("model"), F.size("vec").alias("dim")]
+    few = nodes.groupBy(*kind).agg(F.count("*").alias("n_"), F.min("node").alias("x"), F.max("node").alias("y"))
+    return few.where("n_ = 2").select("x", "y")
+
+
 def _planes(dim: int) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((dim, 128)).astype(np.float32)
 
@@ -130,7 +139,7 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, places: int) -> np.n
 
 def postings_of(nodes: DataFrame, pivots: dict) -> DataFrame:
     """(key, node, places, sketch): one row per node and posted pivot triple; places packs the triple's places in the node's order."""
-    shared = nodes.sparkSession.sparkContext.broadcast(pivots)  # bounded: MOST_PIVOTS rows per model
+    shared = nodes.sparkSession.sparkContext.broadcast(pivots)  # bounded: MOST_PIVOTS rows per model and length
     tags = {k: i for i, k in enumerate(sorted((m, d) for m in pivots for d in pivots[m]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +152,8 @@ def postings_of(nodes: DataFrame, pivots: dict) -> DataFrame:
                 for i, (m, v) in enumerate(zip(models, vectors)):
                     groups.setdefault((m, len(v)), []).append(i)
                 for (m, d), rows in groups.items():
-                    piv = shared.value[m].get(d)
-                    if piv is None or len(piv) < 3:
+                    piv = shared.value[m][d]
+                    if len(piv) < 3:  # so few nodes are compared without the index, see _pairs_of_few
                         continue
                     x = np.array([vectors[i] for i in rows], dtype=np.float32)
                     near = nearest_pivots(x, piv, PLACES)
@@ -200,6 +209,7 @@ def similar_nodes(nodes: DataFrame, near_bits: int = NEAR_BITS, both_bits: int =
     each = ranked.select(F.explode(F.array(F.struct(F.col("x").alias("q"), F.col("y").alias("c")), F.struct(F.col("y").alias("q"), F.col("x").alias("c")))).alias("e"), "footrule").select("e.*", "footrule")
     best = each.withColumn("rank_", F.row_number().over(W.partitionBy("q").orderBy("footrule", "c"))).where(F.col("rank_") <= rerank)
     chosen = best.select(F.least("q", "c").alias("x"), F.greatest("q", "c").alias("y")).distinct()
+    chosen = chosen.unionByName(_pairs_of_few(nodes))
     left = nodes.select(F.col("node").alias("x"), F.col("vec").alias("vx"))
     right = nodes.select(F.col("node").alias("y"), F.col("vec").alias("vy"))
     dot = F.aggregate(F.zip_with("vx", "vy", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, p: acc + p)

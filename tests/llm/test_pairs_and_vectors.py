@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from datetime import datetime
@@ -202,3 +203,18 @@ def test_blocks_and_parts_change_nothing(spark):
     nodes, _ = nb.nodes_of(vectors(spark, rows))
     whole, cut = ({(r.a, r.b, r.cosine) for r in nb.best_nodes(nb.all_nearest(nodes, 11, *sizes), 11).collect()} for sizes in ((4096, 1 << 18), (7, 50)))
     assert whole == cut and len(whole) == 300 * 11
+
+
+def test_few_and_rare_lengths_keep_their_neighbours(spark):
+    """Two vectors of a model, and two to five of a length that is rare in a large model, find each other."""
+    rng = np.random.default_rng(4)
+    rows = [("a", "two", 3, [1.0, 0.0, 0.0]), ("b", "two", 3, [0.99, 0.01, 0.0]), ("one", "one", 3, [1.0, 0.0, 0.0])]
+    rows += [(f"m{i:04d}", "m", 16, v.tolist()) for i, v in enumerate(rng.standard_normal((3000, 16)))]
+    rare = [("p0", "p1"), ("q0", "q1", "q2"), ("r0", "r1", "r2", "r3", "r4")]
+    for d, names in enumerate(rare, 4):
+        rows += [(c, "m", d, [1.0, 0.01 * i] + [0.0] * (d - 2)) for i, c in enumerate(names)]
+    want = {("a", "b")} | {p for names in rare for p in itertools.combinations(names, 2)}
+    df = vectors(spark, rows)
+    assert {p for p in pairs(nb.close_pairs(df)) if p[0][0] != "m"} == want
+    asked = {(r.chunk_id, r.neighbour_id) for r in nb.nearest_of_queries(df, every=1).collect() if r.chunk_id[0] != "m"}
+    assert asked == want | {(y, x) for x, y in want}
