@@ -135,16 +135,26 @@ def front_matter(spark, sf):
     return read.select("source_id", "title", "collection", "external_id", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "|").alias("tags"), "source_type", "language", "body", "front_error", "has_title")
 
 
-@_query
-def service_answers(spark, sf):
-    """OCR and embedding answers built from events, parsed."""
-    e = table(spark, sf, "events").where("event_id % 10 = 0").select("event_id", "event_type")
+def _answers(events):
+    e = events.select("event_id", "event_type")
     chat = F.concat(F.lit('{"choices":[{"message":{"content":" '), F.col("event_type"), F.lit('\\n"}}]}'))
     vectors = F.concat(F.lit('{"data":[{"index":1,"embedding":[3,4]},{"index":0,"embedding":['), (F.col("event_id") % 7).cast("string"), F.lit(",0]}]}"))
     unit = F.transform(readers.embedding_response(vectors), retrieval.normalize)
     return e.select("event_id", readers.ocr_response_markdown(chat).alias("markdown"), F.element_at(F.element_at(unit, 1), 1).alias("first_x"), F.element_at(F.element_at(unit, 2), 2).alias("second_y"))
 
 
+@_query
+def service_answers(spark, sf):
+    """OCR and embedding answers built from each tenth event, as its SQL has it, parsed."""
+    return _answers(table(spark, sf, "events").where("event_id % 10 = 0"))
+
+
+@_query
+def service_answers_all(spark, sf):
+    """OCR and embedding answers built from every event, parsed."""
+    return _answers(table(spark, sf, "events"))
+
+
 # Identity and duplicates
 
 

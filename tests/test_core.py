@@ -289,3 +289,11 @@ def test_requests_and_conflicts(spark):
     index = spark.createDataFrame([("c1", "s"), ("c2", "t"), ("c3", None)], "chunk_id string, source_id string")
     left, gone = generations.delete_source(index, "s")
     assert left.count() == 2 and gone.collect()[0].deleted == 1
+
+
+def test_every_event_has_its_answer(spark, data):
+    from folioforge import catalog
+
+    got = sorted(tuple(r) for r in catalog.queries()["service_answers_all"](spark, data).collect())
+    events = spark.read.parquet(f"{data}/events.parquet").select("event_id", "event_type").collect()
+    assert got == sorted((r.event_id, r.event_type, 0.0 if r.event_id % 7 == 0 else 1.0, 0.8) for r in events)
