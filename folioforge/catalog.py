@@ -290,8 +290,8 @@ def vector_topk(spark, sf):
     return retrieval.top(retrieval.cosine_to(_searchable(spark, sf), _query_vector(spark, sf), MODEL), "cosine", 20)
 
 
-def _hybrid(spark, sf, method):
-    return retrieval.hybrid_search(_searchable(spark, sf), QUESTION, _query_vector(spark, sf), MODEL, filters.Filters(equal={"language": "en"}), method=method)
+def _hybrid(spark, sf, method, whole=False):
+    return retrieval.hybrid_search(_searchable(spark, sf), QUESTION, _query_vector(spark, sf), MODEL, filters.Filters(equal={"language": "en"}), method=method, whole=whole)
 
 
 @_query
@@ -304,6 +304,16 @@ def hybrid_rrf(spark, sf):
     return _hybrid(spark, sf, "rrf")
 
 
+@_query
+def hybrid_relative_whole(spark, sf):
+    return _hybrid(spark, sf, "relative", whole=True)
+
+
+@_query
+def hybrid_rrf_whole(spark, sf):
+    return _hybrid(spark, sf, "rrf", whole=True)
+
+
 def _hits(spark, sf):
     live = _live(spark, sf)
     return live.join(F.broadcast(retrieval.top(retrieval.bm25(live, QUESTION), "lexical", 10)), "chunk_id").withColumnRenamed("lexical", "score")  # 10 rows

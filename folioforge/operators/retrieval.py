@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import page_label, strip, tokens
@@ -82,8 +83,13 @@ def top(df: DataFrame, score: str, k: int) -> DataFrame:
     return listed.select(F.posexplode("l").alias("p", "e")).select(F.col("e.c").alias("chunk_id"), (-F.col("e.s")).alias(score), (F.col("p") + 1).alias("rank"))
 
 
+def ranked(df: DataFrame, score: str) -> DataFrame:
+    """All rows with rank, ties by chunk_id; a plan that does not read the rank does not sort."""
+    return df.select("chunk_id", score, F.row_number().over(W.orderBy(F.desc(score), "chunk_id")).alias("rank"))
+
+
 def fuse(lexical: DataFrame, vector: DataFrame, method: str = "relative", settings: Retrieval | None = None) -> DataFrame:
-    """(chunk_id, score, lexical, cosine, lexical_rank, cosine_rank) of two ranked lists of at most ``depth`` rows.
+    """(chunk_id, score, lexical, cosine, lexical_rank, cosine_rank) of two ranked lists.
 
     relative: min-max of each list, weighted by alpha, a missing side counting 0 and a constant list 1; rrf: weighted reciprocal ranks.
     """
@@ -106,12 +112,13 @@ def fuse(lexical: DataFrame, vector: DataFrame, method: str = "relative", settin
     return joined.select("chunk_id", F.round(score, 9).alias("score"), "lexical", "cosine", "lexical_rank", "cosine_rank")
 
 
-def hybrid_search(chunks: DataFrame, query: str, vector: Sequence[float], model: str, filters: Filters | None = None, top_k: int | None = None, method: str = "relative", settings: Retrieval | None = None) -> DataFrame:
-    """(rank, chunk_id, score, lexical, cosine): filtered before ranking; both lists ``depth`` deep, fused, the best top_k."""
+def hybrid_search(chunks: DataFrame, query: str, vector: Sequence[float], model: str, filters: Filters | None = None, top_k: int | None = None, method: str = "relative", settings: Retrieval | None = None, whole: bool = False) -> DataFrame:
+    """(rank, chunk_id, score, lexical, cosine): filtered before ranking; both lists ``depth`` deep or ``whole``, fused, the best top_k."""
     s = settings or Retrieval()
     where = predicate(filters) if filters else None
-    lexical = top(bm25(chunks, query, where, s), "lexical", s.depth)
-    near = top(cosine_to(chunks, vector, model, where), "cosine", s.depth)
+    listed = ranked if whole else lambda df, score: top(df, score, s.depth)
+    lexical = listed(bm25(chunks, query, where, s), "lexical")
+    near = listed(cosine_to(chunks, vector, model, where), "cosine")
     fused = fuse(lexical, near, method, s)
     best = top(fused.select("chunk_id", "score"), "score", top_k or s.top_k)
     return best.join(fused.drop("score"), "chunk_id").select("rank", "chunk_id", "score", "lexical", "cosine")

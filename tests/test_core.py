@@ -297,3 +297,13 @@ def test_every_event_has_its_answer(spark, data):
     got = sorted(tuple(r) for r in catalog.queries()["service_answers_all"](spark, data).collect())
     events = spark.read.parquet(f"{data}/events.parquet").select("event_id", "event_type").collect()
     assert got == sorted((r.event_id, r.event_type, 0.0 if r.event_id % 7 == 0 else 1.0, 0.8) for r in events)
+
+
+@pytest.mark.parametrize("method", ["relative", "rrf"])
+def test_whole_lists_are_fused(spark, method):
+    from folioforge.plans.config import Retrieval
+
+    rows = [(f"c{i:02d}", "router " * (1 + i % 7) + "x " * (i % 5), [1.0, 0.05 * i], "m", 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, embedding array<float>, embedding_model string, embedding_dimension int")
+    found = lambda depth, whole: [tuple(r) for r in retrieval.hybrid_search(df, "router", [1.0, 0.0], "m", top_k=12, method=method, settings=Retrieval(depth=depth), whole=whole).orderBy("rank").collect()]
+    assert found(3, True) == found(30, False) != found(3, False)
