@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
@@ -127,7 +128,7 @@ def input_kinds(spark, sf):
 @_query
 def front_matter(spark, sf):
     """Manifests written as Markdown with front matter, read back and merged with defaults."""
-    m = identity.latest_manifests(table(spark, sf, "source_manifests")).select("source_id", "title", "collection", "external_id", "tags")
+    m = identity.latest_manifests(table(spark, sf, "source_manifests"), "title", "collection", "external_id", "tags")
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit("'")), F.lit('"'))
     lines = [F.lit("---"), F.concat(F.lit("title: "), quoted("title")), F.concat(F.lit("collection: "), quoted("collection")), F.concat(F.lit("external_id: "), quoted("external_id")), F.concat(F.lit("tags: ["), F.array_join(F.transform(F.col("tags"), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), ", "), F.lit("]")), F.lit("ignored: 1"), F.lit("---"), F.lit("Body of it.")]
     written = m.select("source_id", F.concat_ws("\n", *lines).alias("markdown"))
@@ -145,12 +146,6 @@ def _answers(events):
 
 @_query
 def service_answers(spark, sf):
-    """OCR and embedding answers built from each tenth event, as its SQL has it, parsed."""
-    return _answers(table(spark, sf, "events").where("event_id % 10 = 0"))
-
-
-@_query
-def service_answers_all(spark, sf):
     """OCR and embedding answers built from every event, parsed."""
     return _answers(table(spark, sf, "events"))
 
@@ -176,7 +171,10 @@ def identity_backfill(spark, sf):
 
 @_query
 def identity_collisions(spark, sf):
-    return identity.identity_collisions(identity.backfill_identities(table(spark, sf, "source_manifests")))
+    """Identities that several sources would share if every request were taken as a source beside the published ones."""
+    made = identity.backfill_identities(table(spark, sf, "source_manifests")).select("source_id", "identity_key")
+    asked = identity.request_identities(table(spark, sf, "article_requests")).select(F.col("request_id").alias("source_id"), "identity_key")
+    return identity.identity_collisions(made.unionByName(asked)).select("identity_key", "n_sources", F.array_join("source_ids", ",").alias("source_ids"))
 
 
 @_query
@@ -234,20 +232,20 @@ def markdown_parts(spark, sf):
 # Filters
 
 
-def _live(spark, sf):
-    cols = ("source_id", "source_type", "title", "chapter", "section", "page_start", "page_end", "chunk_index", "text", "language", "publisher", "tags", "embedding_model")
+def _live(spark, sf, *cols):
+    """Live chunks with the columns that a query uses."""
     return retrieval.live_chunks(table(spark, sf, "chunks"), *cols)
 
 
 @_query
 def filter_equal_pages(spark, sf):
     f = filters.Filters(equal={"language": "en", "source_type": "documentation"}, page_start=3, page_end=20)
-    return filters.apply_filters(_live(spark, sf), f).select("chunk_id")
+    return retrieval.live_matching(table(spark, sf, "chunks"), filters.predicate(f))
 
 
 @_query
 def filter_tags(spark, sf):
-    return filters.apply_filters(_live(spark, sf), filters.Filters(tags=("law",))).select("chunk_id")
+    return retrieval.live_matching(table(spark, sf, "chunks"), filters.predicate(filters.Filters(tags=("law",))))
 
 
 @_query
@@ -262,7 +260,7 @@ def filter_dates(spark, sf):
 @_query
 def page_overlaps(spark, sf):
     """Chunks of one source that share a page with a later chunk, counted by chunk."""
-    live = _live(spark, sf).where("page_start is not null and page_end is not null").select(F.col("chunk_id").alias("id"), "source_id", "chapter", "page_start", "page_end")
+    live = _live(spark, sf, "source_id", "chapter", "page_start", "page_end").where("page_start is not null and page_end is not null").select(F.col("chunk_id").alias("id"), "source_id", "chapter", "page_start", "page_end")
     live = live.withColumn("key", F.concat_ws("|", "source_id", F.coalesce("chapter", F.lit("")))).drop("source_id", "chapter")
     pairs = filters.overlapping_pages(live, live, "key").where("left_id < right_id")
     return pairs.groupBy("left_id").agg(F.count("*").alias("n_overlaps"))
@@ -276,22 +274,18 @@ def _query_vector(spark, sf):
     return list(first[0][0]) if first else [0.0]
 
 
-def _searchable(spark, sf):
-    return retrieval.live_chunks(table(spark, sf, "chunks"), "source_id", "title", "chapter", "section", "page_start", "page_end", "text", "language", "tags", "embedding_model", "embedding_dimension", "embedding")
-
-
 @_query
 def bm25_topk(spark, sf):
-    return retrieval.top(retrieval.bm25(_live(spark, sf), QUESTION), "lexical", 20)
+    return retrieval.top(retrieval.bm25(table(spark, sf, "chunks"), QUESTION), "lexical", 20)
 
 
 @_query
 def vector_topk(spark, sf):
-    return retrieval.top(retrieval.cosine_to(_searchable(spark, sf), _query_vector(spark, sf), MODEL), "cosine", 20)
+    return retrieval.top(retrieval.cosine_to(table(spark, sf, "chunks"), _query_vector(spark, sf), MODEL), "cosine", 20)
 
 
-def _hybrid(spark, sf, method, whole=False):
-    return retrieval.hybrid_search(_searchable(spark, sf), QUESTION, _query_vector(spark, sf), MODEL, filters.Filters(equal={"language": "en"}), method=method, whole=whole)
+def _hybrid(spark, sf, method):
+    return retrieval.hybrid_search(fan_out(table(spark, sf, "chunks")), QUESTION, _query_vector(spark, sf), MODEL, filters.Filters(equal={"language": "en"}), method=method)
 
 
 @_query
@@ -304,19 +298,22 @@ def hybrid_rrf(spark, sf):
     return _hybrid(spark, sf, "rrf")
 
 
-@_query
-def hybrid_relative_whole(spark, sf):
-    return _hybrid(spark, sf, "relative", whole=True)
+#: The model that needs no service, and what is asked of it from end to end.
+OWN_MODEL = "hashed-words-64"
+ASKED = "How do routers and firewalls pass packets?"
 
 
-@_query
-def hybrid_rrf_whole(spark, sf):
-    return _hybrid(spark, sf, "rrf", whole=True)
+def _hits(spark, sf):
+    """The whole search: chunks embedded by the engine's own embedder, the question after its instruction, filtered, both lists fused, models compared."""
+    c = table(spark, sf, "chunks").select("chunk_id", "created_at", "title", "chapter", "section", "page_start", "page_end", "text", "language")
+    rows = fan_out(c).withColumns({"embedding": plugins.embed_column(F.coalesce("text", F.lit("")), plugins.hashed_vectors), "embedding_model": F.lit(OWN_MODEL), "embedding_dimension": F.lit(64)})
+    f = filters.Filters(equal={"language": "en"})
+    return retrieval.search(rows, ASKED, plugins.hashed_vectors, OWN_MODEL, f, top_k=10, instruction=plugins.INSTRUCTION)
 
 
-def _hits(spark, sf):
-    live = _live(spark, sf)
-    return live.join(F.broadcast(retrieval.top(retrieval.bm25(live, QUESTION), "lexical", 10)), "chunk_id").withColumnRenamed("lexical", "score")  # 10 rows
+@_query
+def search_hits(spark, sf):
+    return _hits(spark, sf).select("rank", "chunk_id", F.round("score", 6).alias("score"), "lexical", F.round("cosine", 5).alias("cosine"), "title", "embedding_model")
 
 
 @_query
@@ -326,27 +323,43 @@ def search_lines(spark, sf):
 
 @_query
 def context_pack(spark, sf):
-    return retrieval.context_pack(_hits(spark, sf), "How do routers and firewalls pass packets?")
+    return retrieval.context_pack(_hits(spark, sf), ASKED)
+
+
+@_query
+def chunk_shown(spark, sf):
+    """One chunk looked up by its id, here the first."""
+    chunks = table(spark, sf, "chunks")
+    return retrieval.show_chunk(chunks, chunks.agg(F.min("chunk_id")).collect()[0][0]).select("chunk_id", "source_id", "title", "text")
+
+
+@_query
+def source_shown(spark, sf):
+    """One source looked up by its id, here the first."""
+    m = table(spark, sf, "source_manifests")
+    return identity.show_source(m, m.agg(F.min("source_id")).collect()[0][0]).select("source_id", "title", "source_type", "collection")
 
 
 @_query
 def model_mismatch(spark, sf):
-    return retrieval.mismatched_models(_live(spark, sf), MODEL)
+    return retrieval.mismatched_models(_live(spark, sf, "embedding_model"), MODEL)
 
 
 @_query
 def neighbours_by_label(spark, sf):
-    """Exact cosine top-10 of the embeddings table to its first vector."""
+    """The three vectors of each label that are nearest to the first vector, by exact cosine."""
     e = table(spark, sf, "embeddings")
     q = e.orderBy("vec_id").limit(1).select("embedding").collect()
-    rows = e.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit("m").alias("embedding_model"), F.size("embedding").alias("embedding_dimension"))
-    return retrieval.top(retrieval.cosine_to(rows, list(q[0][0]), "m"), "cosine", 10)
+    rows = e.select(F.col("vec_id").cast("string").alias("chunk_id"), "label", "embedding", F.lit("m").alias("embedding_model"), F.size("embedding").alias("embedding_dimension"))
+    near = rows.select("chunk_id", "label", retrieval.cosine_expression(list(q[0][0]), "m").alias("cosine")).where("cosine is not null")
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.desc("cosine"), "chunk_id"))  # cut to three per task before the shuffle
+    return near.withColumn("rank", place).where("rank <= 3")
 
 
 @_query
 def hashed_embeddings(spark, sf):
     """Chunks embedded without a service: length of the vector and its product with the query's."""
-    live = _live(spark, sf).select("chunk_id", "text")
+    live = _live(spark, sf, "text")
     v = plugins.embed_with(live, "chunk_id", "text", plugins.hashed_vectors, batch=256)
     asked = F.array(*[F.lit(x) for x in plugins.hashed_vectors([QUESTION])[0]])
     own = F.col("embedding")
@@ -395,30 +408,29 @@ def source_models(spark, sf):
 
 @_query
 def chunk_stats(spark, sf):
-    return generations.chunk_stats(_live(spark, sf))
+    return generations.chunk_stats(_live(spark, sf, "source_id", "text", "page_start", "page_end"))
 
 
 @_query
 def facet_rollup(spark, sf):
-    f = generations.facet_counts(_live(spark, sf), "source_type", "language")
+    f = generations.facet_counts(_live(spark, sf, "source_type", "language"), "source_type", "language")
     return f.select("source_type", "language", "chunks", F.col("level").cast("bigint").alias("level"))
 
 
 @_query
 def index_properties(spark, sf):
-    live = _live(spark, sf).select("chunk_id", "source_id", "section", "page_start", "tags")
+    live = _live(spark, sf, "source_id", "section", "page_start", "tags")
     return generations.index_properties(live)
 
 
 @_query
 def source_list(spark, sf):
-    m = identity.latest_manifests(table(spark, sf, "source_manifests"))
-    return m.select("source_id", "title", "source_type", "chapter")
+    return identity.latest_manifests(table(spark, sf, "source_manifests"), "title", "source_type", "chapter").select("source_id", "title", "source_type", "chapter")
 
 
 @_query
 def chunk_list(spark, sf):
-    return _live(spark, sf).select("chunk_id", "title", X.page_label(F.col("page_start"), F.col("page_end")).alias("pages"))
+    return _live(spark, sf, "title", "page_start", "page_end").select("chunk_id", "title", X.page_label(F.col("page_start"), F.col("page_end")).alias("pages"))
 
 
 @_query
@@ -430,7 +442,7 @@ def index_copy_check(spark, sf):
 @_query
 def layout_fallback(spark, sf):
     """Pages whose layout failed or was empty, from page attempts."""
-    p = pages.latest_pages(table(spark, sf, "page_metadata")).where("source_id is not null")
+    p = pages.latest_pages(table(spark, sf, "page_metadata"), "extraction_method").where("source_id is not null")
     error = F.when(F.col("extraction_method") == "failed", "RuntimeError")
     made = p.select("source_id", "page_number", F.when(F.col("extraction_method") != "skipped", "x").alias("layout"), error.alias("layout_error"), F.lit("y").alias("plain"))
     return plugins.layout_fallback(made).groupBy("extraction_method", F.array_join("quality_flags", ",").alias("flags"), "fatal").agg(F.count("*").alias("pages"))
@@ -473,14 +485,36 @@ def job_failures(spark, sf):
 
 @_query
 def admission_control(spark, sf):
-    u = _jobs(spark, sf).select("job_id", "created_at", (F.col("attempts") * 1000003 + 17).cast("bigint").alias("bytes"))
-    return queue.admit(u, Queue(storage_bytes=200_000_000)).select("job_id", "used", "admitted")
+    """Article requests as uploads in order of arrival, against a queue that holds the active jobs already."""
+    r = table(spark, sf, "article_requests")
+    u = r.groupBy("request_id").agg(F.min("received_at").alias("received_at"), F.max(F.length("body")).cast("bigint").alias("bytes"))
+    active = _jobs(spark, sf).where(queue.is_active()).count()
+    s = Queue(max_active=active + 20, storage_bytes=60_000, upload_bytes=2_500)
+    return queue.admit(u, active, 30_000, s, ("received_at", "request_id")).select("request_id", "bytes", "decision")
 
 
 @_query
 def blocked_jobs(spark, sf):
-    live = identity.latest_manifests(table(spark, sf, "source_manifests"))
-    return queue.blocking_jobs(_jobs(spark, sf), live)
+    """Ended jobs sent in again under another source id: which of them, and which others, a job blocks."""
+    live = identity.latest_manifests(table(spark, sf, "source_manifests"), "title")
+    jobs = _jobs(spark, sf).select("job_id", "status", "source_id", "identity_key")
+    again = jobs.where("status in ('succeeded', 'failed')").select(F.concat("job_id", F.lit("-again")).alias("job_id"), F.lit("queued").alias("status"), F.concat("source_id", F.lit("_2")).alias("source_id"), "identity_key")
+    return queue.blocking_jobs(jobs.unionByName(again), live)
+
+
+@_query
+def retry_jobs(spark, sf):
+    """All jobs asked to run again; uploads of those with an even number of attempts are still there."""
+    jobs = _jobs(spark, sf)
+    there = jobs.where("attempts % 2 = 0").select("upload_path")
+    asked = jobs.select("job_id").unionByName(jobs.select(F.lit("no-such-job").alias("job_id")).limit(1))
+    s = Queue(max_active=jobs.where(queue.is_active()).count() + 7)
+    return queue.retry(jobs, asked, there, s)
+
+
+@_query
+def terminal_cleanup(spark, sf):
+    return queue.terminal_cleanup(_jobs(spark, sf))
 
 
 @_query
@@ -502,13 +536,22 @@ def worker_health(spark, sf):
 
 @_query
 def queue_health(spark, sf):
-    return queue.queue_health(_jobs(spark, sf))
+    jobs = _jobs(spark, sf)
+    return queue.queue_health(jobs, reservations=jobs.where("status = 'failed'"), sources=table(spark, sf, "source_manifests"))
 
 
 @_query
 def job_phases(spark, sf):
+    """Jobs by phase, the phase that follows (also if a job is not to be indexed) and the one an interrupted job goes on from."""
     j = _jobs(spark, sf)
-    return j.groupBy("status", "phase", queue.transition(F.col("status"), F.col("phase")).alias("next_phase")).agg(F.count("*").alias("jobs"))
+    follows = queue.transition(F.col("status"), F.col("phase"))
+    short = queue.transition(F.col("status"), F.col("phase"), F.lit(True))
+    return j.groupBy("status", "phase", follows.alias("next_phase"), short.alias("next_unindexed"), queue.resume_phase(F.col("phase")).alias("resumed")).agg(F.count("*").alias("jobs"))
+
+
+@_query
+def blank_sources(spark, sf):
+    return pages.without_content(table(spark, sf, "page_metadata"))
 
 
 @_query

@@ -115,12 +115,25 @@ TRANSIENT = (
     "StatusCode.UNAVAILABLE", "StatusCode.DEADLINE_EXCEEDED", "Connection refused", "connection lost", "connection reset",
     "failed to connect", "service unavailable", "transport is closing",
 )
+#: Kinds of error that are a passing outage, as messages name them: of the transport, of the index service.
+TRANSIENT_TYPES = (
+    "TransportError", "WeaviateConnectionError", "WeaviateRetryError", "WeaviateTimeoutError", "WeaviateBatchFailedToReestablishStreamError",
+    "WeaviateGRPCUnavailableError", "WeaviateStartUpError",
+)
+#: Kinds of transport error of an HTTP client, and the kind that stands for a passing outage itself.
+TRANSPORT_KINDS = ("ConnectTimeout", "ReadTimeout", "WriteTimeout", "PoolTimeout", "ConnectError", "ReadError", "WriteError", "CloseError", "ProxyError", "RemoteProtocolError", "DependencyUnavailableError")
+#: HTTP status codes below 500 after which a request may be sent again.
+TRANSIENT_CODES = (408, 425, 429)
 
 
-def retryable(message: Column) -> Column:
-    """Whether an error message names a passing outage; null messages do not."""
+def retryable(message: Column, status: Column | None = None, kind: Column | None = None) -> Column:
+    """Whether an error is a passing outage: by its message, by the HTTP ``status`` (5xx and a few others) or by the name of its ``kind``; nulls do not tell."""
     low = F.lower(F.coalesce(message, F.lit("")))
     out = F.lit(False)
-    for part in TRANSIENT:
+    for part in (*TRANSIENT, *TRANSIENT_TYPES):
         out = out | low.contains(part.lower())
+    if status is not None:
+        out = out | F.coalesce((status >= 500) | status.isin(*TRANSIENT_CODES), F.lit(False))
+    if kind is not None:
+        out = out | F.coalesce(kind.isin(*TRANSIENT_TYPES, *TRANSPORT_KINDS), F.lit(False))
     return out

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import normalize_url, strip
@@ -50,12 +49,20 @@ def duplicate_decisions(arrivals: DataFrame, key: str = "identity_key", order: t
     return joined.withColumn("decision", decision).withColumn("existing_id", F.when(~mine, F.col(f"first_.{order[-1]}"))).drop("first_")
 
 
-def latest_manifests(manifests: DataFrame) -> DataFrame:
-    """The latest row of each source."""
-    cols = [c for c in manifests.columns if c not in ("source_id", "updated_at")]
+def latest_manifests(manifests: DataFrame, *cols: str) -> DataFrame:
+    """The latest row of each source, with ``cols`` or all its columns."""
+    cols = cols or tuple(c for c in manifests.columns if c not in ("source_id", "updated_at"))
     return manifests.groupBy("source_id").agg(F.max(F.struct("updated_at", *cols)).alias("n_")).select("source_id", "n_.*")
 
 
+def show_source(manifests: DataFrame, source_id: str) -> DataFrame:
+    """The latest row of one source; a lookup that reaches the scan. Raises if there is none."""
+    found = manifests.where(F.col("source_id") == source_id).orderBy(F.desc("updated_at")).limit(1)
+    if found.isEmpty():
+        raise LookupError(f"no source {source_id!r}")
+    return found
+
+
 def existing_key(origin: Column, external_id: Column, canonical_url: Column, url: Column, content_sha256: Column) -> Column:
     """Key of a stored source without one: an external id counts only with its origin; null if nothing is known."""
     return identity_key(origin, F.when(_given(origin).isNotNull(), external_id), canonical_url, url, _given(content_sha256))
@@ -66,14 +73,33 @@ _PARTS = ("origin", "external_id", "canonical_url", "url", "content_sha256")
 
 def backfill_identities(manifests: DataFrame) -> DataFrame:
     """Latest manifests with identity_key filled in where it was missing; backfilled tells where."""
-    latest = latest_manifests(manifests)
+    latest = latest_manifests(manifests, "identity_key", *_PARTS)
     had = _given(F.col("identity_key"))
     return latest.withColumn("backfilled", had.isNull()).withColumn("identity_key", F.coalesce(had, existing_key(*(F.col(c) for c in _PARTS))))
 
 
 def identity_collisions(sources: DataFrame) -> DataFrame:
-    """(identity_key, n_sources, first_source, last_source) of identities that more than one source has."""
-    return sources.where("identity_key is not null").groupBy("identity_key").agg(F.count("*").alias("n_sources"), F.min("source_id").alias("first_source"), F.max("source_id").alias("last_source")).where("n_sources > 1")
+    """(identity_key, n_sources, source_ids) of identities that more than one source has.
+
+    source_ids lists them in order. Identities of one source are dropped by a count before anything is gathered, so what is listed is
+    the collisions themselves.
+    """
+    keyed = sources.where("identity_key is not null").select("identity_key", "source_id")
+    several = keyed.groupBy("identity_key").agg(F.count("*").alias("n_sources")).where("n_sources > 1")
+    return keyed.join(several, "identity_key").groupBy("identity_key", "n_sources").agg(F.array_sort(F.collect_list("source_id")).alias("source_ids"))
+
+
+def install_backfill(table, backfilled: DataFrame, seen_version: int) -> int:
+    """Publishes backfilled manifests in a versioned table, all or none; returns the version.
+
+    Refused if two sources would share an identity, or if another version was published since ``seen_version`` was read.
+    """
+
+    def collides(written: DataFrame) -> str | None:
+        first = identity_collisions(written).limit(1).collect()
+        return f"identity {first[0]['identity_key']} would belong to {first[0]['n_sources']} sources" if first else None
+
+    return table.publish(backfilled, "source_id", check=collides, base=seen_version)
 
 
 def find_by_identity(requests: DataFrame, sources: DataFrame) -> DataFrame:
@@ -97,11 +123,6 @@ def reservation_state(reservations: DataFrame, active_jobs: DataFrame, sources:
     return joined.withColumn("release", F.col("live_").isNotNull() | orphan | direct).drop("active_", "live_")
 
 
-def order_of_arrival(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """Adds ``arrival``, the place of a row among those of its key; for keys with bounded groups."""
-    return df.withColumn("arrival", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-
-
 def backfill_conflicts(seen: DataFrame, current: DataFrame) -> DataFrame:
     """Sources (source_id) that changed between a computed backfill and its installation, by update time and original path."""
     a = seen.select("source_id", F.col("updated_at").alias("u_"), F.col("original_path").alias("o_"))

@@ -87,9 +87,9 @@ def visual_raster(drawings: Column, dark: Column, n: Column) -> Column:
     return drawings | (dark / F.greatest(n, F.lit(1)) >= 0.002)
 
 
-def latest_pages(pages: DataFrame) -> DataFrame:
-    """The latest attempt of each page; ties are settled by the other columns."""
-    cols = [c for c in pages.columns if c not in ("source_id", "page_number", "extracted_at")]
+def latest_pages(pages: DataFrame, *cols: str) -> DataFrame:
+    """The latest attempt of each page, with ``cols`` or all its columns; ties are settled by the other columns."""
+    cols = cols or tuple(c for c in pages.columns if c not in ("source_id", "page_number", "extracted_at"))
     newest = F.max(F.struct("extracted_at", *cols)).alias("n_")
     return pages.groupBy("source_id", "page_number").agg(newest).select("source_id", "page_number", "n_.*")
 
@@ -102,7 +102,7 @@ def one_or_mixed(c: Column) -> Column:
 def extraction_summary(pages: DataFrame) -> DataFrame:
     """Per source: pages by method, the OCR provider and model in use, whether nothing was read."""
     ocr = F.col("extraction_method") == "ocr"
-    return latest_pages(pages).groupBy("source_id").agg(
+    return latest_pages(pages, "extraction_method", "ocr_provider", "ocr_model").groupBy("source_id").agg(
         F.count("*").alias("pages_total"), F.count_if(F.col("extraction_method") == "pymupdf4llm").alias("pages_layout"), F.count_if(ocr).alias("pages_ocr"),
         one_or_mixed(F.when(ocr, F.col("ocr_provider"))).alias("ocr_provider"), one_or_mixed(F.when(ocr, F.col("ocr_model"))).alias("ocr_model"),
         F.bool_and(F.coalesce(F.col("extraction_method") == "skipped", F.lit(False))).alias("all_skipped"),
@@ -117,7 +117,20 @@ def combine_pages(pages: DataFrame, keys: list[str], order: str, text: str) -> D
 
 
 def normalized_pages(pages: DataFrame, number: str, text: str) -> DataFrame:
-    """Adds ``markdown``, char_count and word_count (after normalisation, marker included)."""
+    """Adds ``markdown``, char_count and word_count (after normalisation, marker included). A page without content is blank and has 0 of both."""
     out = pages.withColumn("markdown", page_markdown(F.coalesce(F.col(text), F.lit("")), F.col(number)))
     bare = strip(F.col("markdown"))
-    return out.withColumn("char_count", F.length(bare)).withColumn("word_count", F.size(F.filter(F.split(bare, f"{SPACE}+"), lambda w: w != "")))
+    blank = strip(F.coalesce(F.col(text), F.lit(""))) == ""
+    words = F.size(F.filter(F.split(bare, f"{SPACE}+"), lambda w: w != ""))
+    return out.withColumn("char_count", F.when(blank, 0).otherwise(F.length(bare))).withColumn("word_count", F.when(blank, 0).otherwise(words))
+
+
+def require_content(summary: DataFrame) -> DataFrame:
+    """The summary of ``extraction_summary``; raises when it is read if a source has pages and all of them were skipped."""
+    said = F.concat(F.lit("no content: every page of "), F.coalesce("source_id", F.lit("a source")), F.lit(" was blank"))
+    return summary.where(F.when(F.col("all_skipped"), F.raise_error(said).isNull()).otherwise(F.lit(True)))
+
+
+def without_content(pages: DataFrame) -> DataFrame:
+    """(source_id, pages_total) of sources of which every page was skipped; such are refused, not published."""
+    return extraction_summary(pages).where("all_skipped").select("source_id", "pages_total")

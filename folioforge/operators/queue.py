@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import retryable
@@ -72,19 +71,79 @@ def after_failure(jobs: DataFrame, now: Column, settings: Queue | None = None) -
     return jobs.where("status = 'failed'").select("job_id", "error", again.alias("retryable"), F.when(again, "queued").otherwise("failed").alias("next_status"), when.alias("next_attempt_s"))
 
 
-def admit(uploads: DataFrame, settings: Queue | None = None, order: tuple[str, str] = ("created_at", "job_id"), size: str = "bytes", shard: str | None = None) -> DataFrame:
-    """Adds ``used`` (bytes up to and with the row) and ``admitted`` to uploads in order of arrival.
+def admit(uploads: DataFrame, active: int = 0, used: int = 0, settings: Queue | None = None, order: tuple[str, str] = ("created_at", "job_id"), size: str = "bytes", step: int = 1000) -> DataFrame:
+    """Adds ``decision`` to uploads in order of arrival: admitted, queue_full, storage_full or too_large.
 
-    The running sum goes by day: sums per day are combined first, so one task orders no more than a day (or
-    shard) of arrivals.
+    ``active`` jobs and reservations and ``used`` bytes are what the queue holds now. Only admitted uploads take a place and room; one that is refused leaves both to those after it. Null
+    sizes count as 0, null times come first.
+
+    At most ``max_active`` uploads can be admitted, so they are found by looking at the next ``step`` arrivals that still fit, a bounded list: whatever
+    lies between them is too large for what is left, and what is left only shrinks.
+    """
+    s = settings or Queue()
+    at, by, bytes_ = F.coalesce(F.unix_micros(order[0]), F.lit(-(1 << 62))), F.coalesce(order[1], F.lit("")), F.coalesce(F.col(size).cast("bigint"), F.lit(0))
+    slim = uploads.select(at.alias("at"), by.alias("id"), bytes_.alias("n")).where(F.col("n") <= s.upload_bytes)
+    taken: list[tuple[int, str, int]] = []
+    places, left, after = s.max_active - active, s.storage_bytes - used, None
+    while places > 0:
+        ahead = slim.where(F.col("n") <= left)
+        if after is not None:
+            ahead = ahead.where((F.col("at") > after[0]) | (F.col("at") == after[0]) & (F.col("id") > after[1]))
+        got = ahead.orderBy("at", "id").limit(step).collect()
+        for r in got:
+            if places and r["n"] <= left:
+                places, left = places - 1, left - r["n"]
+                taken.append((r["at"], r["id"], s.storage_bytes - left))
+        if len(got) < step:
+            break
+        after = (got[-1]["at"], got[-1]["id"])
+    entries = [F.struct(F.lit(a).alias("at"), F.lit(i).alias("id"), F.lit(u).cast("bigint").alias("used"), F.lit(k + 1).alias("n")) for k, (a, i, u) in enumerate(taken)]
+    held = F.array(F.struct(F.lit(-(1 << 63) + 1).alias("at"), F.lit("").alias("id"), F.lit(used).cast("bigint").alias("used"), F.lit(0).alias("n")), *entries)
+    before = F.element_at(F.filter(held, lambda x: (x["at"] < at) | (x["at"] == at) & (x["id"] < by)), -1)
+    full = F.col("before_.n") + active >= s.max_active
+    dear = F.col("before_.used") + F.least(bytes_, F.lit(s.upload_bytes)) > s.storage_bytes
+    decision = F.when(full, "queue_full").when(dear, "storage_full").when(bytes_ > s.upload_bytes, "too_large").otherwise("admitted")
+    return uploads.withColumn("before_", before).withColumn("decision", decision).drop("before_")
+
+
+def retry(jobs: DataFrame, asked: DataFrame, uploads: DataFrame, settings: Queue | None = None) -> DataFrame:
+    """(job_id, outcome) of jobs (job_id) that someone asks to run again: queued, unknown, not_failed, upload_gone, identity_held or queue_full.
+
+    uploads: (upload_path) of files that are there; they are needed until extraction is over. The identity must not be held by another source's
+    job. Places left are given in order of creation, then id; the places are bounded, so only as many rows are ordered.
     """
     s = settings or Queue()
-    day = F.col(shard) if shard else F.to_date(order[0])
-    rows = uploads.withColumn("day_", day)
-    before = rows.groupBy("day_").agg(F.sum(size).alias("sum_")).withColumn("before_", F.coalesce(F.sum("sum_").over(W.orderBy("day_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("day_", "before_")
-    within = F.sum(size).over(W.partitionBy("day_").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    out = rows.withColumn("within_", within).join(before, "day_").withColumn("used", F.col("within_") + F.col("before_"))
-    return out.withColumn("admitted", (F.col("used") <= s.storage_bytes) & (F.col(size) <= s.upload_bytes)).drop("day_", "within_", "before_")
+    wanted = asked.select("job_id").where("job_id is not null").distinct()
+    held = blocking_jobs(jobs, jobs.select("source_id").where("false")).select("job_id", F.lit(True).alias("held_"))
+    there = uploads.select("upload_path").distinct().withColumn("there_", F.lit(True))
+    joined = wanted.join(jobs, "job_id", "left").join(there, "upload_path", "left").join(held, "job_id", "left")
+    early = F.col("phase").isin("queued", "extracting")
+    outcome = (
+        F.when(F.col("status").isNull(), "unknown").when(F.col("status") != "failed", "not_failed").when(F.col("there_").isNull() & early, "upload_gone")
+        .when(F.col("held_").isNotNull() & (F.coalesce("duplicate_policy", F.lit("reject")) == "reject"), "identity_held")
+    )
+    judged = joined.select("job_id", "created_at", outcome.alias("no_"))
+    active = jobs.agg(F.count_if(is_active()).alias("active_"))
+    fit = judged.where("no_ is null").orderBy("created_at", "job_id").limit(s.max_active)
+    places = fit.groupBy().agg(F.array_sort(F.collect_list(F.struct("created_at", "job_id"))).alias("l_")).crossJoin(active)  # one row each
+    chosen = places.select(F.explode(F.slice("l_", 1, F.greatest(s.max_active - F.col("active_"), F.lit(0)).cast("int"))).alias("c_")).select(F.col("c_.job_id").alias("job_id"), F.lit("queued").alias("yes_"))
+    return judged.join(chosen, "job_id", "left").select("job_id", F.coalesce("no_", "yes_", F.lit("queue_full")).alias("outcome"))
+
+
+def retried(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Jobs with those queued again whose outcome of ``retry`` says so: error, end, claim and next attempt cleared."""
+    go = outcomes.where("outcome = 'queued'").select("job_id", F.lit(True).alias("go_"))
+    joined = jobs.join(go, "job_id", "left")
+    again = F.col("go_").isNotNull()
+    cleared = {c: F.when(~again, F.col(c)) for c in ("error", "finished_at", "claim_token", "worker_id", "next_attempt_at")}
+    return joined.withColumns({**cleared, "status": F.when(again, "queued").otherwise(F.col("status"))}).drop("go_").select(jobs.columns)
+
+
+def terminal_cleanup(jobs: DataFrame) -> DataFrame:
+    """(job_id, action, target): what goes when a job has ended: a succeeded one's upload, a failed one's hold on its identity."""
+    action = F.when(F.col("status") == "succeeded", "drop_upload").when((F.col("status") == "failed") & F.col("identity_key").isNotNull(), "release_identity")
+    target = F.when(F.col("status") == "succeeded", F.col("upload_path")).otherwise(F.col("identity_key"))
+    return jobs.select("job_id", action.alias("action"), target.alias("target")).where("action is not null and target is not null")
 
 
 def blocking_jobs(jobs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -123,18 +182,35 @@ def worker_health(jobs: DataFrame, now: Column, settings: Queue | None = None) -
     return seen.withColumn("age_s", F.unix_timestamp(now) - F.col("last_seen_s")).withColumn("healthy", F.col("age_s") <= s.stale_after)
 
 
-def queue_health(jobs: DataFrame, settings: Queue | None = None) -> DataFrame:
-    """One row: jobs by status, whether there is room for more, and the overall state."""
+def queue_health(jobs: DataFrame, settings: Queue | None = None, reservations: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """One row: jobs by status, reservations, sources, whether there is room for more, and the overall state (ok or degraded)."""
     s = settings or Queue()
     counts = [F.count_if(F.col("status") == x).alias(x) for x in STATUSES]
-    out = jobs.agg(*counts).withColumn("active", F.col("queued") + F.col("running"))
+
+    def number(df: DataFrame | None, key: str, name: str) -> DataFrame:
+        return (jobs.where("false") if df is None else df).agg(F.count_distinct(F.col(key)).alias(name))
+
+    out = jobs.agg(*counts).crossJoin(number(reservations, "job_id", "reserved")).crossJoin(number(sources, "source_id", "sources"))  # one row each
+    out = out.withColumn("active", F.col("queued") + F.col("running") + F.col("reserved"))
     return out.withColumn("has_room", F.col("active") < s.max_active).withColumn("state", F.when(F.col("has_room"), "ok").otherwise("degraded"))
 
 
-def transition(status: Column, phase: Column) -> Column:
-    """Phase that follows: queued, extracting, embedding, indexing, done."""
-    steps = F.create_map(*[F.lit(x) for pair in (("queued", "extracting"), ("extracting", "embedding"), ("embedding", "indexing"), ("indexing", "done")) for x in pair])
-    return F.when(status.isin("queued", "running"), F.try_element_at(steps, phase))
+#: Phases of a job in order, by how the table writes them.
+PHASES = ("queued", "extracting", "embedding", "indexing", "done")
+
+
+def transition(status: Column, phase: Column, no_index: Column | None = None) -> Column:
+    """Phase that follows: queued, extracting, embedding, indexing, done; with ``no_index`` a job is done once extracted. Null for ended jobs."""
+    steps = F.create_map(*[F.lit(x) for pair in zip(PHASES, PHASES[1:]) for x in pair])
+    plain = F.try_element_at(steps, phase)
+    if no_index is not None:
+        plain = F.when(F.coalesce(no_index, F.lit(False)) & phase.isin("extracting", "embedding", "indexing"), "done").otherwise(plain)
+    return F.when(status.isin("queued", "running"), plain)
+
+
+def resume_phase(phase: Column) -> Column:
+    """Where a job goes on after an interruption: extraction begins anew, what follows it is repeated from its own phase."""
+    return F.when(phase.isin("embedding", "indexing"), phase).otherwise(F.lit("extracting"))
 
 
 def public_view(jobs: DataFrame) -> DataFrame:

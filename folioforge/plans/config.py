@@ -31,11 +31,10 @@ class Chunking:
 
 @dataclass(frozen=True)
 class Retrieval:
-    """Hybrid search: size of the answer, weight of the vector side, depth of each list."""
+    """Hybrid search: size of the answer, weight of the vector side, constants of BM25 and of rank fusion."""
 
     top_k: int = 12
     alpha: float = 0.65
-    depth: int = 200
     k1: float = 1.2
     b: float = 0.75
     rrf: int = 60

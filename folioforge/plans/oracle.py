@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from folioforge.functions.text import LINE_END, PAGE_MARKER, SPACE, TOKEN
-
-_T = TOKEN.replace("'", "''")
+# Written from the specification, apart from the engine's own patterns: white space, line ends and word characters as Unicode text handling has them.
+SPACE = "[\\x{9}\\x{a}\\x{b}\\x{c}\\x{d}\\x{1c}\\x{1d}\\x{1e}\\x{1f}\\x{20}\\x{85}\\p{Z}]"
+LINE_END = "\\r\\n|\\n|\\r|\\x{b}|\\x{c}|\\x{1c}|\\x{1d}|\\x{1e}|\\x{85}|\\x{2028}|\\x{2029}"
+_W = "\\p{L}\\p{N}_"
+_T = f"[{_W}]+(?:[''-]+[{_W}]+)*"
+PAGE_MARKER = "<!--[ \\t]*page:[ \\t]*([0-9]+)[ \\t]*-->"
 NOW_S = 1737331200  # 2025-01-20 00:00:00 UTC
 
 
@@ -67,11 +70,11 @@ _BACKFILLED = f"{_MANIFESTS}, k as (select source_id, nullif(identity_key, '') i
 _BM25_LIVE = _live("source_id", "title", "chapter", "section", "page_start", "page_end", "text", "language", "embedding_model", "embedding_dimension", "embedding")
 
 
-def _bm25(where: str = "true") -> str:
-    terms = ("router", "firewall", "packet")
+def _bm25(where: str = "true", terms: tuple[str, ...] = ("router", "firewall", "packet")) -> str:
+    n = range(len(terms))
     tf = ", ".join(f"len(list_filter(k, lambda x: x = '{t}')) tf{i}" for i, t in enumerate(terms))
-    df = ", ".join(f"count(*) filter (tf{i} > 0) df{i}" for i in range(3))
-    score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * dl / av))" for i in range(3))
+    df = ", ".join(f"count(*) filter (tf{i} > 0) df{i}" for i in n)
+    score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * dl / av))" for i in n)
     return f"""
 tk as (select *, regexp_extract_all(lower(coalesce(text, '')), '{_T}') k from live),
 ct as (select *, len(k) dl, {tf} from tk),
@@ -88,15 +91,34 @@ vx as (select chunk_id, language, round(list_dot_product(embedding::double[], q)
 
 def _hybrid(score: str) -> str:
     return f"""with {_BM25_LIVE}, {_bm25("language = 'en'")}, {_VEC},
-a as (select chunk_id, lexical, row_number() over (order by lexical desc, chunk_id) lr from lexed qualify lr <= 200),
-c as (select chunk_id, cosine, row_number() over (order by cosine desc, chunk_id) cr from vx where language = 'en' qualify cr <= 200),
+a as (select chunk_id, lexical, row_number() over (order by lexical desc, chunk_id) lr from lexed),
+c as (select chunk_id, cosine, row_number() over (order by cosine desc, chunk_id) cr from vx where language = 'en'),
 u as (select coalesce(a.chunk_id, c.chunk_id) chunk_id, lexical, cosine, lr, cr from a full outer join c on a.chunk_id = c.chunk_id),
 e as (select min(lexical) ll, max(lexical) lh, min(cosine) cl, max(cosine) ch from u),
 s as (select chunk_id, lexical, cosine, round({score}, 9) score from u, e)
 select row_number() over (order by score desc, chunk_id)::int rank, chunk_id, score, lexical, cosine from s qualify rank <= 12"""
 
 
-_HITS = f"with {_BM25_LIVE}, {_bm25()}, h as (select chunk_id, lexical score, row_number() over (order by lexical desc, chunk_id) rank from lexed qualify rank <= 10), hits as (select h.rank, h.score, live.* from h join live using (chunk_id))"
+_RELATIVE = "0.65 * coalesce(case when ch > cl then (cosine - cl) / (ch - cl) when cosine is not null then 1.0 end, 0.0) + (1 - 0.65) * coalesce(case when lh > ll then (lexical - ll) / (lh - ll) when lexical is not null then 1.0 end, 0.0)"
+
+
+def _hashed(rows: str) -> str:
+    """(k, b, v): sums of signs by bucket of the words of (k, t) rows."""
+    return f"""select k, h % 64 b, sum(case when (h // 64) % 2 = 1 then 1.0 else -1.0 end)::double v from
+ (select k, ('0x' || substr(md5(w), 1, 8))::bigint h from (select k, unnest(regexp_extract_all(lower(t), '[{_W}]+(?:[''-][{_W}]+)*')) w from ({rows}))) group by all"""
+
+
+_INSTRUCTED = "Instruct: Given a question, retrieve relevant source passages that answer it' || chr(10) || 'Query: "
+_ASKED = "How do routers and firewalls pass packets?"
+#: The whole search: words of the question by BM25, its hashed vector after the instruction by cosine, English chunks only, both lists fused.
+_HITS = f"""with {_live("title", "chapter", "section", "page_start", "page_end", "text", "language")},
+{_bm25("language = 'en'", ("how", "do", "routers", "and", "firewalls", "pass", "packets"))},
+bv as ({_hashed("select chunk_id k, coalesce(text, '') t from live where language = 'en'")}), qb as ({_hashed(f"select 0 k, '{_INSTRUCTED}{_ASKED}' t")}),
+vx as (select n.k chunk_id, round(coalesce(d, 0) / (size * (select sqrt(sum(v * v)) from qb)), 6) cosine from (select k, sqrt(sum(v * v)) size from bv group by k) n left join (select bv.k, sum(bv.v * qb.v) d from bv join qb using (b) group by bv.k) x on n.k = x.k where size > 0),
+u as (select coalesce(lexed.chunk_id, vx.chunk_id) chunk_id, lexical, cosine from lexed full outer join vx on lexed.chunk_id = vx.chunk_id),
+e as (select min(lexical) ll, max(lexical) lh, min(cosine) cl, max(cosine) ch from u),
+s as (select chunk_id, lexical, cosine, round({_RELATIVE}, 9) score from u, e),
+hits as (select row_number() over (order by score desc, s.chunk_id) rank, score, lexical, cosine, live.* from s join live using (chunk_id) qualify rank <= 10)"""
 _GENERATIONS = f"{_live('source_id', 'chunk_index', 'text', 'page_start')}, old as (select * from live where chunk_index % 7 <> 0), new as (select chunk_id, source_id, chunk_index, case when chunk_index % 3 = 0 then upper(text) else text end text, page_start from live where chunk_index % 5 <> 0)"
 
 
@@ -119,8 +141,8 @@ select source_id, count(*) pages_total, count(*) filter (extraction_method = 'py
  case when count(distinct case when extraction_method = 'ocr' then ocr_model end) > 1 then 'mixed' else min(case when extraction_method = 'ocr' then ocr_model end) end ocr_model,
  bool_and(coalesce(extraction_method = 'skipped', false)) all_skipped from l group by source_id""",
     "normalized_pages": f"""with b as (select doc_id, doc_id % 50 + 1 n, regexp_replace({_strip("regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')")}, '\\n{{3,}}', chr(10) || chr(10), 'g') t from documents),
-m as (select doc_id, regexp_replace(case when starts_with(t, '<!-- page: ' || n || ' -->') then t else '<!-- page: ' || n || ' -->' || chr(10) || chr(10) || '## Page ' || n || chr(10) || chr(10) || t end, '{SPACE}+$', '') || chr(10) markdown from b)
-select doc_id, markdown, length({_strip("markdown")}) char_count, len(list_filter(regexp_split_to_array({_strip("markdown")}, '{SPACE}+'), lambda w: w <> '')) word_count from m""",
+m as (select doc_id, t, regexp_replace(case when starts_with(t, '<!-- page: ' || n || ' -->') then t else '<!-- page: ' || n || ' -->' || chr(10) || chr(10) || '## Page ' || n || chr(10) || chr(10) || t end, '{SPACE}+$', '') || chr(10) markdown from b)
+select doc_id, markdown, case when t = '' then 0 else length({_strip("markdown")}) end char_count, case when t = '' then 0 else len(list_filter(regexp_split_to_array({_strip("markdown")}, '{SPACE}+'), lambda w: w <> '')) end word_count from m""",
     "combined_chapters": f"with {_live('source_id', 'chapter', 'chunk_index', 'text')} select source_id, chapter, {_strip('string_agg(' + _strip('text') + ', chr(10) order by chunk_index, text)')} || chr(10) markdown from live where text is not null group by source_id, chapter",
     "raster_signals": "select event_id, (event_id * 37) % 4000 <= greatest(8, 100) blank, event_id % 97 = 0 or ((event_id * 37) % 4000) / 1000000 >= 0.002 visual from events",
     "url_forms": f"select distinct request_id, {_url('url')} url_form, {_url('canonical_url')} canonical_form from article_requests",
@@ -132,12 +154,12 @@ select source_id, {_slug('title')} slug, {_slug('title')} || '_' || year(ts) ||
     "tags_normalized": f"with t as (select distinct request_id, tags from article_requests) select request_id, array_to_string(list_filter(list_transform(flatten(list_transform(coalesce(tags, []), lambda t: string_split(t, ','))), lambda x: {_strip('x')}), lambda x: x <> ''), '|') tags from t",
     "input_kinds": "select case lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) when 'pdf' then 'pdf' when 'md' then 'markdown' when 'markdown' then 'markdown' when 'txt' then 'text' when 'png' then 'image' when 'jpg' then 'image' when 'jpeg' then 'image' when 'tif' then 'image' when 'tiff' then 'image' when 'webp' then 'image' when 'bmp' then 'image' end kind, count(*) jobs from jobs group by 1",
     "front_matter": f"with {_MANIFESTS} select source_id, replace(nullif(title, ''), chr(34), chr(39)) title, replace(nullif(collection, ''), chr(34), chr(39)) collection, replace(nullif(external_id, ''), chr(34), chr(39)) external_id, array_to_string(list_filter(list_transform(flatten(list_transform(coalesce(tags, []), lambda t: string_split(t, ','))), lambda x: {_strip('x')}), lambda x: x <> ''), '|') tags, 'other' source_type, 'unknown' AS language, 'Body of it.' body, null::varchar front_error, coalesce(length({_strip('title')}) > 0, false) has_title from m",
-    "service_answers": "select event_id, event_type markdown, case when event_id % 7 = 0 then 0.0::double else 1.0::double end first_x, 0.8::double second_y from events where event_id % 10 = 0",
+    "service_answers": "select event_id, event_type markdown, case when event_id % 7 = 0 then 0.0::double else 1.0::double end first_x, 0.8::double second_y from events",
     "identity_keys": f"with {_IDENTITIES} select request_id, identity_key from i",
     "duplicate_decisions": f"""with {_IDENTITIES}, d as (select *, case when identity_key is not null then first_value(request_id) over (partition by identity_key order by received_at, request_id) end f from i)
 select request_id, case when identity_key is null then 'invalid' when f = request_id or duplicate_policy = 'create' then 'accepted' else 'rejected' end decision, case when f <> request_id then f end existing_id from d""",
     "identity_backfill": f"with {_BACKFILLED} select source_id, identity_key, backfilled from k",
-    "identity_collisions": f"with {_BACKFILLED} select identity_key, count(*) n_sources, min(source_id) first_source, max(source_id) last_source from k where identity_key is not null group by identity_key having count(*) > 1",
+    "identity_collisions": f"with {_BACKFILLED}, {_IDENTITIES}, a as (select source_id, identity_key from k union all select request_id, identity_key from i) select identity_key, count(*) n_sources, string_agg(source_id, ',' order by source_id) source_ids from a where identity_key is not null group by identity_key having count(*) > 1",
     "published_already": f"with {_BACKFILLED}, {_IDENTITIES}, s as (select identity_key, min(source_id) source_id from k where identity_key is not null group by identity_key) select request_id, s.source_id from i left join s using (identity_key)",
     "reservation_reconcile": f"with {_JOBS}, {_MANIFESTS} select job_id owner_id, exists (select 1 from m where m.source_id = j.source_id) or (attempts <= 1 and status not in ('queued', 'running') and {NOW_S} - floor(epoch(created_at)) > 300) or (attempts > 1 and {NOW_S} - floor(epoch(created_at)) > 86400) as release from j",
     "split_long_text": f"""with recursive w(doc_id, text, a, b) as (
@@ -157,13 +179,19 @@ from p where regexp_replace(part, '{SPACE}', '', 'g') <> ''""",
     "page_overlaps": f"with {_live('source_id', 'chapter', 'page_start', 'page_end')} select a.chunk_id left_id, count(*) n_overlaps from live a join live b on a.source_id = b.source_id and coalesce(a.chapter, '') = coalesce(b.chapter, '') and a.chunk_id < b.chunk_id and a.page_start <= b.page_end and b.page_start <= a.page_end where a.page_start <= a.page_end and b.page_start <= b.page_end group by 1",
     "bm25_topk": f"with {_BM25_LIVE}, {_bm25()} select chunk_id, lexical, row_number() over (order by lexical desc, chunk_id)::int rank from lexed qualify rank <= 20",
     "vector_topk": f"with {_BM25_LIVE}, {_VEC} select chunk_id, cosine, row_number() over (order by cosine desc, chunk_id)::int rank from vx qualify rank <= 20",
-    "hybrid_relative": _hybrid("0.65 * coalesce(case when ch > cl then (cosine - cl) / (ch - cl) when cosine is not null then 1.0 end, 0.0) + (1 - 0.65) * coalesce(case when lh > ll then (lexical - ll) / (lh - ll) when lexical is not null then 1.0 end, 0.0)"),
+    "hybrid_relative": _hybrid(_RELATIVE),
+    "search_hits": f"{_HITS} select rank::int rank, chunk_id, round(score, 6) score, lexical, round(cosine, 5) cosine, title, 'hashed-words-64' embedding_model from hits",
+    "chunk_shown": f"with {_live('source_id', 'title', 'text')} select chunk_id, source_id, title, text from live where chunk_id = (select min(chunk_id) from chunks)",
+    "source_shown": f"with {_MANIFESTS} select source_id, title, source_type, collection from m where source_id = (select min(source_id) from source_manifests)",
+    "hashed_embeddings": f"""with {_live("text")}, v as ({_hashed("select chunk_id k, text t from live where text is not null")}), q as ({_hashed("select 0 k, 'router firewall packet' t")}),
+n as (select k, sqrt(sum(v * v)) size from v group by k), d as (select v.k, sum(v.v * q.v) d from v join q using (b) group by v.k)
+select chunk_id, case when coalesce(size, 0) > 0 then 1.0 else 0.0 end::double AS size, round(coalesce(d / (size * (select sqrt(sum(v * v)) from q)), 0), 4)::double likeness from live left join n on n.k = chunk_id left join d on d.k = chunk_id where text is not null""",
     "hybrid_rrf": _hybrid("0.65 * coalesce(1 / (60 + cr), 0.0) + (1 - 0.65) * coalesce(1 / (60 + lr), 0.0)"),
     "search_lines": f"{_HITS} select rank::int rank, rank || '. ' || coalesce(title, '') || ', chapter ' || coalesce(nullif(chapter, ''), '-') || ', section ' || coalesce(nullif(section, ''), '-') || ', pages ' || {_label('or page_end = 0')} || chr(10) || '   score: ' || printf('%.6f', score) || chr(10) || '   chunk_id: ' || chunk_id || chr(10) || '   snippet: ' || substr(replace(text, chr(10), ' '), 1, 300) AS line from hits",
     "context_pack": f"""{_HITS}, b as (select rank, concat_ws(chr(10), '## Source ' || rank, 'Title: ' || coalesce(title, ''), 'Chapter: ' || coalesce(chapter, ''), 'Section: ' || coalesce(section, ''), 'Pages: ' || {_label()}, 'Chunk ID: ' || chunk_id, '', {_strip('text')}, '') t from hits)
 select regexp_replace('{_PACK_HEAD}' || coalesce(string_agg(t, chr(10) order by rank), ''), '\\s+$', '') || chr(10) context_pack, count(*) sources from b""",
     "model_mismatch": f"with {_live('embedding_model')} select distinct embedding_model from live where embedding_model is not null and embedding_model <> 'harbor-embed-64'",
-    "neighbours_by_label": "with q as (select embedding::double[] q from embeddings order by vec_id limit 1), v as (select vec_id::varchar chunk_id, round(list_dot_product(embedding::double[], q) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q, q))), 6) cosine from embeddings, q where len(embedding) = len(q)) select chunk_id, cosine, row_number() over (order by cosine desc, chunk_id)::int rank from v qualify rank <= 10",
+    "neighbours_by_label": "with q as (select embedding::double[] q from embeddings order by vec_id limit 1), v as (select vec_id::varchar chunk_id, label, round(list_dot_product(embedding::double[], q) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q, q))), 6) cosine from embeddings, q where len(embedding) = len(q)) select chunk_id, label, cosine, row_number() over (partition by label order by cosine desc, chunk_id)::int rank from v qualify rank <= 3",
     "stale_chunks": f"with {_GENERATIONS} select chunk_id from old except select chunk_id from new",
     "generation_diff": f"with {_GENERATIONS} select case when a.chunk_id is null then 'added' when b.chunk_id is null then 'removed' when a.source_id is not distinct from b.source_id and a.chunk_index is not distinct from b.chunk_index and a.text is not distinct from b.text and a.page_start is not distinct from b.page_start then 'same' else 'changed' end change, count(*) chunks from old a full outer join new b on a.chunk_id = b.chunk_id group by 1",
     "upsert_generation": f"with {_GENERATIONS} select chunk_id, md5(coalesce(text, '')) text_md5 from new union all select chunk_id, md5(coalesce(text, '')) from old where chunk_id not in (select chunk_id from new)",
@@ -178,13 +206,28 @@ select regexp_replace('{_PACK_HEAD}' || coalesce(string_agg(t, chr(10) order by
     "job_claim": f"with {_JOBS}, c as (select job_id from j where status = 'queued' and (next_attempt_at is null or epoch_us(next_attempt_at) <= {NOW_S}000000) order by created_at, job_id limit 1) select j.job_id, case when c.job_id is not null then 'running' else status end status, case when c.job_id is not null then attempts + 1 else attempts end attempts, case when c.job_id is not null then 'worker-x' else worker_id end worker_id from j left join c on j.job_id = c.job_id",
     "job_recovery": f"with {_JOBS} select case when status = 'running' then 'queued' else status end status, count(*) jobs, count(case when status <> 'running' then worker_id end) owned from j group by 1",
     "job_failures": f"with {_JOBS}, e as (select job_id, error, regexp_matches(coalesce(error, ''), '(?i)statuscode.unavailable|statuscode.deadline_exceeded|connection refused|connection lost|connection reset|failed to connect|service unavailable|transport is closing') retryable from j where status = 'failed') select job_id, error, retryable, case when retryable then 'queued' else 'failed' end next_status, case when retryable then {NOW_S}::bigint + 10 end next_attempt_s from e",
-    "admission_control": f"with {_JOBS}, u as (select job_id, attempts::bigint * 1000003 + 17 b, sum(attempts::bigint * 1000003 + 17) over (order by created_at, job_id)::bigint used from j) select job_id, used, used <= 200000000 and b <= 262144000 admitted from u",
-    "blocked_jobs": f"with {_JOBS}, {_MANIFESTS}, h as (select job_id, source_id, identity_key from j where identity_key is not null and (status in ('queued', 'running') or (status = 'succeeded' and source_id in (select source_id from m)))) select j.job_id, min(h.job_id) blocked_by from j join h on j.identity_key = h.identity_key and j.source_id is distinct from h.source_id group by 1",
+    "admission_control": f"""with recursive {_JOBS}, u as (select request_id, max(length(body))::bigint bytes, row_number() over (order by min(received_at), request_id) n, coalesce(max(length(body)), 0)::bigint b from article_requests group by request_id),
+w(n, places, used, decision) as (
+ select 0::bigint, 20, 30000::bigint, ''
+ union all
+ select u.n, case when d = 'admitted' then places - 1 else places end, case when d = 'admitted' then used + b else used end, d
+ from w join u on u.n = w.n + 1, lateral (select case when places = 0 then 'queue_full' when used + least(b, 2500) > 60000 then 'storage_full' when b > 2500 then 'too_large' else 'admitted' end d))
+select request_id, bytes, decision from u join w using (n)""",
+    "retry_jobs": f"""with {_JOBS}, held as (select distinct a.job_id from j a join j b on a.identity_key = b.identity_key and a.source_id is distinct from b.source_id and b.status in ('queued', 'running')),
+o as (select job_id, created_at, case when status <> 'failed' then 'not_failed' when phase in ('queued', 'extracting') and attempts % 2 <> 0 then 'upload_gone' when job_id in (select job_id from held) and coalesce(duplicate_policy, 'reject') = 'reject' then 'identity_held' end no from j),
+f as (select *, row_number() over (partition by no is null order by created_at, job_id) r from o)
+select job_id, coalesce(no, case when r <= 7 then 'queued' else 'queue_full' end) outcome from f union all select 'no-such-job', 'unknown'""",
+    "terminal_cleanup": f"with {_JOBS} select job_id, case status when 'succeeded' then 'drop_upload' else 'release_identity' end AS action, case status when 'succeeded' then upload_path else identity_key end AS target from j where (status = 'succeeded' and upload_path is not null) or (status = 'failed' and identity_key is not null)",
+    "blank_sources": """with l as (select * from (select *, row_number() over (partition by source_id, page_number order by extracted_at desc) r from page_metadata) where r = 1)
+select source_id, count(*) pages_total from l group by source_id having bool_and(coalesce(extraction_method = 'skipped', false))""",
+    "blocked_jobs": f"""with {_JOBS}, {_MANIFESTS}, a as (select job_id, status, source_id, identity_key from j union all select job_id || '-again', 'queued', source_id || '_2', identity_key from j where status in ('succeeded', 'failed')),
+h as (select job_id, source_id, identity_key from a where identity_key is not null and (status in ('queued', 'running') or (status = 'succeeded' and source_id in (select source_id from m))))
+select a.job_id, min(h.job_id) blocked_by from a join h on a.identity_key = h.identity_key and a.source_id is distinct from h.source_id group by 1""",
     "expired_uploads": f"with {_JOBS}, r as (select job_id, upload_path, case when status = 'succeeded' then 'succeeded' when status = 'failed' and {NOW_S} - floor(epoch(finished_at)) >= 604800 then 'failed' end reason from j) select * from r where reason is not null",
     "orphan_uploads": f"with {_JOBS}, u as (select upload_path, job_id from j union all select upload_path || '.tmp', job_id from j where attempts = 1) select upload_path, job_id from u where upload_path not in (select upload_path from j where upload_path is not null) and job_id not in (select job_id from j where status = 'running')",
     "worker_health": f"with {_JOBS} select worker_id, count(*) jobs, floor(epoch(max(updated_at)))::bigint last_seen_s, {NOW_S} - floor(epoch(max(updated_at)))::bigint age_s, {NOW_S} - floor(epoch(max(updated_at)))::bigint <= 15 healthy from j where worker_id is not null group by 1",
-    "queue_health": f"with {_JOBS}, c as (select count(*) filter (status = 'queued') queued, count(*) filter (status = 'running') running, count(*) filter (status = 'succeeded') succeeded, count(*) filter (status = 'failed') failed from j) select *, queued + running active, queued + running < 20 has_room, case when queued + running < 20 then 'ok' else 'degraded' end state from c",
-    "job_phases": f"with {_JOBS} select status, phase, case when status in ('queued', 'running') then case phase when 'queued' then 'extracting' when 'extracting' then 'embedding' when 'embedding' then 'indexing' when 'indexing' then 'done' end end next_phase, count(*) jobs from j group by all",
+    "queue_health": f"with {_JOBS}, c as (select count(*) filter (status = 'queued') queued, count(*) filter (status = 'running') running, count(*) filter (status = 'succeeded') succeeded, count(*) filter (status = 'failed') failed, count(*) filter (status = 'failed') reserved, (select count(distinct source_id) from source_manifests) sources from j) select *, queued + running + reserved active, queued + running + reserved < 20 has_room, case when queued + running + reserved < 20 then 'ok' else 'degraded' end state from c",
+    "job_phases": f"with {_JOBS} select status, phase, case when status in ('queued', 'running') then case phase when 'queued' then 'extracting' when 'extracting' then 'embedding' when 'embedding' then 'indexing' when 'indexing' then 'done' end end next_phase, case when status in ('queued', 'running') then case when phase = 'queued' then 'extracting' when phase in ('extracting', 'embedding', 'indexing') then 'done' end end next_unindexed, case when phase in ('embedding', 'indexing') then phase else 'extracting' end resumed, count(*) jobs from j group by all",
     "event_activity": "select (floor(epoch(ts) / 3600) * 3600)::bigint hour_s, event_type, count(*) events, round(sum(value), 4) total from events group by 1, 2",
     "index_copy_check": f"with {_GENERATIONS}, up as (select chunk_id from new union all select chunk_id from old where chunk_id not in (select chunk_id from new)) select (select count(*) from old) old_rows, (select count(*) from up) new_rows, (select count(*) from (select chunk_id from old except select chunk_id from up)) missing, (select count(*) from (select chunk_id from old except select chunk_id from up)) = 0 complete",
     "layout_fallback": """with l as (select * from (select *, row_number() over (partition by source_id, page_number order by extracted_at desc) r from page_metadata where source_id is not null) where r = 1),

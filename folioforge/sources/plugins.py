@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
-from collections.abc import Callable, Iterator, Sequence
-
+import shlex
+import subprocess
+import tempfile
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
+from pathlib import Path
+
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,8 +23,14 @@ from folioforge.functions.text import page_markdown
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 Provider = Callable[[bytes | None, int], tuple[str, str | None]]
 _WORD = re.compile(r"\w+(?:['-]\w+)*")
-#: Prefix of queries for embedders that want one.
-INSTRUCTION = "Represent the question for finding passages that answer it: "
+#: Fixed value: what precedes a question when it is embedded.
+INSTRUCTION = "Instruct: Given a question, retrieve relevant source passages that answer it\nQuery: "
+
+
+@lru_cache(maxsize=200_000)
+def _place(word: str, dimensions: int) -> tuple[int, float]:
+    h = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+    return h % dimensions, 1.0 if h // dimensions % 2 else -1.0
 
 
 def hashed_vectors(texts: Sequence[str], dimensions: int = 64) -> list[list[float]]:
@@ -27,13 +39,73 @@ def hashed_vectors(texts: Sequence[str], dimensions: int = 64) -> list[list[floa
     for text in texts:
         v = [0.0] * dimensions
         for w in _WORD.findall(text.lower()):
-            h = zlib.crc32(w.encode())
-            v[h % dimensions] += 1.0 if h // dimensions % 2 else -1.0
+            at, sign = _place(w, dimensions)
+            v[at] += sign
         size = math.sqrt(sum(x * x for x in v))
         out.append([x / size for x in v] if size else v)
     return out
 
 
+def embed_column(text: Column, embedder: Embedder) -> Column:
+    """A text column's vectors by a provider, row by row beside the other columns; null texts get null."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        there = texts.dropna()
+        vectors = embedder(there.tolist()) if len(there) else []
+        if len(vectors) != len(there):
+            raise ValueError(f"{len(there)} texts, {len(vectors)} vectors")
+        return pd.Series([list(map(float, v)) for v in vectors], index=there.index, dtype=object).reindex(texts.index).where(texts.notna(), None)
+
+    return run(text)
+
+
+def check_embedder(embedder: Embedder, probe: str = "health check") -> int:
+    """The length of an embedder's vectors; raises if it gives none, none that are finite, or the wrong number."""
+    vectors = embedder([probe])
+    if len(vectors) != 1 or not len(vectors[0]) or not all(math.isfinite(x) for x in vectors[0]):
+        raise ValueError("the embedder gives no usable vector")
+    return len(vectors[0])
+
+
+def command_provider(template: str, model: str, folder: str, timeout: float = 900, values: Mapping[str, str] | None = None) -> Provider:
+    """An OCR provider that runs a command on the worker, once a page.
+
+    The template holds {input_image}, {output_md}, {output_json}, {page_number}, {source_id}, {base_url} and {model_name}; it is split into words before they are filled
+    in, so no value is read by a shell. The text is what the command writes to output_md, else its standard output. ``folder`` is the worker's scratch folder for the page's
+    two files, removed after each page.
+    """
+    words = shlex.split(template)
+
+    def run(content: bytes | None, number: int) -> tuple[str, str | None]:
+        with tempfile.TemporaryDirectory(dir=folder) as here:
+            image, out = Path(here, "page.img"), Path(here, "page.md")
+            image.write_bytes(content or b"")
+            filled = {"base_url": "", "source_id": "", **(values or {}), "input_image": str(image), "output_md": str(out), "output_json": str(Path(here, "page.json")), "page_number": str(number), "model_name": model}
+            done = subprocess.run([w.format(**filled) for w in words], capture_output=True, text=True, timeout=timeout, check=False)
+            if done.returncode:
+                raise RuntimeError(f"the OCR command ended with {done.returncode}: {done.stderr.strip()[-300:]}")
+            return (out.read_text(encoding="utf-8") if out.exists() else done.stdout), model
+
+    return run
+
+
+class ReadyProviders:
+    """Providers by name, each probed once before its first use; a provider that fails its probe is an error, never replaced by another."""
+
+    def __init__(self, providers: Mapping[str, Provider], probes: Mapping[str, Callable[[], None]] | None = None):
+        self.providers, self.probes, self.ready = dict(providers), dict(probes or {}), set()
+
+    def get(self, mode: str, default: str) -> Provider:
+        name = default if mode in ("auto", "always") else mode
+        provider = choose_provider(mode, self.providers, default)
+        if name not in self.ready:
+            if probe := self.probes.get(name):
+                probe()
+            self.ready.add(name)
+        return provider
+
+
 def embed_with(df: DataFrame, id_col: str, text_col: str, embedder: Embedder, batch: int = 8) -> DataFrame:
     """(id, embedding, embedding_dimension) by a provider called with ``batch`` texts at a time; vectors are matched by id, a wrong count is an error."""
     src = df.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).where("text_ is not null")
@@ -113,7 +185,24 @@ def numbered_images(files: DataFrame) -> DataFrame:
 
 
 def folder_hash(files: DataFrame) -> DataFrame:
-    """(folder, content_sha256): hash over the files' names and contents in order of name; folders bound their groups."""
-    parts = F.array_sort(F.collect_list(F.struct(F.regexp_extract("path", r"([^/]*)$", 1).alias("n"), F.col("content").alias("c"))))
-    joined = F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["n"].cast("binary"), F.lit(b"\x00"), p["c"], F.lit(b"\x00")))
-    return files.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).groupBy("folder").agg(F.sha2(joined, 256).alias("content_sha256"))
+    """(folder, content_sha256): hash over the files' names and contents, a zero byte after each, in order of name.
+
+    A folder's files stream through one task in order; no more than one Arrow batch of them is held.
+    """
+    parts = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("n"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, digest = None, hashlib.sha256()
+        for b in batches:
+            for i in range(b.num_rows):
+                at, name, content = (b.column(k)[i].as_py() for k in range(3))
+                if at != folder:
+                    if folder is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([digest.hexdigest()])], ["folder", "content_sha256"])
+                    folder, digest = at, hashlib.sha256()
+                for piece in (name.encode(), b"\0", content or b"", b"\0"):
+                    digest.update(piece)
+        if folder is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([digest.hexdigest()])], ["folder", "content_sha256"])
+
+    return parts.repartition("folder").sortWithinPartitions("folder", "n").mapInArrow(run, "folder string, content_sha256 string")

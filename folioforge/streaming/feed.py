@@ -26,7 +26,7 @@ def unique_articles(articles: DataFrame, lateness: str = "30 days") -> DataFrame
 
 
 def activity(events: DataFrame, size: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Events and distinct values by type in tumbling windows, late ones within the watermark counted."""
+    """Events and sum of values by type in tumbling windows, late ones within the watermark counted."""
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return stamped.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
 
@@ -69,16 +69,26 @@ def reservations(requests: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
 
 
 def publish_stream(stream: DataFrame, table: VersionedTable, key: str, checkpoint: str) -> StreamingQuery:
-    """Upserts each micro-batch into a versioned table; runs what is available and stops. Batches are told apart by id, so a replayed one is harmless."""
+    """Appends each micro-batch to a versioned table; runs what is available and stops.
+
+    A batch writes its own rows only (see ``newest`` for the reading); one that was published before is left out, so a replayed one is harmless.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([key]).withColumn("batch_id", F.lit(batch_id))
-        if table.current() is None:
-            table.publish(fresh, key)
-            return
-        old = table.read()
-        if old.where(F.col("batch_id") == batch_id).limit(1).count():
+        if table.current() is not None and table.read().where(F.col("batch_id") == batch_id).limit(1).count():
             return
-        table.publish(old.join(fresh.select(key), key, "left_anti").unionByName(fresh), key)
+        table.append(batch.dropDuplicates([key]).withColumn("batch_id", F.lit(batch_id)), key)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest(rows: DataFrame, key: str) -> DataFrame:
+    """Appended rows as an upserted table: of each key the row of its last batch."""
+    last = rows.groupBy(F.col(key).alias("key_")).agg(F.max("batch_id").alias("last_"))
+    return rows.join(last, (F.col(key) == F.col("key_")) & (F.col("batch_id") == F.col("last_"))).drop("key_", "last_")
+
+
+def compact(table: VersionedTable, key: str) -> int:
+    """Publishes ``newest`` as one data folder."""
+    base = table.current()
+    return table.publish(newest(table.read(), key), key, base=base)
