@@ -171,10 +171,10 @@ def identity_backfill(spark, sf):
 
 @_query
 def identity_collisions(spark, sf):
-    """Identities that several sources would share if every request were taken as a source beside the published ones."""
+    """Identities that several sources share if every fifth source were published again under another id."""
     made = identity.backfill_identities(table(spark, sf, "source_manifests")).select("source_id", "identity_key")
-    asked = identity.request_identities(table(spark, sf, "article_requests")).select(F.col("request_id").alias("source_id"), "identity_key")
-    return identity.identity_collisions(made.unionByName(asked)).select("identity_key", "n_sources", F.array_join("source_ids", ",").alias("source_ids"))
+    again = made.where("length(source_id) % 5 = 0").select(F.concat("source_id", F.lit("_again")).alias("source_id"), "identity_key")
+    return identity.identity_collisions(made.unionByName(again)).select("identity_key", "n_sources", F.array_join("source_ids", ",").alias("source_ids"))
 
 
 @_query

@@ -128,6 +128,43 @@ def _label(zero: str = "") -> str:
 
 _PACK_HEAD = "# Context Pack\n\nUser question:\nHow do routers and firewalls pass packets?\n\nInstructions:\nUse only the provided context. Cite sources as [Title, p. 87]. If the answer is not in the context, say so.\n\nTask: answer\n\n"
 
+_SP = SPACE
+_PLAIN = lambda c: _strip(f"regexp_replace(regexp_replace(regexp_replace({c}, '<[^>]+>', '', 'g'), '[`*_]+', '', 'g'), '{_SP}+', ' ', 'g')")
+#: Chunks of documents, one row each: units by windows over parts, then a fold that carries the open chunk from unit to unit.
+_PACKED = f"""recursive p0 as (select doc_id::varchar src, unnest(regexp_split_to_array(text, '\\n{_SP}*\\n')) part, generate_subscripts(regexp_split_to_array(text, '\\n{_SP}*\\n'), 1) o from documents where text is not null),
+p1 as (select src, part, row_number() over (partition by src order by o) i from p0 where {_strip("part")} <> ''),
+p2 as (select *, nullif(regexp_extract(part, '<!--{_SP}*page:{_SP}*([0-9]+){_SP}*-->', 1), '')::int pg, length(regexp_extract(part, '(?m)^(#{{1,6}}){_SP}+([^\\n]+?){_SP}*$', 1)) lv,
+ {_strip(f"regexp_extract(part, '(?m)^(#{{1,6}}){_SP}+([^\\n]+?){_SP}*$', 2)")} raw, case when regexp_matches(part, '^{_SP}*#{_SP}+[^\\n]+?{_SP}*$') then 'L' when regexp_matches({_PLAIN("part")}, '(?i)\\bthis +chapter +covers\\b') then 'C' else '-' end kind,
+ {_strip(f"regexp_replace(regexp_replace(part, '<!--{_SP}*page:{_SP}*[0-9]+{_SP}*-->', '', 'g'), '(?mi)^{_SP}*##{_SP}+Page{_SP}+[0-9]+{_SP}*$', '', 'g')")} = '' bare from p1),
+p3 as (select *, {_PLAIN("raw")} title, string_agg(kind, '') over (partition by src order by i rows between 1 following and 4 following) ahead from p2),
+p4 as (select *, lv = 1 and regexp_matches(title, '(?i)^(chapter +[0-9]+\\b.*|[0-9]+ *: +[^ ].*)$') explicit from p3),
+p5 as (select *, lv = 1 and not explicit and regexp_matches(coalesce(ahead, ''), '^-*C') untitled from p4),
+p6 as (select *, case when explicit then title when untitled then 'Chapter ' || count(*) filter (untitled) over (partition by src order by i) || ': ' || title end ch, case when lv > 0 and title <> '' and not starts_with(lower(title), 'page ') then raw end sec, coalesce(count(*) filter (not bare) over (partition by src order by i rows between unbounded preceding and 1 preceding), 0) g from p5),
+p7 as (select src, i, g, part, last_value(pg ignore nulls) over w pg, last_value(sec ignore nulls) over w sec, last_value(ch ignore nulls) over w ch, row_number() over (partition by src, g order by i) k from p6 window w as (partition by src order by i rows between unbounded preceding and current row)),
+u as (select src, g + 1 j, {_strip(f"string_agg(case when k = 1 then part else regexp_replace(part, '{_SP}+$', '') end, chr(10) order by i)")} t, arg_max(coalesce(pg, 0), i) pg, nullif(arg_max(coalesce(sec, chr(0)), i), chr(0)) sec, nullif(arg_max(coalesce(ch, chr(0)), i), chr(0)) ch from p7 group by src, g),
+n as (select src, max(j) n from u group by src),
+f as (
+ select src, 0::bigint j, ''::varchar buf, []::int[] pages, null::varchar ch, null::varchar sec, ''::varchar a, []::int[] a_pages, null::varchar a_ch, null::varchar a_sec, ''::varchar b, []::int[] b_pages, null::varchar b_ch, null::varchar b_sec from n
+ union all
+ select x.src, x.j + 1, case when last or big then '' when spills then {_strip(f"{_strip('right(held, 150)')} || chr(10) || chr(10) || t")} when held = '' then t else held || chr(10) || chr(10) || t end,
+  case when last or big then [] when spills then case when {_strip("right(held, 150)")} <> '' and len(held_pages) > 0 then [held_pages[-1]] else [] end || own else held_pages || own end,
+  x.uch, x.usec, case when turn then buf else '' end, x.pages, x.ch, x.sec, case when last or big or spills then held else '' end, held_pages, x.ch, case when last then x.sec else x.usec end
+ from (select f.*, u.t, case when u.pg > 0 then [u.pg] else [] end own, u.ch uch, u.sec usec, u.j is null as last, coalesce(length(u.t) > 1200, false) big,
+   buf <> '' and coalesce(u.ch, '') <> '' and f.ch is distinct from u.ch turn, case when buf <> '' and coalesce(u.ch, '') <> '' and f.ch is distinct from u.ch then '' else buf end held,
+   case when buf <> '' and coalesce(u.ch, '') <> '' and f.ch is distinct from u.ch then [] else f.pages end held_pages,
+   buf <> '' and not (coalesce(u.ch, '') <> '' and f.ch is distinct from u.ch) and length(buf) >= 250 and length(buf) + 2 + length(u.t) > 1200 spills
+  from f join n on n.src = f.src and f.j <= n.n left join u on u.src = f.src and u.j = f.j + 1) x),
+cut(src, j, text, a, e) as (
+ select src, j, t, 0, case when length(regexp_extract(substr(t, 1, 1200), '(?s)^(.*)[ \\n]', 1)) > 600 then length(regexp_extract(substr(t, 1, 1200), '(?s)^(.*)[ \\n]', 1)) + 1 else 1200 end from u where length(t) > 1200
+ union all
+ select src, j, text, greatest(e - 150, a + 1), case when greatest(e - 150, a + 1) + 1200 >= length(text) then length(text)
+   when length(regexp_extract(substr(text, greatest(e - 150, a + 1) + 1, 1200), '(?s)^(.*)[ \\n]', 1)) > 600 then greatest(e - 150, a + 1) + length(regexp_extract(substr(text, greatest(e - 150, a + 1) + 1, 1200), '(?s)^(.*)[ \\n]', 1)) + 1
+   else greatest(e - 150, a + 1) + 1200 end from cut where e < length(text)),
+every_ as (select src, j, 0 o, 0 k, a t, a_pages pages, a_ch ch, a_sec sec from f union all select src, j, 1, 0, b, b_pages, b_ch, b_sec from f
+ union all select cut.src, cut.j, 2, a, substr(text, (a + 1)::bigint, (e - a)::bigint), case when u.pg > 0 then [u.pg] else [] end, u.ch, u.sec from cut join u on u.src = cut.src and u.j = cut.j),
+packed as (select src, row_number() over (partition by src order by j, o, k) - 1 chunk_index, ch, sec, list_sort(list_distinct(pages)) pages, {_strip("t")} t from every_ where {_strip("t")} <> '')"""
+
+
 ORACLE: dict[str, str] = {
     "text_quality": f"with {_QUALITY} select doc_id, char_count, word_count, round(alpha_ratio, 6) alpha_ratio, round(replacement_char_ratio, 6) replacement_char_ratio, round(avg_word_length, 6) avg_word_length, line_count, array_to_string(flags, ',') flags, is_true_text from p",
     "quality_flag_counts": f"with {_QUALITY}, x as (select unnest(flags) flag from p) select flag, count(*) documents from x group by flag",
@@ -159,7 +196,7 @@ select source_id, {_slug('title')} slug, {_slug('title')} || '_' || year(ts) ||
     "duplicate_decisions": f"""with {_IDENTITIES}, d as (select *, case when identity_key is not null then first_value(request_id) over (partition by identity_key order by received_at, request_id) end f from i)
 select request_id, case when identity_key is null then 'invalid' when f = request_id or duplicate_policy = 'create' then 'accepted' else 'rejected' end decision, case when f <> request_id then f end existing_id from d""",
     "identity_backfill": f"with {_BACKFILLED} select source_id, identity_key, backfilled from k",
-    "identity_collisions": f"with {_BACKFILLED}, {_IDENTITIES}, a as (select source_id, identity_key from k union all select request_id, identity_key from i) select identity_key, count(*) n_sources, string_agg(source_id, ',' order by source_id) source_ids from a where identity_key is not null group by identity_key having count(*) > 1",
+    "identity_collisions": f"with {_BACKFILLED}, a as (select source_id, identity_key from k union all select source_id || '_again', identity_key from k where length(source_id) % 5 = 0) select identity_key, count(*) n_sources, string_agg(source_id, ',' order by source_id) source_ids from a where identity_key is not null group by identity_key having count(*) > 1",
     "published_already": f"with {_BACKFILLED}, {_IDENTITIES}, s as (select identity_key, min(source_id) source_id from k where identity_key is not null group by identity_key) select request_id, s.source_id from i left join s using (identity_key)",
     "reservation_reconcile": f"with {_JOBS}, {_MANIFESTS} select job_id owner_id, exists (select 1 from m where m.source_id = j.source_id) or (attempts <= 1 and status not in ('queued', 'running') and {NOW_S} - floor(epoch(created_at)) > 300) or (attempts > 1 and {NOW_S} - floor(epoch(created_at)) > 86400) as release from j",
     "split_long_text": f"""with recursive w(doc_id, text, a, b) as (
@@ -171,6 +208,11 @@ select request_id, case when identity_key is null then 'invalid' when f = reques
    when length(regexp_extract(substr(text, greatest(b - 150, a + 1) + 1, 1200), '(?s)^(.*)[ \\n]', 1)) > 600 then greatest(b - 150, a + 1) + length(regexp_extract(substr(text, greatest(b - 150, a + 1) + 1, 1200), '(?s)^(.*)[ \\n]', 1)) + 1
    else greatest(b - 150, a + 1) + 1200 end from cut where b < length(text))
 select doc_id, a::bigint char_from, b::bigint char_to, {_strip("substr(text, (a + 1)::bigint, (b - a)::bigint)")} AS text from cut where {_strip("substr(text, (a + 1)::bigint, (b - a)::bigint)")} <> ''""",
+    "packed_chunks": f"with {_PACKED} select src AS source, chunk_index::int chunk_index, ch inferred_chapter, sec section, array_to_string(pages, ',') pages, t AS text from packed",
+    "described_chunks": f"""with {_PACKED}, d as (select *, doc_id % 4 = 0 scanned from documents),
+x as (select packed.*, d.title, d.lang, case when len(pages) = 0 then 'mixed' when pages = [1] then case when scanned then 'ocr' else 'markdown' end when list_contains(pages, 1) then 'mixed' else 'unknown' end way, case when scanned and list_contains(pages, 1) then 'm1' end model from packed join d on d.doc_id::varchar = src)
+select src || '_' || {_slug("coalesce('ch' || ch, 'doc')")} || '_p' || lpad(coalesce(pages[1], 0)::varchar, greatest(4, length(coalesce(pages[1], 0)::varchar))::int, '0') || '_' || lpad(chunk_index::varchar, greatest(4, length(chunk_index::varchar))::int, '0') chunk_id,
+ src source_id, ch chapter, sec section, pages[1] page_start, pages[-1] page_end, chunk_index::int chunk_index, way extraction_method, model ocr_model, title, lang AS language from x""",
     "markdown_parts": f"""with p as (select doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\n]*\\n')) part, generate_subscripts(regexp_split_to_array(text, '\\n[ \\t\\n]*\\n'), 1) - 1 pos from documents where text is not null)
 select doc_id, pos, nullif(regexp_extract(part, '{PAGE_MARKER}', 1), '')::bigint page, {_strip(f"regexp_replace(regexp_replace(regexp_replace(nullif(regexp_extract(part, '(?m)^(#{{1,6}})[ \\t]+([^\\n]+)$', 2), ''), '<[^>]+>', '', 'g'), '[`*_]+', '', 'g'), '{SPACE}+', ' ', 'g')")} heading
 from p where regexp_replace(part, '{SPACE}', '', 'g') <> ''""",

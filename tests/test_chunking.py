@@ -62,7 +62,7 @@ def test_invariants(parts, glue):
     assert {w for w in said if len(w) < 41} <= kept | {w for w in said if any(w in k for k in kept)}
     assert all(c.pages == sorted(c.pages) or len(set(c.pages)) > 1 for c in chunks)
     units = units_of(text)
-    assert "".join("".join(u.text.split()) for u in units) == "".join(text.split())
+    assert "".join("".join(u.split()) for u in units.text) == "".join(text.split())
 
 
 def test_pages_and_chapters():
@@ -80,8 +80,8 @@ def test_untitled_chapter_and_last_section():
 
 def test_page_joined_by_single_line_feed():
     text = "<!-- page: 1 -->\n\nends here\n<!-- page: 2 -->\n\nnext"
-    assert [u.page for u in units_of(text)] == [2, 2]
-    assert [u.page for u in units_of(text, strict_page_boundaries=True)] == [1, 2]
+    assert units_of(text).page == [2, 2]
+    assert units_of(text, strict_page_boundaries=True).page == [1, 2]
 
 
 def test_overflow_keeps_overlap_and_page():
