@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
-from folioforge.llm.neighbours import close_pairs, nearest_of_queries, nearest_records
+from folioforge.llm.neighbours import close_pairs, nearest_of_queries
 from folioforge.llm.ocr_repair import noise_lines, repaired_texts
 from folioforge.llm.oracle import ORACLE
 from folioforge.llm.packing import fill_report, pack_documents
@@ -31,10 +31,6 @@ def _p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return close_pairs(table(spark, sf, "chunks"))
 
 
-def _p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return nearest_records(table(spark, sf, "chunks"))
-
-
 def _p3_queries(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_of_queries(table(spark, sf, "chunks"))
 
@@ -103,7 +99,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": _p1_found,
         "p1_classes": _p1_classes,
         "p3_found": _p3_found,
-        "p3_neighbours": _p3_neighbours,
         "p3_queries": _p3_queries,
         "p4_found": _p4_found,
         "p4_pieces": _p4_pieces,

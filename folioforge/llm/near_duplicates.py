@@ -2,17 +2,17 @@
 
 Method: multi-index Hamming join. A text stands for the set of its three-word sequences. Its
 signature has 64 positions of 16 bits (the low bits of 64 minima of hashed sequences), cut
-into chunks of 4 positions, 14 of which are posted. By the pigeonhole principle two signatures that differ
-in at most 27 of those 56 positions have a chunk with at most one differing position; so each chunk is posted once per
+into 16 chunks of 4 positions. By the pigeonhole principle two signatures that differ
+in at most 31 of the 64 positions have a chunk with at most one differing position; so each chunk is posted once per
 allowed error (the position left out), and all pairs under that signature distance meet under
-a common key. A sketch of two bits per position drops chance meetings inside the join, four bits per
-position drop most of the others; the similarity is then computed on the whole sets of the texts that remain.
+a common key. Sketches of two and of four bits per position, which are bits of the same positions and so differ in no more of them, drop
+chance meetings; no pair under the signature distance is dropped by them. The similarity is then computed on the whole sets of the texts that remain.
 
 Scale: equal sequence sets are one node from the start, so a text that a third of all rows hold
-costs one in the join. Keys are joined by Spark's own join (skewed keys are split by
-AQE); no group is gathered anywhere. A pair similar to the degree of exactly one half is
-found with probability 0.98 (it misses all keys with probability 0.6875 ** 14 = 0.005, the sketches with
-0.01), at 0.6 with 0.999.
+costs one in the join. Keys that many nodes share (a notice that all texts of a site hold) are split into blocks that meet pair by
+pair in groups of their own (``meetings``); beyond that AQE may split partitions, as nothing is partitioned by hand. A pair similar to the degree of exactly one half is
+found with probability 0.996 (it misses all keys with probability 0.6875 ** 16 = 0.0025, the sketches with
+0.001), at 0.6 with 0.9999.
 """
 
 from __future__ import annotations
@@ -27,15 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.meetings import in_blocks, meet
 from folioforge.plans.runtime import fan_out, save_table
 
 WORDS = 3
-POSITIONS, CHUNKS = 64, 14
+POSITIONS, CHUNKS = 64, 16
 SIMILARITY = 0.5
 #: Positions that differ in two bits up to which a meeting is looked at: 24 expected at similarity 0.5, with a spread of 3.9.
-SKETCH_POSITIONS = 34
+SKETCH_POSITIONS = 36
 #: Positions that differ in four bits up to which a pair is computed: 30 expected at similarity 0.5, with a spread of 3.9.
-FINE_POSITIONS = 41
+FINE_POSITIONS = 43
 #: Groups of copies up to this size are written as all their pairs, larger ones as pairs with their first record.
 EXPAND = 64
 _WORD = re.compile(r"[^\W_]+")
@@ -85,7 +86,7 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     low = low * np.uint64(0x9E3779B97F4A7C15)
     lanes = ((low >> np.uint64(40)) & np.uint64(0xFFFF)).reshape(POSITIONS // 4, 4)
     chunks = np.bitwise_or.reduce(lanes << np.arange(0, 64, 16, dtype=np.uint64), axis=1)
-    nibbles = ((low >> np.uint64(60)) & np.uint64(15)).reshape(4, 16)
+    nibbles = ((low >> np.uint64(52)) & np.uint64(15)).reshape(4, 16)  # the upper bits of each position: equal positions have equal sketches
     fine = np.bitwise_or.reduce(nibbles << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
     bits = np.stack([nibbles.ravel() & np.uint64(1), nibbles.ravel() >> np.uint64(1) & np.uint64(1)])
     sketch = np.bitwise_or.reduce(bits << np.arange(POSITIONS, dtype=np.uint64), axis=1)
@@ -98,7 +99,7 @@ def _cls(shingles: np.ndarray, kind: int) -> int:
 
 
 def signatures(records: DataFrame, words: int = WORDS) -> DataFrame:
-    """(kind, id, at, cls, chunks, sketch, fine) of each record with a word sequence.
+    """(kind, id, at, cls, chunks, sketch, fine) of each record; all null from cls on where a text has no word sequence.
 
     ``records`` has (kind INT, id STRING, at, text). cls is the 64-bit hash of kind and sequence set; texts of
     one cls have the same set. Narrow: texts are not shuffled.
@@ -109,15 +110,12 @@ def signatures(records: DataFrame, words: int = WORDS) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
-                keep, rows = [], []
-                for i, (kind, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
-                    s = shingler(text)
-                    if len(s):
-                        keep.append(i)
-                        rows.append((_cls(s, kind), *signature(s)))
-                at = pa.array(keep, pa.int32())
+                rows = []
+                for kind, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                    seen = shingler(text) if text else ()
+                    rows.append((_cls(seen, kind), *signature(seen)) if len(seen) else (None,) * 4)
                 kinds = (pa.int64(), *[pa.list_(pa.int64())] * 3)
-                cols = [batch.column(k).take(at) for k in range(3)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+                cols = [batch.column(k) for k in range(3)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(cols, ["kind", "id", "at", "cls", "chunks", "sketch", "fine"])
 
     src = records.select("kind", "id", F.unix_micros("at").alias("at"), "text")
@@ -136,11 +134,11 @@ def _sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
                 low = [(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(list(map(_cls, sets, batch.column(0).to_pylist())), pa.int64()), pa.array(low, pa.list_(pa.int32()))], ["cls", "shingles"])
 
-    return texts.select("kind", "text").mapInArrow(run, "cls bigint, shingles array<int>")
+    return texts.where("text is not null").select("kind", "text").mapInArrow(run, "cls bigint, shingles array<int>")
 
 
 def _keys(kind: Column, chunks: Column) -> Column:
-    """56 keys: each chunk with one of its four positions replaced by a tag of kind, chunk and position."""
+    """64 keys: each chunk with one of its four positions replaced by a tag of kind, chunk and position."""
     out = []
     for c in range(CHUNKS):
         for j in range(4):
@@ -153,12 +151,12 @@ def _keys(kind: Column, chunks: Column) -> Column:
 def similar_classes(records: DataFrame, sigs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(cls_a, cls_b, similarity) of different sequence sets alike to the given degree; cls_a < cls_b."""
     first = F.min(F.struct("id", "chunks", "sketch", "fine")).alias("f")
-    nodes = save_table(sigs.groupBy("kind", "cls").agg(first).select("kind", "cls", "f.*"), "nodes")
-    keyed = nodes.select(F.explode(_keys(F.col("kind"), F.col("chunks"))).alias("key"), "cls", F.element_at("sketch", 1).alias("s1"), F.element_at("sketch", 2).alias("s2")).repartition("key")
+    nodes = save_table(sigs.where("cls is not null").groupBy("kind", "cls").agg(first).select("kind", "cls", "f.*"), "nodes")
+    posted = nodes.select(F.explode(_keys(F.col("kind"), F.col("chunks"))).alias("key"), F.col("cls").alias("node"), F.element_at("sketch", 1).alias("s1"), F.element_at("sketch", 2).alias("s2"))
+    keyed = in_blocks(posted)
     a, b = keyed.alias("a"), keyed.alias("b")
     apart = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")).bitwiseOR(F.col("a.s2").bitwiseXOR(F.col("b.s2"))))
-    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (apart <= SKETCH_POSITIONS)
-    likely = a.join(b, meets).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
+    likely = a.join(b, meet("a", "b") & (apart <= SKETCH_POSITIONS)).select(F.col("a.node").alias("cls_a"), F.col("b.node").alias("cls_b")).distinct()
     fine = nodes.select("cls", "fine")
     likely = likely.join(fine.select(F.col("cls").alias("cls_a"), F.col("fine").alias("fa")), "cls_a").join(fine.select(F.col("cls").alias("cls_b"), F.col("fine").alias("fb")), "cls_b")
     differ = F.lit(0)
@@ -180,12 +178,12 @@ def similar_classes(records: DataFrame, sigs: DataFrame, similarity: float = SIM
 def _records(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     r = requests.select(F.lit(0).alias("kind"), F.col("request_id").alias("id"), F.col("received_at").alias("at"), F.col("body").alias("text"))
     c = chunks.select(F.lit(1).alias("kind"), F.col("chunk_id").alias("id"), F.col("created_at").alias("at"), F.col("text").alias("text"))
-    return r.unionByName(c).where("id is not null and text is not null")
+    return r.unionByName(c).where("id is not null")
 
 
 def _members(sigs: DataFrame) -> DataFrame:
-    """(kind, id, cls) once per record, by its latest delivery."""
-    return sigs.groupBy("kind", "id").agg(F.max(F.struct("at", "cls")).alias("m")).select("kind", "id", "m.cls")
+    """(kind, id, cls) once per record whose latest delivery has a word sequence."""
+    return sigs.groupBy("kind", "id").agg(F.max(F.struct("at", "cls")).alias("m")).select("kind", "id", "m.cls").where("cls is not null")
 
 
 def near_duplicate_pairs(requests: DataFrame, chunks: DataFrame, similarity: float = SIMILARITY, expand: int = EXPAND) -> DataFrame:

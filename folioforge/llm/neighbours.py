@@ -3,14 +3,13 @@
 Method: permutation index. A bounded sample of the vectors themselves are the pivots; a vector is
 represented by its nearest pivots in order. Postings go to inverted files of pivot triples out of
 that order (sum of places limited, so triples of the nearest pivots count); vectors that meet are ranked by
-the footrule distance of their orders, the best of each are reranked by cosine.
+the footrule distance of their orders, all within a distance are reranked by cosine.
 
 Scale: pivots are drawn from the rows, so dense regions hold more pivots and inverted files stay
 short wherever the data crowd; the number of pivots grows with the square root of the rows, which keeps the
-meetings in proportion to the rows. Equal vectors are one node, so a vector that a third of all rows hold
-costs one. Recall against brute force is in the README.
-
-``nearest_records`` uses no index: it compares all vectors of a model and length, in blocks.
+meetings in proportion to the rows up to MOST_PIVOTS (76 million different vectors of one model and length; beyond, meetings of a row grow with the rows).
+Many pivots are searched in two levels, so a row's cost grows with their root. An inverted file that is long all the same is split into blocks (``meetings``). Equal vectors are
+one node, so a vector that a third of all rows hold costs one. Recall against brute force is in the README.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioforge.plans.runtime import cores, fan_out, save_table
+from folioforge.llm.meetings import in_blocks, meet
+from folioforge.plans.runtime import fan_out, save_table
 
 K = 10
 #: Pivots of one model and length: PIVOT_RATE times the root of their rows, within these bounds (the pivot sample is bounded).
-PIVOT_RATE, LEAST_PIVOTS, MOST_PIVOTS = 7.5, 64, 8192
+PIVOT_RATE, LEAST_PIVOTS, MOST_PIVOTS = 7.5, 64, 1 << 16
+#: Bytes of the pivots of one model and length, which are sent to all tasks.
+PIVOT_BYTES = 64 << 20
+#: More pivots than DENSE are searched by way of their PROBES nearest groups.
+DENSE, PROBES = 4096, 12
 #: Nearest pivots kept of a vector, and the greatest sum of places (from 0) of a posted triple.
 PLACES, MOST_SUM = 10, 13
 #: Differing bits of two 64-bit sign sketches up to which a meeting is ranked, and of both sketches together.
 NEAR_BITS, BOTH_BITS = 15, 27
-#: Candidates of a vector that are reranked, best footrule first.
-RERANK = 48
+#: Footrule distance of two orders up to which a pair is reranked, however many such pairs a vector has; it lies between 0 and PLACES squared. Of pairs of
+#: cosine 0.9 one in a thousand is beyond 85.
+FOOTRULE = 90
 _TRIPLES = [t for t in itertools.combinations(range(PLACES), 3) if sum(t) <= MOST_SUM]
 
 
@@ -61,35 +67,37 @@ def _node(model: str, unit: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(np.round(unit, 5).astype(np.float32) + np.float32(0), xxhash.xxh3_64_intdigest(model))).view(np.int64))
 
 
-def _usable(chunks: DataFrame) -> DataFrame:
-    return chunks.where("chunk_id is not null and embedding is not null and embedding_model is not null and embedding_dimension = size(embedding)").select(
-        "chunk_id", F.unix_micros("created_at").alias("at"), F.col("embedding_model").alias("model"), F.col("embedding_dimension").alias("dim"), F.transform("embedding", lambda x: x.cast("float")).alias("vec")
-    )
+def _rows(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, at, model, dim, vec) of every delivery; vec is null where the vector is null, without model or not as long as stated."""
+    good = F.col("embedding").isNotNull() & F.col("embedding_model").isNotNull() & F.coalesce(F.col("embedding_dimension") == F.size("embedding"), F.lit(False))
+    vec = F.when(good, F.transform("embedding", lambda x: x.cast("float")))
+    return chunks.where("chunk_id is not null").select("chunk_id", F.unix_micros("created_at").alias("at"), F.col("embedding_model").alias("model"), F.col("embedding_dimension").alias("dim"), vec.alias("vec"))
 
 
 def nodes_of(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, members): distinct unit vectors (model, node, vec), and (chunk_id, model, node) of each usable chunk's latest row.
+    """(nodes, members): distinct unit vectors (model, node, vec), and (chunk_id, model, node) of each chunk whose latest row has a usable vector.
 
     Usable: vector not null, not all zero, finite, as long as embedding_dimension says, model not null.
     """
 
     def units(batches: Iterator[pa.RecordBatch], with_vectors: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = _unit(batch.column(4), batch.column(3).to_numpy(zero_copy_only=False))
-            keep = pa.array([i for i, u in enumerate(unit) if u is not None], pa.int32())
+            unit = _unit(batch.column(4), np.nan_to_num(batch.column(3).to_numpy(zero_copy_only=False), nan=-1))
             models = batch.column(2).to_pylist()
-            node = pa.array([_node(models[i], u) for i, u in enumerate(unit) if u is not None], pa.int64())
             if with_vectors:
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(keep), node, pa.array([u for u in unit if u is not None], pa.list_(pa.float32()))], ["model", "node", "vec"])
+                keep = [i for i, u in enumerate(unit) if u is not None]
+                node = pa.array([_node(models[i], unit[i]) for i in keep], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(keep, pa.int32())), node, pa.array([unit[i] for i in keep], pa.list_(pa.float32()))], ["model", "node", "vec"])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), batch.column(2).take(keep), node], ["chunk_id", "at", "model", "node"])
+                node = pa.array([None if u is None else _node(m, u) for m, u in zip(models, unit)], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), node], ["chunk_id", "at", "model", "node"])
 
-    src = fan_out(_usable(chunks))
-    vectors = src.mapInArrow(lambda it: units(it, True), "model string, node bigint, vec array<float>")
+    src = fan_out(_rows(chunks))
+    vectors = src.where("vec is not null").mapInArrow(lambda it: units(it, True), "model string, node bigint, vec array<float>")
     nodes = save_table(vectors.dropDuplicates(["model", "node"]), "nodes")
     rows = src.mapInArrow(lambda it: units(it, False), "chunk_id string, at bigint, model string, node bigint")
-    members = rows.groupBy("chunk_id").agg(F.max(F.struct("at", "model", "node")).alias("m")).select("chunk_id", "m.model", "m.node")
-    return nodes, members
+    latest_ = rows.groupBy("chunk_id").agg(F.max(F.struct("at", F.when(F.col("node").isNotNull(), F.struct("model", "node")).alias("v"))).alias("m"))
+    return nodes, latest_.where("m.v is not null").select("chunk_id", "m.v.model", "m.v.node")
 
 
 def pivots_of(nodes: DataFrame, rate: float = PIVOT_RATE, least: int = LEAST_PIVOTS, most: int = MOST_PIVOTS) -> dict[str, dict[int, np.ndarray]]:
@@ -101,7 +109,7 @@ def pivots_of(nodes: DataFrame, rate: float = PIVOT_RATE, least: int = LEAST_PIV
     counts = {(r["model"], r["dim"]): r["count"] for r in nodes.groupBy("model", length.alias("dim")).count().collect()}
     out: dict[str, dict[int, np.ndarray]] = {}
     for (m, d), n in sorted(counts.items()):
-        wanted = int(min(n, most, max(least, rate * math.sqrt(n))))
+        wanted = int(min(n, most, max(1, PIVOT_BYTES // (4 * max(1, d))), max(least, rate * math.sqrt(n))))
         share = min(1.0, 1.3 * wanted / n + 30 / n)
         at = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30))
         drawn = nodes.where((F.col("model") == m) & (length == d) & (at < int(share * (1 << 30)))).select(at.alias("at"), "vec").orderBy("at").limit(wanted).collect()
@@ -125,45 +133,81 @@ def _bits(signs: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(signs, axis=1)).view(np.int64)
 
 
-def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, places: int) -> np.ndarray:
-    """Indices of each vector's nearest pivots in order, ties by index."""
-    places = min(places, len(pivots))
-    out = np.empty((len(vectors), places), dtype=np.int64)
-    for i in range(0, len(vectors), 1024):
-        sims = vectors[i : i + 1024] @ pivots.T
-        near = np.sort(np.argpartition(-sims, places - 1, axis=1)[:, :places], axis=1) if places < len(pivots) else np.tile(np.arange(places), (len(sims), 1))
-        order = np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable")
-        out[i : i + 1024] = np.take_along_axis(near, order, 1)
-    return out
+def _top(sims: np.ndarray, places: int) -> np.ndarray:
+    """Columns of each row's greatest values in order, ties by column."""
+    places = min(places, sims.shape[1])
+    near = np.sort(np.argpartition(-sims, places - 1, axis=1)[:, :places], axis=1) if places < sims.shape[1] else np.tile(np.arange(places), (len(sims), 1))
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
+
+
+class Pivots:
+    """Pivots to be searched; many of them lie in groups around the first ones, of which only the nearest are looked into."""
+
+    def __init__(self, x: np.ndarray, dense: int = DENSE, probes: int = PROBES):
+        self.x, self.groups = x, 0
+        if len(x) > dense:
+            self.groups, self.probes = math.isqrt(len(x)), probes
+            home = np.concatenate([(x[i : i + 4096] @ x[: self.groups].T).argmax(axis=1) for i in range(0, len(x), 4096)])
+            self.order = np.argsort(home, kind="stable")
+            self.starts = np.searchsorted(home[self.order], np.arange(self.groups + 1))
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def nearest(self, vectors: np.ndarray, places: int) -> np.ndarray:
+        """Indices of each vector's nearest pivots in order, ties by index."""
+        step = 4096 if self.groups else 1024
+        parts = [self._grouped(vectors[i : i + step], places) if self.groups else _top(vectors[i : i + step] @ self.x.T, places) for i in range(0, len(vectors), step)]
+        return np.concatenate(parts) if parts else np.empty((0, min(places, len(self.x))), dtype=np.int64)
+
+    def _grouped(self, v: np.ndarray, places: int) -> np.ndarray:
+        asked = _top(v @ self.x[: self.groups].T, self.probes).ravel()
+        by_group = np.argsort(asked, kind="stable")
+        ends = np.searchsorted(asked[by_group], np.arange(self.groups + 1))
+        probes = len(asked) // len(v)
+        sims, found = np.full((len(v), probes, places), -np.inf, dtype=np.float32), np.full((len(v), probes, places), len(self.x), dtype=np.int64)
+        for g in np.flatnonzero(np.diff(ends)):
+            row, slot = np.divmod(by_group[ends[g] : ends[g + 1]], probes)
+            members = self.order[self.starts[g] : self.starts[g + 1]]
+            here = v[row] @ self.x[members].T
+            best = _top(here, places)
+            sims[row, slot, : best.shape[1]] = np.take_along_axis(here, best, 1)
+            found[row, slot, : best.shape[1]] = members[best]
+        sims, found = sims.reshape(len(v), -1), found.reshape(len(v), -1)
+        order = np.lexsort((found, -sims), axis=1)[:, : min(places, len(self.x))]
+        return np.take_along_axis(found, order, 1)
 
 
 def postings_of(nodes: DataFrame, pivots: dict) -> DataFrame:
     """(key, node, places, sketch): one row per node and posted pivot triple; places packs the triple's places in the node's order."""
-    shared = nodes.sparkSession.sparkContext.broadcast(pivots)  # bounded: MOST_PIVOTS rows per model and length
+    shared = nodes.sparkSession.sparkContext.broadcast(pivots)  # bounded: MOST_PIVOTS rows and PIVOT_BYTES per model and length
     tags = {k: i for i, k in enumerate(sorted((m, d) for m in pivots for d in pivots[m]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, int], Pivots] = {}
         for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
+            for start in range(0, whole.num_rows, 4000):
+                batch = whole.slice(start, 4000)
                 models, ids = batch.column(0).to_pylist(), batch.column(1).to_numpy()
                 vectors = batch.column(2).to_pylist()
                 groups: dict[tuple[str, int], list[int]] = {}
                 for i, (m, v) in enumerate(zip(models, vectors)):
                     groups.setdefault((m, len(v)), []).append(i)
                 for (m, d), rows in groups.items():
-                    piv = shared.value[m][d]
+                    if (m, d) not in known:
+                        known[m, d] = Pivots(shared.value[m][d])
+                    piv = known[m, d]
                     if len(piv) < 3:  # so few nodes are compared without the index, see _pairs_of_few
                         continue
                     x = np.array([vectors[i] for i in rows], dtype=np.float32)
-                    near = nearest_pivots(x, piv, PLACES)
+                    near = piv.nearest(x, PLACES)
                     sketch = _bits((x @ _planes(d)) > 0)[:, 0]
                     triples = [t for t in _TRIPLES if t[2] < near.shape[1]]
                     chosen = near[:, triples]  # rows x triples x 3
                     order = np.argsort(chosen, axis=2)
                     pivot = np.take_along_axis(chosen, order, 2)
                     place = np.take_along_axis(np.broadcast_to(np.array(triples), chosen.shape), order, 2)
-                    key = ((np.int64(tags[m, d]) * 16384 + pivot[:, :, 0]) * 16384 + pivot[:, :, 1]) * 16384 + pivot[:, :, 2]
+                    key = ((np.int64(tags[m, d]) << 48) | (pivot[:, :, 0] << 32) | (pivot[:, :, 1] << 16) | pivot[:, :, 2]).astype(np.int64)
                     packed = place[:, :, 0] * 256 + place[:, :, 1] * 16 + place[:, :, 2]
                     t = len(triples)
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids[rows], t)), pa.array(packed.ravel().astype(np.int16)), pa.array(np.repeat(sketch, t))], ["key", "node", "places", "sketch"])
@@ -188,14 +232,13 @@ def _with_sketch(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "vec").mapInArrow(run, "node bigint, second bigint")
 
 
-def similar_nodes(nodes: DataFrame, near_bits: int = NEAR_BITS, both_bits: int = BOTH_BITS, rerank: int = RERANK) -> DataFrame:
-    """(a, b, cosine) of node pairs: of each node the ``rerank`` candidates of least footrule, with their cosine; a and b each way."""
-    spark = nodes.sparkSession
-    posted = postings_of(nodes, pivots_of(nodes)).repartition("key")
+def similar_nodes(nodes: DataFrame, near_bits: int = NEAR_BITS, both_bits: int = BOTH_BITS, most: float = FOOTRULE) -> DataFrame:
+    """(a, b, cosine) of node pairs that meet, pass the sketches and have a footrule of at most ``most``; a and b each way."""
+    posted = in_blocks(postings_of(nodes, pivots_of(nodes)))
     a, b = posted.alias("a"), posted.alias("b")
     apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
     moved = sum(F.abs(F.shiftright("a.places", s).bitwiseAND(15) - F.shiftright("b.places", s).bitwiseAND(15)) for s in (8, 4, 0))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (apart <= near_bits))
+    met = a.join(b, meet("a", "b") & (apart <= near_bits))
     met = met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), moved.alias("moved"), apart.alias("apart"))
     pairs = met.groupBy("x", "y").agg(F.count("*").alias("triples"), F.sum("moved").alias("moved"), F.min("apart").alias("apart"))
     sketches = _with_sketch(nodes)
@@ -204,17 +247,12 @@ def similar_nodes(nodes: DataFrame, near_bits: int = NEAR_BITS, both_bits: int =
     # s shared pivots give up to s (s - 1) (s - 2) / 6 shared triples, each moved place counted in (s - 1) (s - 2) / 2 of them
     s = F.cbrt(6.0 * F.col("triples")) + 1
     footrule = F.col("moved") / F.greatest((s - 1) * (s - 2) / 2, F.lit(1.0)) + (PLACES - s) * PLACES
-    ranked = pairs.select("x", "y", footrule.alias("footrule"))
-    ranked = save_table(ranked, "pairs")
-    each = ranked.select(F.explode(F.array(F.struct(F.col("x").alias("q"), F.col("y").alias("c")), F.struct(F.col("y").alias("q"), F.col("x").alias("c")))).alias("e"), "footrule").select("e.*", "footrule")
-    best = each.withColumn("rank_", F.row_number().over(W.partitionBy("q").orderBy("footrule", "c"))).where(F.col("rank_") <= rerank)
-    chosen = best.select(F.least("q", "c").alias("x"), F.greatest("q", "c").alias("y")).distinct()
+    chosen = pairs.where(footrule <= most).select("x", "y")
     chosen = chosen.unionByName(_pairs_of_few(nodes))
     left = nodes.select(F.col("node").alias("x"), F.col("vec").alias("vx"))
     right = nodes.select(F.col("node").alias("y"), F.col("vec").alias("vy"))
     dot = F.aggregate(F.zip_with("vx", "vy", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, p: acc + p)
     scored = chosen.join(left, "x").join(right, "y").select("x", "y", F.round(F.least(F.lit(1.0), dot), 7).alias("cosine"))
-    assert spark is not None
     return scored.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e"), "cosine").select("e.*", "cosine")
 
 
@@ -235,122 +273,10 @@ def _records(near: DataFrame, members: DataFrame, k: int, asked: DataFrame) -> D
     return out.select("chunk_id", F.col("e_.id").alias("neighbour_id"), (-F.col("e_.d")).alias("cosine"), (F.col("p_") + 1).alias("rank"))
 
 
-def _blocks_of(nodes: DataFrame, block: int) -> DataFrame:
-    """(model, dim, ids, vecs): nodes of one model and length packed into rows of at most ``block`` vectors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def pack(key: tuple[str, int], least: int) -> Iterator[pa.RecordBatch]:
-            ids, x = (np.concatenate(part) for part in zip(*held[key]))
-            done = 0
-            while len(ids) - done >= least:
-                part = slice(done, done + block)
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([ids[part].tobytes()]), pa.array([x[part].tobytes()])], ["model", "dim", "ids", "vecs"])
-                done += block
-            held[key] = [(ids[done:], x[done:])]
-
-        for batch in batches:
-            ids, models = batch.column(1).to_numpy(), np.array(batch.column(0).to_pylist(), dtype=object)
-            starts, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(zero_copy_only=False)
-            sizes = np.diff(starts)
-            for key in {(m, int(d)) for m, d in zip(models, sizes)}:
-                rows = np.flatnonzero((models == key[0]) & (sizes == key[1]))
-                held.setdefault(key, []).append((ids[rows], flat[starts[rows][:, None] + np.arange(key[1])].astype(np.float32)))
-                if sum(len(i) for i, _ in held[key]) >= block:
-                    yield from pack(key, block)
-        for key in held:
-            yield from pack(key, 1)
-
-    return nodes.select("model", "node", "vec").mapInArrow(run, "model string, dim int, ids binary, vecs binary")
-
-
-class _Best:
-    """The k best of each query of a block so far: cosine rounded to 7 decimals, then id."""
-
-    STRIP = 1024
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
-        self.ids, self.x, self.k = ids, x, k
-        self.cos, self.found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
-        self.slack = 1e-6 + 1.2e-7 * x.shape[1]  # of a product in single precision
-
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        for start in range(0, len(self.ids), self.STRIP):
-            self._strip(slice(start, start + self.STRIP), ids, x)
-
-    def _strip(self, part: slice, ids: np.ndarray, x: np.ndarray) -> None:
-        q, q_ids, cos, found, k, n = self.x[part], self.ids[part], self.cos[part], self.found[part], self.k, len(ids)
-        near = q @ x.T
-        least = cos[:, -1].copy()
-        if n > k + 1 and (few := np.flatnonzero(np.isneginf(least))).size:  # one more, as the query may be among them
-            least[few] = np.partition(near[few], n - k - 1, axis=1)[:, n - k - 1]
-        row, col = np.divmod(np.flatnonzero(near >= (least - self.slack).astype(np.float32)[:, None]), n)
-        other = q_ids[row] != ids[col]
-        row, col = row[other], col[other]
-        if not len(row):
-            return
-        exact = np.concatenate([np.einsum("ij,ij->i", q[row[i : i + 65536]].astype(np.float64), x[col[i : i + 65536]].astype(np.float64)) for i in range(0, len(row), 65536)])
-        met = np.unique(row)
-        row = np.concatenate([np.repeat(met, k), row])
-        all_cos = np.concatenate([cos[met].ravel(), np.round(np.minimum(1.0, exact), 7)])
-        all_ids = np.concatenate([found[met].ravel(), ids[col]])
-        order = np.lexsort((all_ids, -all_cos, row))
-        first = np.searchsorted(row[order], met)
-        kept = order[(first[:, None] + np.arange(k)).ravel()]  # each row has k at least: what it held before
-        cos[met], found[met] = all_cos[kept].reshape(-1, k), all_ids[kept].reshape(-1, k)
-
-    def batch(self) -> pa.RecordBatch:
-        there = ~np.isneginf(self.cos)
-        a = np.repeat(self.ids, there.sum(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(self.found[there]), pa.array(self.cos[there])], ["a", "b", "cosine"])
-
-
-def all_nearest(nodes: DataFrame, k: int, block: int = 4096, part: int = 1 << 18) -> DataFrame:
-    """(a, b, cosine): at least the ``k`` most similar nodes of each node, exact: every pair of a model and length is compared.
-
-    Blocks of vectors meet in a Cartesian product; a task keeps one block's best over the blocks of about ``part``
-    nodes that stream by, so its memory is bounded and only k rows a node and part leave it. The work grows with the square of the rows.
-    """
-    blocks = save_table(_blocks_of(nodes, block), "blocks")
-    n = nodes.count()
-    x, y = blocks.repartition(max(4 * cores(nodes.sparkSession), math.ceil(n / (16 * block)))).alias("x"), blocks.coalesce(max(1, math.ceil(n / part))).alias("y")
-    # equality written as two bounds: a join on so few keys would bring a whole model to one task
-    same = (F.col("x.model") >= F.col("y.model")) & (F.col("x.model") <= F.col("y.model")) & (F.col("x.dim") >= F.col("y.dim")) & (F.col("x.dim") <= F.col("y.dim"))
-    met = x.join(y.hint("shuffle_replicate_nl"), same).select("x.dim", "x.ids", "x.vecs", F.col("y.ids").alias("y_ids"), F.col("y.vecs").alias("y_vecs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, best = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim, ids = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                vectors = [np.frombuffer(batch.column(c)[i].as_py(), dtype=np.float32).reshape(-1, dim) for c in ((2, 4) if ids != asked else (4,))]
-                if ids != asked:
-                    if best is not None:
-                        yield best.batch()
-                    asked, best = ids, _Best(np.frombuffer(ids, dtype=np.int64), vectors[0], k)
-                best.add(np.frombuffer(batch.column(3)[i].as_py(), dtype=np.int64), vectors[-1])
-        if best is not None:
-            yield best.batch()
-
-    return met.mapInArrow(run, "a bigint, b bigint, cosine double")
-
-
-def nearest_records(chunks: DataFrame, k: int = K) -> DataFrame:
-    """(chunk_id, neighbour_id, cosine, rank): the ``k`` most similar chunks of the same model and length of every chunk, near or far, exact.
-
-    Ordered by cosine (7 decimals), then id. Equal vectors are each other's first neighbours. A chunk counts once, by its
-    latest row. Unusable vectors take no part; empty tables give no rows.
-    """
-    nodes, members = nodes_of(chunks)
-    members = save_table(members, "members")
-    return _records(all_nearest(nodes, k + 1), members, k, members)
-
-
 def close_records(chunks: DataFrame, k: int = K) -> DataFrame:
     """(chunk_id, neighbour_id, cosine, rank): what the permutation index finds of the ``k`` most similar chunks.
 
-    Made for close neighbours (cosine 0.9 and more); of distant ones many are missed, see nearest_records.
+    Made for close neighbours (cosine 0.9 and more); of distant ones many are missed, see nearest_of_queries.
     """
     nodes, members = nodes_of(chunks)
     members = save_table(members, "members")
@@ -384,11 +310,11 @@ def _search_shard(x: np.ndarray, ids: np.ndarray, near: np.ndarray, q: np.ndarra
     return a, b, c
 
 
-def nearest_of_queries(chunks: DataFrame, every: int = 50, k: int = K, pivots: int = 384, places: int = 8, best: float = 0.6, block: int = 4096, shard: int = 8192) -> DataFrame:
+def nearest_of_queries(chunks: DataFrame, every: int = 50, k: int = K, pivots: int = 384, places: int = 8, best: float = 0.6, block: int = 16384, shard: int = 8192) -> DataFrame:
     """(chunk_id, neighbour_id, cosine, rank): the ``k`` most similar chunks of each query chunk, whatever their distance.
 
     Queries are the chunks whose hashed id is divisible by ``every``, searched against all rows in blocks of about
-    ``block`` queries, which alone are sent to the tasks. Each shard of ``shard`` rows is a permutation index of its own:
+    ``block`` queries. One block at a time is in the driver and sent to the tasks; its result is written before the next one is read. Each shard of ``shard`` rows is a permutation index of its own:
     inverted files of the nearest ``places`` of ``pivots`` pivots (a bounded sample), footrule ranking, and cosine for the
     better part ``best`` of those that share a pivot. Results of shards are merged.
     """
@@ -399,7 +325,7 @@ def nearest_of_queries(chunks: DataFrame, every: int = 50, k: int = K, pivots: i
     piv = pivots_of(nodes, 0.0, pivots, pivots)
     blocks = max(1, math.ceil(wanted.count() / block))
     spark = nodes.sparkSession
-    parts = None
+    parts = []
     for i in range(blocks):
         drawn = wanted.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(blocks)) == i).collect()  # about ``block`` rows
         groups: dict[tuple[str, int], list] = {}
@@ -409,10 +335,12 @@ def nearest_of_queries(chunks: DataFrame, every: int = 50, k: int = K, pivots: i
         for (m, d), rows in groups.items():
             if d in piv[m]:
                 x = np.array([r["vec"] for r in rows], dtype=np.float32)
-                packed[m, d] = (x, np.array([r["node"] for r in rows], dtype=np.int64), nearest_pivots(x, piv[m][d], places))
-        found = nodes.select("model", "node", "vec").mapInArrow(_shard_search(spark.sparkContext.broadcast((piv, packed)), places, k, best, shard), "a bigint, b bigint, cosine double")
-        parts = found if parts is None else parts.unionByName(found)
-    return _records(parts, members, k, asked)
+                packed[m, d] = (x, np.array([r["node"] for r in rows], dtype=np.int64), Pivots(piv[m][d]).nearest(x, places))
+        shared = spark.sparkContext.broadcast((piv, packed))
+        found = nodes.select("model", "node", "vec").mapInArrow(_shard_search(shared, places, k, best, shard), "a bigint, b bigint, cosine double")
+        parts.append(save_table(best_nodes(found, k + 1), "found"))
+        shared.unpersist()
+    return _records(reduce(DataFrame.unionByName, parts), members, k, asked)
 
 
 def _shard_search(shared, places: int, k: int, best: float, shard: int):
@@ -425,7 +353,7 @@ def _shard_search(shared, places: int, k: int, best: float, shard: int):
             x, ids = np.array([v for _, v in rows], dtype=np.float32), np.array([n for n, _ in rows], dtype=np.int64)
             p = piv[key[0]][key[1]]
             q, q_ids, q_near = packed[key]
-            a, b, c = _search_shard(x, ids, nearest_pivots(x, p, places), q, q_ids, q_near, len(p), k, best)
+            a, b, c = _search_shard(x, ids, Pivots(p).nearest(x, places), q, q_ids, q_near, len(p), k, best)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["a", "b", "cosine"])
 
         for batch in batches:

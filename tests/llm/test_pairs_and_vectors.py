@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import near_duplicates as nd
 from folioforge.llm import neighbours as nb
+from folioforge.llm.meetings import in_blocks, meet
 
 T0 = datetime(2025, 1, 1)
 REQUESTS = "request_id string, received_at timestamp, body string, key string, cls string"
@@ -95,12 +96,12 @@ def test_large_group_of_copies_keeps_every_link(spark):
 
 
 def test_signature_distance_guarantee():
-    """All signatures that differ in at most 27 of the 56 posted positions share a key."""
+    """All signatures that differ in at most 31 of the 64 positions share a key."""
     rng = np.random.default_rng(1)
     for _ in range(200):
         a = rng.integers(0, 2**16, (nd.CHUNKS, 4))
         b = a.copy()
-        for p in rng.choice(nd.CHUNKS * 4, 27, replace=False):
+        for p in rng.choice(nd.CHUNKS * 4, 31, replace=False):
             b[p // 4, p % 4] ^= 1 + rng.integers(0, 60000)
         assert ((a != b).sum(1) <= 1).any()
 
@@ -146,7 +147,7 @@ def test_vector_edge_cases(spark):
 def test_copies_have_k_neighbours_each(spark):
     rows = [(f"c{i:03d}", "m", 2, [1.0, 2.0]) for i in range(40)]
     df = vectors(spark, rows + rows[:5])
-    got = nb.nearest_records(df, 10).groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("neighbour_id").alias("first"))
+    got = nb.nearest_of_queries(df, every=1).groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("neighbour_id").alias("first"))
     assert {(r.n, r.first) for r in got.collect()} == {(10, "c000"), (10, "c001")}
     assert nb.close_pairs(df).count() == 11 * 10 // 2 + 29 * 10
 
@@ -155,7 +156,7 @@ def test_copies_have_k_neighbours_each(spark):
 def test_nearest_pivots_in_order(places):
     rng = np.random.default_rng(0)
     x, p = rng.standard_normal((30, 5)).astype(np.float32), rng.standard_normal((20, 5)).astype(np.float32)
-    got = nb.nearest_pivots(x, p, places)
+    got = nb.Pivots(p).nearest(x, places)
     want = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :places]
     assert (got == want).all()
 
@@ -178,31 +179,56 @@ def test_query_set_recall_against_brute_force(spark):
     assert nb.nearest_of_queries(vectors(spark, [])).count() == 0
 
 
-def test_every_chunk_has_its_true_neighbours(spark):
-    """Far neighbours too: in random vectors the tenth has a cosine of about 0.6."""
-    rng = np.random.default_rng(8)
-    x = rng.standard_normal((900, 16)).astype(np.float32)
-    ids = [f"c{i:04d}" for i in range(len(x))]
-    few = [("x0", "few", 2, [1.0, 0.0]), ("x1", "few", 2, [0.0, 1.0]), ("y", "few", 3, [1.0, 0.0, 0.0])]
-    df = vectors(spark, [(i, "m", 16, v.tolist()) for i, v in zip(ids, x)] + few)
-    got: dict[str, list] = {}
-    for r in nb.nearest_records(df).orderBy("chunk_id", "rank").collect():
-        got.setdefault(r.chunk_id, []).append((r.neighbour_id, r.cosine))
-    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
-    s = u @ u.T
-    np.fill_diagonal(s, -2)
-    for i, c in enumerate(ids):
-        assert {n for n, _ in got[c]} == {ids[j] for j in np.argsort(-s[i])[:10]}
-        assert np.allclose([v for _, v in got[c]], np.sort(s[i])[::-1][:10], atol=1e-6)
-    assert got["x0"] == [("x1", 0.0)] and got["x1"] == [("x0", 0.0)] and "y" not in got
-
-
-def test_blocks_and_parts_change_nothing(spark):
-    rng = np.random.default_rng(9)
-    rows = [(f"c{i:03d}", "m", 5, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 5)))]
-    nodes, _ = nb.nodes_of(vectors(spark, rows))
-    whole, cut = ({(r.a, r.b, r.cosine) for r in nb.best_nodes(nb.all_nearest(nodes, 11, *sizes), 11).collect()} for sizes in ((4096, 1 << 18), (7, 50)))
-    assert whole == cut and len(whole) == 300 * 11
+def test_grouped_pivots_find_most_of_the_nearest():
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((60, 24))
+    x = (centres[rng.integers(0, 60, 3000)] + rng.standard_normal((3000, 24)) * 0.4).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    dense, grouped = nb.Pivots(x[:1500]), nb.Pivots(x[:1500], dense=100, probes=12)
+    a, b = dense.nearest(x[1500:], 10), grouped.nearest(x[1500:], 10)
+    assert grouped.groups == 38 and b.shape == a.shape and b.max() < 1500
+    assert sum(len(set(p) & set(q)) for p, q in zip(a, b)) >= 0.93 * a.size
+
+
+def test_latest_row_decides_even_if_it_has_no_vector(spark):
+    t = datetime(2025, 2, 1)
+    rows = [("a", T0, "m", 2, [1.0, 0.0]), ("a", t, "m", 2, None), ("b", T0, "m", 2, None), ("b", t, "m", 2, [1.0, 0.01]), ("c", T0, "m", 2, [1.0, 0.02])]
+    df = spark.createDataFrame([(*r, "x", "x", "x") for r in rows], VECTORS)
+    assert pairs(nb.close_pairs(df)) == {("b", "c")}
+    old = [("a", T0, "one two three four"), ("a", t, None), ("b", T0, "one two three four"), ("b", t, "two"), ("c", T0, "one two three four"), ("d", T0, None), ("d", t, "one two three four")]
+    df = spark.createDataFrame([(*r, "x", "x") for r in old], REQUESTS)
+    assert pairs(nd.near_duplicate_pairs(df, chunks(spark, []))) == {("c", "d")}
+
+
+def test_hot_keys_meet_in_blocks(spark):
+    """A key that holds a third of the rows: every pair meets once, and no group holds more than about two blocks."""
+    rows = [(0 if i % 3 == 0 else 1 + i, i) for i in range(900)]
+    df = spark.createDataFrame(rows + [(5000 + i % 200, 1000 + i) for i in range(400)], "key bigint, node bigint")
+    posted = in_blocks(df, block=30, look=3)
+    assert posted.groupBy("key", "tag_").count().agg(F.max("count")).collect()[0][0] <= 110
+    a, b = posted.alias("a"), posted.alias("b")
+    got = [tuple(r) for r in a.join(b, meet("a", "b")).select("a.key", "a.node", "b.node").collect()]
+    hot = [n for k, n in rows if k == 0]
+    want = {(0, x, y) for x in hot for y in hot if x < y} | {(5000 + i, 1000 + i, 1200 + i) for i in range(200)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert in_blocks(df.where("false")).count() == 0
+
+
+def test_pair_joins_may_be_split_where_they_are_skewed(spark):
+    """With a third of the rows on one key the executed join is marked as skewed and its partition is split."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"), F.xxhash64("id").alias("node")).repartition(4)
+        posted = in_blocks(df, block=1 << 20)  # no blocks: what remains is the planner's own split
+        joined = posted.alias("a").join(posted.alias("b"), meet("a", "b") & (F.pmod(F.col("a.node").bitwiseXOR(F.col("b.node")), F.lit(1009)) == 0)).select("a.node")
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def test_few_and_rare_lengths_keep_their_neighbours(spark):
