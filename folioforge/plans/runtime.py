@@ -5,14 +5,15 @@ from __future__ import annotations
 import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHUFFLES = re.compile(r"\b(?:Aggregate|Join|Window|Sort|Repartition|Distinct|Deduplicate)\b|RepartitionByExpression")
-#: A side is broadcast only if its parquet or row count bound is at most this many rows.
-BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only if unset, as in tests) a local one.
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint directory set on the context.
 
-    Where the setting is absent, a temporary folder is made once per session and set as
-    the checkpoint directory, so that checkpoint() works too.
+    Where neither is set, a session on this machine alone (as in tests) gets a temporary folder, which also becomes its checkpoint
+    directory; on a cluster that is an error, as no local folder is seen by all executors.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -33,7 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="folioforge-")
+    atexit.register(shutil.rmtree, made, True)
     context.setCheckpointDir(f"file://{made}")
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -50,15 +54,53 @@ def _remove(spark: SparkSession, path: str) -> None:
 def save_table(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back: cuts lineage and survives lost executors.
 
-    Used wherever a result is needed by two jobs. The file is removed when the program ends.
+    Used wherever a result is needed by two jobs. The file is removed by ``free`` or when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _SAVED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SAVED: list[tuple[SparkSession, str]] = []
+
+
+def free(since: int = 0) -> None:
+    """Removes the files of saved tables, those after the first ``since``: to be called when the queries that read them are done."""
+    while len(_SAVED) > since:
+        _remove(*_SAVED.pop())
+
+
+atexit.register(free)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Within it tables may be saved and read; when it ends their files go. Write or collect results inside."""
+    since = len(_SAVED)
+    try:
+        yield
+    finally:
+        free(since)
+
+
+@contextmanager
+def sized(spark: SparkSession, rows: int, per_partition: int = 200_000) -> Iterator[None]:
+    """Within it, shuffles begin with as many partitions as ``rows`` rows need, at least the session's number.
+
+    For jobs whose shuffled rows are counted beforehand: a task's share then stays the same however large the input. Adaptive execution joins partitions that come out small.
+    """
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    least = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(name, str(max(least, -(-rows // per_partition))))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cores(spark: SparkSession) -> int:
     """Parallel tasks of the session."""
     return max(1, spark.sparkContext.defaultParallelism)
