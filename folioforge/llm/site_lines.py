@@ -2,20 +2,20 @@
 
 Method: PrefixSpan over line-identifier sequences, one sequence database per site. A line's
 identifier is the 64-bit hash of its normal form (lower case, runs of other characters one blank,
-digit runs 0). Patterns grow level by level as joins of occurrence tables (site, request,
-line number): level 1 are the frequent lines, level k extends each frequent pattern of k - 1
-lines by a frequent line that comes after it in the document (any later one, or only the next), until
-no pattern of a level is frequent. Support is the number of distinct requests of the site. Occurrences of frequent patterns, single
-lines included, are then removed.
-
-Everything but the per-request body is keyed by (site, line), so a site with a third of all
-requests is spread over its lines; counts are combined before the shuffle.
+digit runs 0). A request is the sequence of its frequent lines; equal sequences of a site are one row with their number, so the database of
+a site with a third of all requests is as long as the ways in which its standing lines occur. Patterns grow level by level: a row of a projected
+database is (site, pattern, what follows the pattern's first occurrence, number of requests); it is extended by each line that follows,
+whether or not others lie between, and equal rows are merged again. Support is the number of distinct requests of the site.
+Occurrences of frequent patterns, single lines included, are then removed.
+
+No group is gathered: lines are counted by (site, line), rows by (site, pattern, rest), with partial sums before each shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.llm.texts import latest, with_site
@@ -23,6 +23,9 @@ from folioforge.plans.runtime import fan_out, save_table
 
 MIN_REQUESTS = 5
 MIN_SHARE = 0.03
+#: Levels that are grown to find the lines to remove. Each line of a longer pattern is a line of a shorter one too, so more levels remove the same lines;
+#: with all of them the number of patterns can grow exponentially with the standing lines of a request.
+LEVELS = 2
 
 
 def normal_form(line: Column) -> Column:
@@ -32,7 +35,7 @@ def normal_form(line: Column) -> Column:
 
 def site_requests(requests: DataFrame, publishers: DataFrame) -> DataFrame:
     """(request_id, site, body) once per request that has a site, in its latest delivery."""
-    once = latest(requests, "request_id", "received_at", "body", "publisher", "origin")
+    once = latest(requests, "request_id", "received_at", "publisher", "origin", "body")
     return with_site(once, publishers).where("site is not null").select("request_id", "site", "body")
 
 
@@ -55,59 +58,64 @@ def frequent(pairs: DataFrame, totals: DataFrame, pattern: str = "pattern", min_
     return kept.where(F.col("support") >= min_share * F.col("site_requests")).select("site", pattern, "support")
 
 
-def frequent_sequences(lines: DataFrame, totals: DataFrame, min_requests: int = MIN_REQUESTS, min_share: float = MIN_SHARE, gaps: bool = False) -> tuple[DataFrame, DataFrame]:
-    """PrefixSpan: (patterns, occurrences of frequent lines).
+def _extended(rows: DataFrame) -> DataFrame:
+    """Projected databases of all patterns longer by one line: of each line that follows, what comes after its first occurrence."""
+    step = rows.select("site", "pattern", "rest", "weight", F.explode(F.array_distinct("rest")).alias("x_"))
+    rest = F.slice("rest", (F.array_position("rest", F.col("x_")) + 1).cast("int"), F.size("rest"))
+    return step.select("site", F.concat("pattern", F.array("x_")).alias("pattern"), rest.alias("rest"), "weight").groupBy("site", "pattern", "rest").agg(F.sum("weight").alias("weight"))
+
+
+def frequent_sequences(lines: DataFrame, totals: DataFrame, min_requests: int = MIN_REQUESTS, min_share: float = MIN_SHARE, levels: int | None = None) -> DataFrame:
+    """PrefixSpan: (site, pattern ARRAY<BIGINT>, support) of every sequence of lines that is frequent in its site, gaps allowed.
 
-    patterns: (site, pattern, n_lines, support), pattern being line identifiers joined by blanks; sequences of frequent
-    lines of any length, grown until no pattern of a level is frequent. With ``gaps`` other lines may lie between,
-    else only adjacent frequent lines count. Occurrences: (site, request_id, line_no, line_id).
-    Postfix databases are the occurrence rows that follow a pattern's last line; each level keeps only
-    occurrences of frequent patterns, with ``gaps`` the one that ends first in its request.
+    lines: (site, request_id, line_no, line_id); totals: (site, site_requests). Patterns of any length, grown until no pattern of a level is
+    frequent, or of at most ``levels`` lines (then as one plan, without a job per level). A line that a request repeats may stand in a pattern as often.
     """
     singles = frequent(lines.withColumnRenamed("line_id", "pattern"), totals, "pattern", min_requests, min_share)
-    occurrences = save_table(lines.join(singles.select("site", F.col("pattern").alias("line_id")), ["site", "line_id"], "left_semi"), "lines")
-    patterns = singles.select("site", F.col("pattern").cast("string").alias("pattern"), F.lit(1).alias("n_lines"), "support")
-    in_request = W.partitionBy("site", "request_id").orderBy("line_no")
-    follow = occurrences.withColumn("ord", F.row_number().over(in_request))
-
-    def ends(found: DataFrame) -> DataFrame:
-        return found.groupBy("site", "request_id", "pattern").agg(F.min("ord").alias("ord")) if gaps else found
-
-    grown = ends(follow.select("site", "request_id", "ord", F.col("line_id").cast("string").alias("pattern")))
-    following = follow.select("site", "request_id", F.col("ord").alias("next_"), F.col("line_id").alias("after_"))
-    later = F.col("next_") > F.col("ord") if gaps else F.col("next_") == F.col("ord") + 1
-    k = 1
-    while not grown.isEmpty():
+    kept = lines.join(singles.select("site", F.col("pattern").alias("line_id")), ["site", "line_id"], "left_semi")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id"))), lambda e: e["line_id"])  # the lines of one request
+    sequences = kept.groupBy("site", "request_id").agg(ordered.alias("rest")).groupBy("site", "rest").agg(F.count("*").alias("weight"))
+    rows = sequences.withColumn("pattern", F.array().cast("array<bigint>"))
+    rows = save_table(rows, "sequences") if levels is None else rows
+    found, k = [], 0
+    while levels is None or k < levels:
         k += 1
-        longer = grown.join(following, ["site", "request_id"]).where(later).select("site", "request_id", F.col("next_").alias("ord"), F.concat_ws(" ", "pattern", F.col("after_").cast("string")).alias("pattern"))
-        longer = ends(longer)
-        good = frequent(longer, totals, "pattern", min_requests, min_share)
-        grown = save_table(longer.join(good.select("site", "pattern"), ["site", "pattern"], "left_semi"), f"level{k}")
-        patterns = patterns.unionByName(frequent(grown, totals, "pattern", min_requests, min_share).select("site", "pattern", F.lit(k).alias("n_lines"), "support"))
-    return patterns, occurrences
-
-
-def repeated_lines(requests: DataFrame, publishers: DataFrame, min_requests: int = MIN_REQUESTS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(request_id, line_no) of each line with a letter that its site has in enough requests.
-
-    These are the occurrences of PrefixSpan's frequent one-line patterns; every longer frequent
-    pattern consists of such lines. line_no counts from 1, lines end in a line feed. Null bodies, requests without site and
+        longer = _extended(rows)
+        longer = save_table(longer, f"level{k}") if levels is None else longer
+        support = longer.groupBy("site", "pattern").agg(F.sum("weight").alias("support")).where(F.col("support") >= min_requests).join(totals, "site")
+        good = support.where(F.col("support") >= min_share * F.col("site_requests")).select("site", "pattern", "support")
+        if levels is None:
+            good = save_table(good, f"patterns{k}")
+            if good.isEmpty():
+                break
+        found.append(good)
+        rows = longer.join(good.select("site", "pattern"), ["site", "pattern"], "left_semi")
+    return reduce(DataFrame.unionByName, found) if found else singles.select("site", F.array("pattern").alias("pattern"), "support")
+
+
+def _databases(requests: DataFrame, publishers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, requests per site) of all sites, in the shared folder. Counting needs no bodies, so it reads none."""
+    sites = with_site(latest(requests, "request_id", "received_at", "publisher", "origin"), publishers).where("site is not null")
+    totals = save_table(sites.groupBy("site").agg(F.count("*").alias("site_requests")), "sites")
+    return save_table(line_table(fan_out(site_requests(requests, publishers))), "lines"), totals
+
+
+def repeated_lines(requests: DataFrame, publishers: DataFrame, min_requests: int = MIN_REQUESTS, min_share: float = MIN_SHARE, levels: int = LEVELS) -> DataFrame:
+    """(request_id, line_no) of each line with a letter that belongs to a frequent sequence of its site, single lines included.
+
+    line_no counts from 1, lines end in a line feed. Null bodies, requests without site and
     empty tables give no rows; a request counts once however often it was delivered.
     """
-    bodies = fan_out(site_requests(requests, publishers))
-    lines = save_table(line_table(bodies), "lines")
-    totals = bodies.groupBy("site").agg(F.count("*").alias("site_requests"))
-    singles = frequent(lines.withColumnRenamed("line_id", "pattern"), totals, "pattern", min_requests, min_share)
-    return lines.join(singles.select("site", F.col("pattern").alias("line_id")), ["site", "line_id"], "left_semi").select("request_id", "line_no")
+    lines, totals = _databases(requests, publishers)
+    patterns = frequent_sequences(lines, totals, min_requests, min_share, levels)
+    standing = patterns.select("site", F.explode("pattern").alias("line_id")).distinct()
+    return lines.join(standing, ["site", "line_id"], "left_semi").select("request_id", "line_no")
 
 
-def site_patterns(requests: DataFrame, publishers: DataFrame, gaps: bool = False) -> DataFrame:
-    """(site, pattern, n_lines, support) of every frequent sequence of one or more lines, adjacent or (``gaps``) with others between."""
-    bodies = fan_out(site_requests(requests, publishers))
-    lines = save_table(line_table(bodies), "lines")
-    totals = bodies.groupBy("site").agg(F.count("*").alias("site_requests"))
-    patterns, _ = frequent_sequences(lines, totals, gaps=gaps)
-    return patterns
+def site_patterns(requests: DataFrame, publishers: DataFrame) -> DataFrame:
+    """(site, pattern, n_lines, support) of every frequent sequence of one or more lines, adjacent or with others between; pattern is line identifiers joined by blanks."""
+    patterns = frequent_sequences(*_databases(requests, publishers))
+    return patterns.select("site", F.array_join(F.col("pattern").cast("array<string>"), " ").alias("pattern"), F.size("pattern").alias("n_lines"), "support")
 
 
 def clean_bodies(requests: DataFrame, publishers: DataFrame, min_requests: int = MIN_REQUESTS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -116,7 +124,7 @@ def clean_bodies(requests: DataFrame, publishers: DataFrame, min_requests: int =
     Requests without site keep their body; a null body stays null. Kept lines are unchanged and in order;
     blank lines left doubled by a removal are joined to one.
     """
-    once = with_site(latest(requests, "request_id", "received_at", "body", "publisher", "origin"), publishers)
+    once = with_site(latest(requests, "request_id", "received_at", "publisher", "origin", "body"), publishers)
     found = repeated_lines(requests, publishers, min_requests, min_share).groupBy("request_id").agg(F.collect_set("line_no").alias("drop_"))
     joined = once.join(found, "request_id", "left")
     kept = F.filter(F.transform(F.split("body", "\n"), lambda x, i: F.when(~F.array_contains(F.col("drop_"), i + 1), x)), lambda x: x.isNotNull())
