@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioforge.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from folioforge.llm.neighbours import close_pairs, nearest_of_queries
 from folioforge.llm.ocr_repair import noise_lines, repaired_texts
 from folioforge.llm.oracle import ORACLE
-from folioforge.llm.packing import fill_report, pack_documents
+from folioforge.llm.packing import document_sizes, fill_report, pack, pack_documents
 from folioforge.llm.quality import not_prose, text_quality
 from folioforge.llm.site_lines import clean_bodies, repeated_lines, site_patterns
 from folioforge.llm.splitting import split_chunks, sufficient_boundaries
@@ -56,7 +57,7 @@ def _p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _p6_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return site_patterns(table(spark, sf, "article_requests"), table(spark, sf, "publishers"), gaps=True)
+    return site_patterns(table(spark, sf, "article_requests"), table(spark, sf, "publishers"))
 
 
 def _p6_bodies(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +81,10 @@ def _p9_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _p9_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return fill_report(pack_documents(table(spark, sf, "documents")))
+    """Containers and fill of both ways of batching: topped up (p9_containers) and inside each bucket alone."""
+    sizes = document_sizes(table(spark, sf, "documents"))
+    topped, inside = (fill_report(pack(sizes, inside=x)).withColumn("batches", F.lit(n)) for x, n in ((False, "topped up"), (True, "inside buckets")))
+    return topped.unionByName(inside)
 
 
 _P10 = ("documents", "article_requests", "subject_labels", "subject_areas")

@@ -1,13 +1,13 @@
 """Problem 8: the whole corpus as token ids of a public byte-level BPE.
 
 Method: forced-boundary splitting. A byte pair that occurs inside no vocabulary token can
-never be merged over, so a cut between its two bytes is certain. Fragments between certain
+never be merged over, so a cut between its two bytes is certain, be it between words or within one. Fragments between certain
 cuts are encoded independently (each distinct one once per worker) and concatenated.
 
-Cuts used are those between a visible character and ASCII white space: besides the byte
-test, the pre-tokeniser's own pattern always ends a piece there and looks no further back,
-so the encoding of a fragment cannot depend on its neighbours. Texts holding other white
-space next to a cut are encoded whole.
+The pre-tokeniser looks at characters, so three kinds of places are never cut, whatever the pair: within a character's bytes; after white space (how much of
+a run of it belongs to the next word depends on what follows); before an apostrophe that follows no ASCII letter or digit, and within
+the contractions it knows (a fragment must not begin with one that the whole text does not have there). At every other place both sides are split as in the whole text:
+its pattern looks back at nothing, and ahead only past white space.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,8 +28,10 @@ from folioforge.plans.runtime import fan_out
 VOCABULARIES = "/opt/tokenizers"
 #: Fixed value: the pre-tokeniser pattern of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_FRAGMENT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
+#: Fixed value: the contractions of that pattern.
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: White space outside ASCII, as UTF-8.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Distinct fragments kept by one worker; beyond it the memory starts anew (ids do not change).
 REMEMBERED = 400_000
 #: Fragments longer than this are rarely repeated and are not remembered.
@@ -46,28 +49,39 @@ class FragmentEncoder:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
         self.encoding = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.inside = bytearray(65536)
-        for token in ranks:
-            for a, b in zip(token, token[1:]):
-                self.inside[a << 8 | b] = 1
-        #: Visible bytes that some token has before ASCII white space: no cut after them.
-        self.uncertain = {a for a in range(256) for b in b" \t\n\r" if self.inside[a << 8 | b] and a not in b" \t\n\r"}
-        self.memory: dict[str, list[int]] = {}
-
-    def fragments(self, text: str) -> list[str]:
-        """The text between its certain cuts."""
-        if _OTHER_SPACE.search(text):
-            return [text]
-        parts = _FRAGMENT.findall(text)
-        if not self.uncertain:
-            return parts
-        joined: list[str] = []
-        for part in parts:
-            if joined and joined[-1].encode()[-1] in self.uncertain:
-                joined[-1] += part
-            else:
-                joined.append(part)
-        return joined
+        self.certain = self._certain(ranks)
+        self.memory: dict[bytes, list[int]] = {}
+
+    @staticmethod
+    def _certain(tokens) -> np.ndarray:
+        """For each byte pair (first * 256 + second) whether a cut between the two is certain."""
+        certain = np.ones((256, 256), dtype=bool)
+        joined = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        within = np.ones(len(joined), dtype=bool)
+        within[np.cumsum(sizes) - 1] = False  # the last byte of a token has no successor in it
+        at = np.flatnonzero(within)
+        certain[joined[at], joined[at + 1]] = False
+        for word in CONTRACTIONS:
+            certain[list(word[:-1].encode()), list(word[1:].encode())] = False
+        certain[:, 0x80:0xC0] = False  # within a character
+        certain[[*range(0x09, 0x0E), *range(0x1C, 0x21)], :] = False  # after white space
+        plain = np.zeros(256, dtype=bool)
+        plain[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+        certain[~plain, 0x27] = False
+        return certain.ravel()
+
+    def fragments(self, text: str) -> list[bytes]:
+        """The text, as UTF-8, between its certain cuts."""
+        data = text.encode("utf-8", "surrogatepass")
+        codes = np.frombuffer(data, dtype=np.uint8).astype(np.uint16)
+        cut = self.certain[(codes[:-1] << 8) | codes[1:]]
+        if not text.isascii():
+            for m in _WIDE_SPACE.finditer(data):
+                if m.end() < len(data):
+                    cut[m.end() - 1] = False
+        ends = (np.flatnonzero(cut) + 1).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], [*ends, len(data)])]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text without special tokens; null and empty give []."""
@@ -78,7 +92,7 @@ class FragmentEncoder:
         for part in self.fragments(text):
             known = memory.get(part)
             if known is None:
-                known = self.encoding.encode_ordinary(part)
+                known = self.encoding.encode_ordinary(part.decode("utf-8", "surrogatepass"))
                 if len(part) <= LONG:
                     if len(memory) >= REMEMBERED:
                         memory.clear()
