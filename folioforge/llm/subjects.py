@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.quality import COMMON, document_stats
+from folioforge.llm.quality import COMMON, batch_stats
 from folioforge.llm.texts import latest
 from folioforge.plans.runtime import fan_out, save_table
 
@@ -74,12 +74,18 @@ def units_of(text: str) -> list[list[str]]:
     return out
 
 
-def unreadable(text: str) -> bool:
-    """Whether a text is junk by the quality rules; those are applied only where function words are rare."""
-    words = _WORD.findall(text.lower())
-    if words and sum(map(COMMON.__contains__, words)) >= 0.08 * len(words) and sum(map(len, words)) >= 3 * len(words):
-        return False
-    return document_stats(text)["doc_form"] == "junk"
+def unreadable(texts: list[str | None]) -> list[bool]:
+    """Which texts are junk by the quality rules; those are applied only where function words are rare, to all such texts at once."""
+
+    def rare(text: str | None) -> bool:
+        words = _WORD.findall((text or "").lower())
+        return not (words and sum(map(COMMON.__contains__, words)) >= 0.08 * len(words) and sum(map(len, words)) >= 3 * len(words))
+
+    doubtful = [i for i, t in enumerate(texts) if t and rare(t)]
+    out = [False] * len(texts)
+    for i, form in zip(doubtful, batch_stats(pa.array([texts[i] for i in doubtful], pa.string()))["doc_form"]):
+        out[i] = form == "junk"
+    return out
 
 
 class Hasher:
@@ -150,8 +156,10 @@ def _paragraph_means(raw: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
     return (sums / np.bincount(paragraph)[:, None])[paragraph]
 
 
-def document_shares(text: str | None, hasher: Hasher, weights: np.ndarray, bias: np.ndarray, thresholds: np.ndarray) -> np.ndarray | None:
-    """Share of each subject among a text's units that tell one (others, like shelf marks, do not count); None if it has no unit with a word or is unreadable."""
+def document_shares(text: str | None, hasher: Hasher, weights: np.ndarray, bias: np.ndarray, thresholds: np.ndarray, junk: bool = False) -> np.ndarray | None:
+    """Share of each subject among a text's units that tell one (others, like shelf marks, do not count); None if it has no unit with a word or is junk."""
+    if junk:
+        return None
     units, paragraph = [], []
     for k, block in enumerate(units_of(text or "")):
         for u in block:
@@ -159,7 +167,7 @@ def document_shares(text: str | None, hasher: Hasher, weights: np.ndarray, bias:
             if grams:
                 units.append(grams)
                 paragraph.append(k)
-    if not units or unreadable(text or ""):
+    if not units:
         return None
     _, compact = np.unique(paragraph, return_inverse=True)
     raw = _scores(weights, bias, *_flat(units))
@@ -211,10 +219,11 @@ def calibrate(held: list[tuple[str, list[int], bool]], hasher: Hasher, weights:
     grid = np.array([-1.5, -1.0, -0.5, 0.0, 0.5, 1.0])
     found = np.zeros((len(grid), len(held), n), dtype=bool)
     truth = np.zeros((len(held), n), dtype=bool)
+    junk = unreadable([r[0] for r in held])
     for d, (text, subjects, _) in enumerate(held):
         truth[d, subjects] = True
         for g, t in enumerate(grid):
-            shares = document_shares(text, hasher, weights, bias, np.full(n, t))
+            shares = document_shares(text, hasher, weights, bias, np.full(n, t), junk[d])
             if shares is not None:
                 found[g, d] = shares >= SHARE
     hits = (found & truth).sum(1)
@@ -282,8 +291,9 @@ def subject_shares(documents: DataFrame, requests: DataFrame, labels: DataFrame,
         hasher = Hasher()
         for batch in batches:
             at, names, shares = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                got = document_shares(text, hasher, weights, bias, thresholds)
+            texts = batch.column(1).to_pylist()
+            for i, (text, junk) in enumerate(zip(texts, unreadable(texts))):
+                got = document_shares(text, hasher, weights, bias, thresholds, junk)
                 if got is not None:
                     for k in np.flatnonzero(got):
                         at.append(i)

@@ -5,16 +5,22 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioforge.llm import ocr_repair, packing, quality, site_lines, splitting, subjects, tokens
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+import slow_quality  # noqa: E402
+
 T0 = datetime(2025, 1, 1)
 
 
@@ -73,6 +79,14 @@ def test_split_tables(spark):
     assert splitting.sufficient_boundaries(chunks(spark, [])).count() == 0 and splitting.split_chunks(chunks(spark, [])).count() == 0
 
 
+def test_a_shortened_chunk_is_no_case(spark):
+    late = T0 + timedelta(1)
+    rows = [("a", T0, "word " * 300, "S", 1, "", ""), ("a", late, "short", "S", 1, "", ""), ("b", T0, "short", "S", 1, "", ""), ("b", late, "word " * 300, "S", 1, "", ""), ("c", None, "x" * 1300, "S", 1, "", ""), ("d", T0, "y" * 1300, "S", 1, "", ""), ("d", late, None, "S", 1, "", "")]
+    df = spark.createDataFrame(rows, CHUNKS)
+    assert {tuple(r) for r in splitting.sufficient_boundaries(df).collect()} == {("b", "word"), ("c", "hard")}
+    assert {r.chunk_id for r in splitting.split_chunks(df).collect()} == {"b", "c"}
+
+
 # Problem 5
 
 DOCS = "doc_id bigint, text string, id_ string, text_ string"
@@ -82,6 +96,10 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], DOCS)
 
 
+def form_of(text):
+    return quality.batch_stats(pa.array([text], pa.string()))["doc_form"][0]
+
+
 PROSE = "The reader saw that the plan was good, and it was done before the rain.\nNobody asked why the others had not come with them."
 
 
@@ -97,13 +115,43 @@ PROSE = "The reader saw that the plan was good, and it was done before the rain.
     ],
 )
 def test_forms(text, form):
-    assert quality.document_stats(text)["doc_form"] == form
+    assert form_of(text) == form
+
+
+_LINES = st.sampled_from([
+    "the plan was good, and it was done before the rain.", "- a red lamp", "2) cup", "| a | b |", "|---|", "x\ty", "a,b,,c;d", "name  size  place", "Lamp: red", "", " \t", "```", "# Head", "<!-- page: 3 -->", "***",
+    "Pans ....... 9", "27 ee 99 6c 7a 93", "Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4", "<b>x</b>", "{a: 1}", "Ã¥Ã¤Â¶", "no� rs�a", "word word word word word", "it's a-b--c 'q' x1y2 ½ Ⅷ", "@@ ## $$", "och det är bra…", "a / b / c", "[x] done",
+])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(_LINES, st.text(st.sampled_from("aB1 .,;|-:'\t /é\xa0\x1c\x85�✓"), max_size=25)), max_size=12), st.sampled_from(["\n", "\r\n", "\u2028"]))
+def test_columns_equal_slow_reading(lines, end):
+    text = end.join(lines)
+    got, want = quality.batch_stats(pa.array([None, text, text + end, ""], pa.string())), slow_quality.document_stats(text)
+    for name, value in want.items():
+        assert got[name][1] == (pytest.approx(value) if isinstance(value, float) else value), name
+    assert list(got["doc_form"][[0, 3]]) == ["blank"] * 2
+
+
+def test_documents_equal_slow_reading(spark, data):
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: slow_quality.document_stats(r.text) for r in rows}
+    for r in quality.text_quality(spark.read.parquet(f"{data}/documents.parquet")).collect():
+        assert all(r[k] == (pytest.approx(v) if isinstance(v, float) else v) for k, v in want[r.doc_id].items())
+
+
+def test_published_rules():
+    good = " ".join([PROSE.replace("\n", " ")] * 3)
+    got = quality.batch_stats(pa.array([good, "- a\n- b\n" * 30, "# " * 60 + "the and lamp...", "lamp " * 10], pa.string()))["published_failures"]
+    assert got[0] == [] and "bullet_lines_over_0.9" in got[1] and "mean_word_length_not_3_to_10" in got[1] and "symbol_to_word_ratio_over_0.1" in got[2]
+    assert got[3] == ["under_50_words", "under_2_stop_words", "no_line_with_terminal_punctuation"]
 
 
 def test_half_decides():
     items = "\n".join(f"- item number {i}" for i in range(12))
-    assert quality.document_stats(PROSE + "\n\n" + items)["doc_form"] == "list"
-    assert quality.document_stats("\n\n".join([PROSE] * 3) + "\n\n" + items)["doc_form"] == "prose"
+    assert form_of(PROSE + "\n\n" + items) == "list"
+    assert form_of("\n\n".join([PROSE] * 3) + "\n\n" + items) == "prose"
 
 
 def test_quality_tables(spark):
@@ -198,7 +246,7 @@ def vocabulary(words):
 
 def test_lines_of_a_scanned_page():
     text = "The fragr-\nant stew of the so-\n12  A Fine B00k\ncalled cook was g0od\n- 12 -\nand tbe end"
-    words = vocabulary("the fragrant stew of so-called cook was good and end") | {"g0od": (False, "good", 1), "tbe": (False, "the", 3)}
+    words = vocabulary("the fragrant stew of so-called cook was good and end") | {"g0od": (False, [("good", 50)], 1), "tbe": (False, [("the", 50)], 3)}
     cases, repaired = ocr_repair.read_lines(text, "A Fine Book", None, 12, 12, words)
     assert cases == [(1, "hyphen"), (3, "header"), (4, "misread"), (5, "page_number"), (6, "misread")]
     assert repaired == "The fragrant stew of the so-called cook was good and the end"
@@ -236,6 +284,33 @@ def test_misreadings_are_learnt(spark):
     assert ocr_repair.noise_lines(df.where("false"), pages).count() == 0 and ocr_repair.noise_lines(df, pages.where("false")).count() == 0
 
 
+def test_skip_gram_tells_contexts_apart():
+    """Words of two groups that share neighbours within their group only: vectors fit their own group's neighbours better."""
+    rng = np.random.default_rng(0)
+    counts = np.zeros((40, 20), dtype=np.int64)
+    for w in range(40):
+        counts[w, rng.integers(0, 10, 60) + 10 * (w % 2)] += 3
+    v, u = ocr_repair.skip_gram(counts)
+    fit = v @ u.T
+    own = np.array([fit[w, 10 * (w % 2) : 10 * (w % 2) + 10].mean() for w in range(40)])
+    other = np.array([fit[w, 10 * (1 - w % 2) : 10 * (1 - w % 2) + 10].mean() for w in range(40)])
+    assert (own > other + 1).all()
+    again = ocr_repair.skip_gram(counts)
+    assert (again[0] == v).all() and (again[1] == u).all()
+
+
+def test_a_misread_word_is_corrected_by_its_neighbours(spark):
+    """``c0w`` stands for cow or eow, which look alike: what stands around decides, occurrence by occurrence."""
+    rng = random.Random(4)
+    farm, ship = "the farmer milks a brown {} in the barn today", "the sailor ties a long {} to the mast today"
+    rows = [(f"c{i}", T0, "clean", "T", None, 1, 1, (farm.format("cow") if i % 2 else ship.format("eow")), None, None, None) for i in range(200)]
+    rows += [(f"o{i}", T0, "scan", "T", None, 1, 1, (farm if i % 2 else ship).format("c0w"), None, None, None) for i in range(20)]
+    rng.shuffle(rows)
+    pages = spark.createDataFrame([("scan", 1, "ocr", T0, "", ""), ("clean", 1, "markdown", T0, "", "")], PAGES)
+    got = {r.chunk_id: r.text for r in ocr_repair.repaired_texts(spark.createDataFrame(rows, SCANNED), pages).collect()}
+    assert len(got) == 20 and all((farm.format("cow") if int(i[1:]) % 2 else ship.format("eow")) == t for i, t in got.items())
+
+
 # Problem 8
 
 
