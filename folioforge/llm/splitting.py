@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.texts import latest
+from folioforge.operators.retrieval import live_matching
 from folioforge.plans.runtime import fan_out
 
 LIMIT = 1200
@@ -111,10 +111,10 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
     """(chunk_id, piece, section, page, char_from, char_to, boundary, text) of each chunk longer than ``limit``.
 
     section: the last Markdown heading before or at the piece's start, else the chunk's; page: the last
-    page marker there, else page_start. A chunk counts once (its latest row); null texts, texts
+    page marker there, else page_start. A chunk counts once, by its latest row (one whose latest text is short or null gives none, whatever came before); null texts, texts
     within the limit and empty tables give no rows. Lengths are code points. A text without any white space is cut hard.
     """
-    src = fan_out(latest(chunks.where(F.length("text") > limit), "chunk_id", "created_at", "text", "section", "page_start"))
+    src = fan_out(live_matching(chunks, F.length("text") > limit, "text", "section", "page_start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +135,7 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
 
 def sufficient_boundaries(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(chunk_id, boundary) of each chunk longer than ``limit``: the coarsest boundary that suffices."""
-    src = fan_out(latest(chunks.where(F.length("text") > limit), "chunk_id", "created_at", "text"))
+    src = fan_out(live_matching(chunks, F.length("text") > limit, "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
