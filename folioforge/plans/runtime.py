@@ -86,7 +86,7 @@ def released() -> Iterator[None]:
 
 
 @contextmanager
-def sized(spark: SparkSession, rows: int, per_partition: int = 200_000) -> Iterator[None]:
+def sized(spark: SparkSession, rows: int, per_partition: int = 1_000_000) -> Iterator[None]:
     """Within it, shuffles begin with as many partitions as ``rows`` rows need, at least the session's number.
 
     For jobs whose shuffled rows are counted beforehand: a task's share then stays the same however large the input. Adaptive execution joins partitions that come out small.
