@@ -423,6 +423,51 @@ def index_properties(spark, sf):
     return generations.index_properties(live)
 
 
+@_query
+def chunk_keys(spark, sf):
+    """Keys of the chunks in the index."""
+    return _live(spark, sf, "source_id").select("chunk_id", generations.object_key(F.col("chunk_id")).alias("object_key"))
+
+
+@_query
+def object_faults(spark, sf):
+    """Live chunks that the index would not take, and why."""
+    return generations.object_faults(_live(spark, sf, "text", "embedding", "embedding_dimension"))
+
+
+@_query
+def snapshot_faults(spark, sf):
+    return generations.snapshot_faults(table(spark, sf, "chunks"), table(spark, sf, "source_manifests"))
+
+
+@_query
+def source_scan(spark, sf):
+    """The second page of the largest source's chunks, in order of id, after the first page's last one."""
+    live = _live(spark, sf, "source_id", "chunk_index", "text")
+    largest = live.groupBy("source_id").count().orderBy(F.desc("count"), "source_id").limit(1).collect()[0][0]
+    last = readers.scan_source(live, largest, page=20).agg(F.max("chunk_id")).collect()[0][0]
+    return readers.scan_source(live, largest, after=last, page=20)
+
+
+@_query
+def input_refusals(spark, sf):
+    """Uploads by why they are refused, their size taken from the job's number; none have no reason."""
+    j = table(spark, sf, "jobs").select("job_id", "filename").distinct()
+    size = F.pmod(F.regexp_extract("job_id", "([0-9]+)$", 1).cast("bigint") * 7919, F.lit(400))
+    why = readers.refusal(F.when(size % 5 == 0, F.concat("filename", F.lit(".zip"))).otherwise(F.col("filename")), F.when(size % 7 == 0, 0).otherwise(size), 300)
+    return j.groupBy(why.alias("reason")).agg(F.count("*").alias("jobs"))
+
+
+@_query
+def failure_kinds(spark, sf):
+    """Whether failures may be tried again, by status code and kind of error, for all codes from 400 and all messages of the jobs."""
+    codes = spark.range(400, 520).select(F.col("id").cast("int").alias("code"))
+    m = table(spark, sf, "jobs").where("error is not null").select("error").distinct()
+    kinds = F.explode(F.array(*[F.lit(x) for x in ("ReadTimeout", "ValueError")])).alias("kind")
+    every = codes.select(F.lit(None).cast("string").alias("error"), "code", F.lit(None).cast("string").alias("kind")).unionByName(m.select("error", F.lit(None).cast("int").alias("code"), kinds))
+    return every.select("error", "code", "kind", X.retryable(F.col("error"), F.col("code"), F.col("kind")).alias("again"))
+
+
 @_query
 def source_list(spark, sf):
     return identity.latest_manifests(table(spark, sf, "source_manifests"), "title", "source_type", "chapter").select("source_id", "title", "source_type", "chapter")

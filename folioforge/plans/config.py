@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Mapping
-from dataclasses import dataclass, field, fields, is_dataclass, replace
+from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
+from pathlib import Path
 from typing import Any
 
 
@@ -82,3 +84,52 @@ def load_settings(values: Mapping[str, Any] | None = None, environment: Mapping[
             section, _, name = key[len(prefix) :].lower().partition("__")
             out = _merged(out, {section: {name: value}})
     return out
+
+
+#: Names of sections and settings in older files, and what they are called now.
+RENAMED = {"chunks": "chunking", "search": "retrieval", "jobs": "queue", "target_chars": "target", "overlap_chars": "overlap", "min_chars_per_chunk": "minimum"}
+
+
+def migrated(values: Mapping[str, Any]) -> dict[str, Any]:
+    """Settings of an older file under their present names; a name given in both forms is an error."""
+    out: dict[str, Any] = {}
+    for key, value in values.items():
+        name = RENAMED.get(key, key)
+        if name in out:
+            raise ValueError(f"{name} is given twice, once as {key}")
+        if name != key:
+            warnings.warn(f"setting {key} is now called {name}", stacklevel=2)
+        out[name] = migrated(value) if isinstance(value, Mapping) else value
+    return out
+
+
+def read_env_file(path: Path) -> dict[str, str]:
+    """Variables of a file of NAME=value lines; comments and blank lines are skipped, quotes around a value dropped."""
+    out = {}
+    for line in path.read_text(encoding="utf-8").splitlines() if path.exists() else []:
+        name, eq, value = line.strip().removeprefix("export ").partition("=")
+        if eq and not name.startswith("#"):
+            value = value.strip()
+            out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
+    return out
+
+
+def read_settings(path: Path | None = None, env_file: Path | None = None, environment: Mapping[str, str] | None = None) -> Settings:
+    """Settings of a YAML file (older names are understood), then of an env file, then of the environment; a missing file is an empty one."""
+    import yaml
+
+    values = (yaml.safe_load(path.read_text(encoding="utf-8")) or {}) if path and path.exists() else {}
+    if not isinstance(values, Mapping):
+        raise ValueError(f"{path} holds no settings")
+    own = os.environ if environment is None else environment
+    return load_settings(migrated(values), {**(read_env_file(env_file) if env_file else {}), **own})
+
+
+def write_settings(path: Path, settings: Settings | None = None, overwrite: bool = False) -> Path:
+    """Writes settings as YAML; a file that is there stays unless ``overwrite``."""
+    import yaml
+
+    if overwrite or not path.exists():
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(yaml.safe_dump(asdict(settings or Settings()), sort_keys=False), encoding="utf-8")
+    return path

@@ -242,6 +242,16 @@ select regexp_replace('{_PACK_HEAD}' || coalesce(string_agg(t, chr(10) order by
     "source_models": "select source_id, coalesce(string_agg(distinct embedding_model, ',' order by embedding_model), '') models, bool_or(coalesce(embedding_model <> 'harbor-embed-64', false)) mismatch from chunks group by 1",
     "chunk_stats": f"with {_live('source_id', 'text', 'page_start', 'page_end')} select source_id, count(*) chunks, sum(length(text))::bigint chars, min(page_start) first_page, max(page_end) last_page, round(avg(length(text)), 6) mean_chars from live group by 1",
     "facet_rollup": f"with {_live('source_type', 'language')} select source_type, language, count(*) chunks, grouping(source_type, language) AS level from live group by rollup (source_type, language)",
+    "chunk_keys": f"""with {_live('source_id')}, d as (select chunk_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(chunk_id)) h from live)
+select chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::int % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) object_key from d""",
+    "object_faults": f"with {_live('text', 'embedding', 'embedding_dimension')}, f as (select chunk_id, case when text is null then 'no_text' when embedding is null or len(embedding) = 0 then 'no_vector' when len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) > 0 then 'bad_vector' when embedding_dimension is distinct from len(embedding) then 'wrong_length' end fault from live) select * from f where fault is not null",
+    "snapshot_faults": """with f as (select case when chunk_id is null then 'no_id' when text is null then 'no_text' when embedding is null or len(embedding) = 0 then 'no_vector' when len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) > 0 then 'bad_vector' when embedding_dimension is distinct from len(embedding) then 'wrong_length' end fault from chunks
+ union all select 'two_sources' from (select chunk_id from chunks where chunk_id is not null group by 1 having min(source_id) <> max(source_id)) union all select 'unknown_source' from chunks where source_id is null or source_id not in (select source_id from source_manifests where source_id is not null))
+select fault, count(*) AS rows from f where fault is not null group by 1""",
+    "source_scan": f"with {_live('source_id', 'chunk_index', 'text')}, b as (select source_id from live group by 1 order by count(*) desc, source_id limit 1) select chunk_id, source_id, chunk_index, text from live where source_id = (select source_id from b) order by chunk_id limit 20 offset 20",
+    "input_refusals": "with j as (select distinct job_id, filename, (regexp_extract(job_id, '([0-9]+)$', 1)::bigint * 7919) % 400 n from jobs), s as (select case when n % 5 = 0 then filename || '.zip' else filename end f, case when n % 7 = 0 then 0 else n end n from j) select case when not regexp_matches(f, '(?i)\\.(pdf|png|jpe?g|tiff?|webp|bmp|md|markdown|txt)$') then 'unsupported' when n = 0 then 'blank' when n > 300 then 'too_large' end reason, count(*) jobs from s group by 1",
+    "failure_kinds": "with m as (select distinct error from jobs where error is not null) select null::varchar error, code::int code, null::varchar kind, code >= 500 or code in (408, 425, 429) again from range(400, 520) t(code) union all select error, null, k.kind, k.kind = 'ReadTimeout' or regexp_matches(error, '(?i)unavailable|deadline_exceeded|connection (refused|lost|reset)|failed to connect|transport is closing') from m, (values ('ReadTimeout'), ('ValueError')) k(kind)",
+    "index_properties": f"""with {_live('source_id', 'section', 'page_start', 'tags')} select chunk_id, '{{' || concat_ws(',', '"chunk_id":' || to_json(chunk_id), '"source_id":' || to_json(source_id), '"section":' || to_json(section), '"page_start":' || page_start, case when len(tags) > 0 then '"tags":[' || array_to_string(list_transform(tags, lambda t: coalesce(to_json(t)::varchar, 'null')), ',') || ']' end) || '}}' properties from live""",
     "source_list": f"with {_MANIFESTS} select source_id, title, source_type, chapter from m",
     "chunk_list": f"with {_live('title', 'page_start', 'page_end')} select chunk_id, title, {_label()} pages from live",
     "job_ready": f"with {_JOBS} select job_id from j where status = 'queued' and (next_attempt_at is null or epoch_us(next_attempt_at) <= {NOW_S}000000) order by created_at, job_id limit 25",

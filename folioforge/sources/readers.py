@@ -40,16 +40,33 @@ def input_kind(path: Column) -> Column:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, blank) of whole text files, a byte order mark gone."""
+    """(path, text, blank) of whole text files, a byte order mark gone; see ``with_text`` for those that can be used."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
     return rows.withColumn("blank", strip(F.col("text")) == "")
 
 
 def read_binary(spark: SparkSession, path: str, most_bytes: int, pattern: str = "*") -> DataFrame:
-    """Files up to a size with kind and content hash; larger or unsupported ones are left out."""
+    """Files that are accepted, with kind and content hash; see ``refused_files`` for the others."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    kept = rows.where(F.col("length") <= most_bytes).withColumn("kind", input_kind(F.col("path"))).where("kind is not null")
-    return kept.withColumn("content_sha256", F.sha2("content", 256))
+    kept = rows.where(refusal(F.col("path"), F.col("length"), most_bytes).isNull())
+    return kept.withColumn("kind", input_kind(F.col("path"))).withColumn("content_sha256", F.sha2("content", 256))
+
+
+def refusal(path: Column, length: Column, most_bytes: int) -> Column:
+    """Why an input is refused: unsupported (by its ending), blank (no bytes) or too_large; null if it is accepted."""
+    return F.when(input_kind(path).isNull(), "unsupported").when(length == 0, "blank").when(length > most_bytes, "too_large")
+
+
+def refused_files(spark: SparkSession, path: str, most_bytes: int, pattern: str = "*") -> DataFrame:
+    """(path, length, reason) of files that are refused; their contents are not read."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return rows.withColumn("reason", refusal(F.col("path"), F.col("length"), most_bytes)).where("reason is not null")
+
+
+def require_accepted(files: DataFrame, most_bytes: int) -> DataFrame:
+    """Files (path, length, ...); reading them raises at the first that is refused."""
+    why = refusal(F.col("path"), F.col("length"), most_bytes)
+    return files.where(F.when(why.isNotNull(), F.raise_error(F.concat(why, F.lit(": "), F.col("path"))).isNull()).otherwise(F.lit(True)))
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -57,8 +74,28 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARTICLE).json(path).where(F.coalesce(strip(F.col("body")), F.lit("")) != "")
 
 
+def with_text(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts that can be used, (path, reason) of blank ones) of ``read_texts``."""
+    return texts.where(~F.col("blank")).drop("blank"), texts.where("blank").select("path", F.lit("blank").alias("reason"))
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records of JSON lines, blank lines skipped; a path without files gives no rows."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return spark.read.schema(schema).json(path) if found else spark.createDataFrame([], schema)
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHUNK).json(path).where("chunk_id is not null")
+    """Chunk records with an id; none if there is no file."""
+    return read_json_lines(spark, path, CHUNK).where("chunk_id is not null")
+
+
+def scan_source(chunks: DataFrame, source_id: str, after: str | None = None, page: int = 100, vectors: bool = False) -> DataFrame:
+    """The next ``page`` rows of a source in order of chunk_id, those after a cursor; vectors only if asked for. Filter, cursor and columns reach the scan."""
+    rows = chunks.where(F.col("source_id") == source_id)
+    rows = rows if after is None else rows.where(F.col("chunk_id") > after)
+    return (rows if vectors else rows.drop("embedding")).orderBy("chunk_id").limit(page)
 
 
 def read_jobs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -152,3 +189,18 @@ def ordered_ocr_lines(observations: Column) -> Column:
 
     kept = F.filter(observations, lambda o: strip(o["text"]) != "")
     return F.array_join(F.transform(F.array_sort(kept, before), lambda o: o["text"]), "\n")
+
+
+def service_health(status: Column, models: Column, props: Column, model: str | None, multimodal: bool = False) -> Column:
+    """What is wrong with an OCR service by its three answers (health, models, properties as JSON); null if nothing is.
+
+    Its status must be ok; the configured model must be among its models and be its alias; with ``multimodal`` it must say that it sees images.
+    """
+    ids = F.transform(F.from_json(F.get_json_object(models, "$.data"), "array<struct<id:string>>"), lambda m: m["id"])
+    alias = F.get_json_object(props, "$.model_alias")
+    sees = F.lower(F.coalesce(F.get_json_object(props, "$.modalities.vision"), F.lit("false"))) == "true"
+    said = F.concat_ws(" ", F.coalesce(F.get_json_object(models, "$.data[0].capabilities"), F.lit("")), F.coalesce(F.get_json_object(models, "$.models[0].capabilities"), F.lit("")))
+    out = F.when(~F.coalesce(F.get_json_object(status, "$.status") == "ok", F.lit(False)), "not ready")
+    if model is not None:
+        out = out.when(~F.coalesce(F.array_contains(ids, model), F.lit(False)), "model is not loaded").when(~F.coalesce(alias == model, F.lit(False)), "another model answers")
+    return out.when(~(sees | F.lower(said).contains("multimodal")), "no vision") if multimodal else out
