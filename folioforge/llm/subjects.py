@@ -1,17 +1,18 @@
 """Problem 10: the subject areas of each document.
 
 Method: one-versus-rest linear (logistic) classifiers on hashed word one- and two-grams. They are
-trained on weak labels: a request's subjects are those named in the path of its address or among its tags; the
+trained on weak labels: a request's subjects are those named in the path of its address, among its tags or by its collection (the site's sections); the
 sentences of its body inherit them, and in a second round only those sentences that the first
 model does not contradict. People's labels of documents join the training rows and calibrate one threshold per
 subject. A document's sentences or entries are classified one by one, with some weight for its
 paragraph; subjects with a quarter of them or more are the document's.
 
-Only the training rows are a bounded sample (SAMPLE, LABELLED); every document is classified whole.
+Only the training rows are a bounded sample (SAMPLE, LABELLED, UNITS); every document is classified whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from folioforge.llm.texts import latest
 from folioforge.plans.runtime import fan_out, save_table
 
 BUCKETS = 1 << 17
-#: Bounds of the training sample: weakly labelled requests, and documents labelled by people.
-SAMPLE, LABELLED = 3000, 1500
+#: Bounds of the training sample: weakly labelled requests, documents labelled by people, and sentences of both.
+SAMPLE, LABELLED, UNITS = 3000, 1500, 200_000
 EPOCHS, RATE, DECAY = 16, 0.5, 1e-5
 #: Share of a document's sentences or entries from which on a subject is the document's.
 SHARE = 0.25
@@ -124,27 +125,38 @@ def _scores(weights: np.ndarray, bias: np.ndarray, flat: np.ndarray, sizes: np.n
     return out + bias
 
 
+class _Block:
+    """A block of units laid out once for all epochs: its grams, whose units they belong to, and an order in which equal grams stand together."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, target: np.ndarray):
+        self.sizes, self.target = sizes, target
+        self.weight = (1 / np.sqrt(np.maximum(sizes, 1))).astype(np.float32)[:, None]
+        unit = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(flat, kind="stable")
+        self.seen, self.first = np.unique(flat[order], return_index=True)
+        self.unit, self.place = unit[order], np.searchsorted(self.seen, flat)
+        self.starts = np.cumsum(sizes) - sizes
+
+    def scores(self, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[self.seen][self.place], self.starts, axis=0) * self.weight + bias
+
+
 def _fit(flat: np.ndarray, sizes: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """One-versus-rest logistic regression by AdaGrad over blocks of units; target is units x n in [0, 1]."""
+    """One-versus-rest logistic regression by AdaGrad over blocks of units; target is units x n in [0, 1], every unit has grams."""
     weights, bias = np.zeros((BUCKETS, n), dtype=np.float32), np.full(n, -2.0, dtype=np.float32)
     history, history_b = np.full((BUCKETS, n), 1e-3, dtype=np.float32), np.full(n, 1e-3, dtype=np.float32)
-    ends = np.cumsum(sizes)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
     rng = np.random.default_rng(5)
-    blocks = [(i, min(i + 4096, len(sizes))) for i in range(0, len(sizes), 4096)]
-    for epoch in range(EPOCHS):
+    blocks = [_Block(flat[ends[i] : ends[min(i + 4096, len(sizes))]], sizes[i : i + 4096], target[i : i + 4096]) for i in range(0, len(sizes), 4096)]
+    for _ in range(EPOCHS):
         for k in rng.permutation(len(blocks)):
-            i, j = blocks[k]
-            a, b = (ends[i - 1] if i else 0), ends[j - 1]
-            f, s = flat[a:b], sizes[i:j]
-            p = 1 / (1 + np.exp(-_scores(weights, bias, f, s)))
-            slope = (p - target[i:j]).astype(np.float32) / np.sqrt(len(s))
-            seen, inverse = np.unique(f, return_inverse=True)
-            rows = np.repeat(slope / np.sqrt(np.maximum(s, 1))[:, None], s, axis=0)
-            grad = np.stack([np.bincount(inverse, weights=rows[:, c], minlength=len(seen)) for c in range(n)], axis=1).astype(np.float32)
-            grad += DECAY * weights[seen]
-            history[seen] += grad**2
-            weights[seen] -= RATE * grad / np.sqrt(history[seen])
-            gb = slope.sum(0) / len(s)
+            b = blocks[k]
+            p = 1 / (1 + np.exp(-b.scores(weights, bias)))
+            slope = (p - b.target).astype(np.float32) / np.float32(math.sqrt(len(b.sizes)))
+            grad = np.add.reduceat((slope * b.weight)[b.unit], b.first, axis=0) + DECAY * weights[b.seen]
+            history[b.seen] += grad**2
+            weights[b.seen] -= RATE * grad / np.sqrt(history[b.seen])
+            gb = slope.sum(0) / len(b.sizes)
             history_b += gb**2
             bias -= 0.1 * gb / np.sqrt(history_b)
     return weights, bias
@@ -188,6 +200,8 @@ def train(rows: list[tuple[str, list[int], bool]], n: int) -> tuple[np.ndarray,
     held = [r for i, r in enumerate(r for r in rows if r[2]) if i % 2]
     kept = [r for r in rows if not r[2]] + [r for i, r in enumerate(r for r in rows if r[2]) if not i % 2]
     for text, subjects, _ in kept:
+        if len(units) >= UNITS:
+            break
         mark = np.zeros(n, dtype=np.float32)
         mark[subjects] = 1.0 / len(subjects)
         for block in units_of(text):
@@ -244,9 +258,9 @@ def training_rows(requests: DataFrame, documents: DataFrame, labels: DataFrame,
         return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     number = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))])
-    once = latest(drawn(requests, "request_id", sample), "request_id", "received_at", "title", "body", "url", "canonical_url", "tags")
+    once = latest(drawn(requests, "request_id", sample), "request_id", "received_at", "title", "body", "url", "canonical_url", "tags", "collection")
     segments = F.split(F.lower(F.coalesce("canonical_url", "url", F.lit(""))), "[/?#&=.]+")
-    named = F.concat(segments, F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))))
+    named = F.concat(segments, F.array(F.lower(F.trim(F.coalesce("collection", F.lit(""))))), F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))))
     marked = F.array_distinct(F.filter(F.transform(named, lambda x: F.try_element_at(number, x)), lambda x: x.isNotNull()))
     weak = once.where("body is not null").select(F.concat_ws("\n\n", "title", "body").alias("text"), marked.alias("subjects"), F.xxhash64("request_id").alias("h_")).where(F.size("subjects") > 0)
     told = drawn(labels, "doc_id", labelled).select("doc_id", F.try_element_at(number, F.lower(F.trim("subject"))).alias("s_"), "labeller").where("s_ is not null and doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("s_")).alias("subjects"))
