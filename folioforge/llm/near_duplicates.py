@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.meetings import in_blocks, meet
-from folioforge.plans.runtime import fan_out, save_table
+from folioforge.plans.runtime import fan_out, save_table, sized
 
 WORDS = 3
 POSITIONS, CHUNKS = 64, 16
@@ -149,30 +149,34 @@ def _keys(kind: Column, chunks: Column) -> Column:
 
 
 def similar_classes(records: DataFrame, sigs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(cls_a, cls_b, similarity) of different sequence sets alike to the given degree; cls_a < cls_b."""
+    """(cls_a, cls_b, similarity) of different sequence sets alike to the given degree, each pair once."""
     first = F.min(F.struct("id", "chunks", "sketch", "fine")).alias("f")
-    nodes = save_table(sigs.where("cls is not null").groupBy("kind", "cls").agg(first).select("kind", "cls", "f.*"), "nodes")
-    posted = nodes.select(F.explode(_keys(F.col("kind"), F.col("chunks"))).alias("key"), F.col("cls").alias("node"), F.element_at("sketch", 1).alias("s1"), F.element_at("sketch", 2).alias("s2"))
+    found = sigs.where("cls is not null").groupBy("kind", "cls").agg(first).select("kind", "cls", "f.*")
+    nodes = save_table(found.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers take less room in the shuffle than hashes
+    posted = nodes.select(F.explode(_keys(F.col("kind"), F.col("chunks"))).alias("key"), "node", F.element_at("sketch", 1).alias("s1"), F.element_at("sketch", 2).alias("s2"))
     keyed = in_blocks(posted)
     a, b = keyed.alias("a"), keyed.alias("b")
     apart = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")).bitwiseOR(F.col("a.s2").bitwiseXOR(F.col("b.s2"))))
-    likely = a.join(b, meet("a", "b") & (apart <= SKETCH_POSITIONS)).select(F.col("a.node").alias("cls_a"), F.col("b.node").alias("cls_b")).distinct()
-    fine = nodes.select("cls", "fine")
-    likely = likely.join(fine.select(F.col("cls").alias("cls_a"), F.col("fine").alias("fa")), "cls_a").join(fine.select(F.col("cls").alias("cls_b"), F.col("fine").alias("fb")), "cls_b")
+    likely = a.join(b, meet("a", "b") & (apart <= SKETCH_POSITIONS)).select(F.col("a.node").alias("a_"), F.col("b.node").alias("b_")).distinct()
+    fine = [nodes.select(F.col("node").alias(f"{x}_"), F.col("cls").alias(f"cls_{x}"), F.col("fine").alias(f"f{x}")) for x in "ab"]
+    likely = likely.join(fine[0], "a_").join(fine[1], "b_")
     differ = F.lit(0)
     for w in range(1, 5):
         x = F.element_at("fa", w).bitwiseXOR(F.element_at("fb", w))
         any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
         differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
-    pairs = save_table(likely.where(differ <= FINE_POSITIONS).select("cls_a", "cls_b"), "pairs")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("cls_a").alias("cls"), F.lit(0).alias("side")), F.struct(F.col("cls_b").alias("cls"), F.lit(1).alias("side")))).alias("e"), "cls_a", "cls_b").select("e.*", "cls_a", "cls_b")
-    wanted = nodes.join(ends.select("cls").distinct(), "cls", "left_semi").select("kind", "id")
+    spark = nodes.sparkSession
+    with sized(spark, nodes.count() * CHUNKS * 4):
+        pairs = save_table(likely.where(differ <= FINE_POSITIONS).select("cls_a", "cls_b"), "pairs")
+    ends = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
+    wanted = nodes.join(ends, "cls", "left_semi").select("kind", "id")
     texts = records.join(wanted, ["kind", "id"], "left_semi")
-    sets = ends.join(_sets(texts).dropDuplicates(["cls"]), "cls")
-    sets = sets.groupBy("cls_a", "cls_b").agg(F.max(F.when(F.col("side") == 0, F.col("shingles"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("shingles"))).alias("y"))
+    sets = _sets(texts).dropDuplicates(["cls"])
+    # a text's set goes once to its pairs, and from there one set a pair to the other
+    x, y = (sets.select(F.col("cls").alias(f"cls_{k}"), F.col("shingles").alias(n)) for k, n in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
     share = both / (F.size("x") + F.size("y") - both)
-    return sets.select("cls_a", "cls_b", share.alias("similarity")).where(F.col("similarity") >= similarity)
+    return pairs.join(x, "cls_a").join(y, "cls_b").select("cls_a", "cls_b", share.alias("similarity")).where(F.col("similarity") >= similarity)
 
 
 def _records(requests: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.llm.meetings import in_blocks, meet
-from folioforge.plans.runtime import fan_out, save_table
+from folioforge.plans.runtime import fan_out, save_table, sized
 
 K = 10
 #: Pivots of one model and length: PIVOT_RATE times the root of their rows, within these bounds (the pivot sample is bounded).
@@ -75,7 +75,7 @@ def _rows(chunks: DataFrame) -> DataFrame:
 
 
 def nodes_of(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, members): distinct unit vectors (model, node, vec), and (chunk_id, model, node) of each chunk whose latest row has a usable vector.
+    """(nodes, members): distinct unit vectors (model, node, vec, nid), nid being a running number, and (chunk_id, model, node) of each chunk whose latest row has a usable vector.
 
     Usable: vector not null, not all zero, finite, as long as embedding_dimension says, model not null.
     """
@@ -94,7 +94,7 @@ def nodes_of(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     src = fan_out(_rows(chunks))
     vectors = src.where("vec is not null").mapInArrow(lambda it: units(it, True), "model string, node bigint, vec array<float>")
-    nodes = save_table(vectors.dropDuplicates(["model", "node"]), "nodes")
+    nodes = save_table(vectors.dropDuplicates(["model", "node"]).withColumn("nid", F.monotonically_increasing_id()), "nodes")
     rows = src.mapInArrow(lambda it: units(it, False), "chunk_id string, at bigint, model string, node bigint")
     latest_ = rows.groupBy("chunk_id").agg(F.max(F.struct("at", F.when(F.col("node").isNotNull(), F.struct("model", "node")).alias("v"))).alias("m"))
     return nodes, latest_.where("m.v is not null").select("chunk_id", "m.v.model", "m.v.node")
@@ -234,26 +234,28 @@ def _with_sketch(nodes: DataFrame) -> DataFrame:
 
 def similar_nodes(nodes: DataFrame, near_bits: int = NEAR_BITS, both_bits: int = BOTH_BITS, most: float = FOOTRULE) -> DataFrame:
     """(a, b, cosine) of node pairs that meet, pass the sketches and have a footrule of at most ``most``; a and b each way."""
-    posted = in_blocks(postings_of(nodes, pivots_of(nodes)))
+    numbered = nodes.select("model", F.col("nid").alias("node"), "vec")  # numbers take less room in the shuffle than hashes
+    posted = in_blocks(postings_of(numbered, pivots_of(nodes)))
     a, b = posted.alias("a"), posted.alias("b")
     apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
     moved = sum(F.abs(F.shiftright("a.places", s).bitwiseAND(15) - F.shiftright("b.places", s).bitwiseAND(15)) for s in (8, 4, 0))
     met = a.join(b, meet("a", "b") & (apart <= near_bits))
     met = met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), moved.alias("moved"), apart.alias("apart"))
     pairs = met.groupBy("x", "y").agg(F.count("*").alias("triples"), F.sum("moved").alias("moved"), F.min("apart").alias("apart"))
-    sketches = _with_sketch(nodes)
+    sketches = _with_sketch(numbered)
     pairs = pairs.join(sketches.select(F.col("node").alias("x"), F.col("second").alias("sx")), "x").join(sketches.select(F.col("node").alias("y"), F.col("second").alias("sy")), "y")
     pairs = pairs.where(F.col("apart") + F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= both_bits)
     # s shared pivots give up to s (s - 1) (s - 2) / 6 shared triples, each moved place counted in (s - 1) (s - 2) / 2 of them
     s = F.cbrt(6.0 * F.col("triples")) + 1
     footrule = F.col("moved") / F.greatest((s - 1) * (s - 2) / 2, F.lit(1.0)) + (PLACES - s) * PLACES
-    chosen = pairs.where(footrule <= most).select("x", "y")
-    chosen = chosen.unionByName(_pairs_of_few(nodes))
-    left = nodes.select(F.col("node").alias("x"), F.col("vec").alias("vx"))
-    right = nodes.select(F.col("node").alias("y"), F.col("vec").alias("vy"))
+    with sized(nodes.sparkSession, nodes.count() * len(_TRIPLES)):
+        chosen = save_table(pairs.where(footrule <= most).select("x", "y"), "pairs")
+    chosen = chosen.unionByName(_pairs_of_few(numbered))
+    left = nodes.select(F.col("nid").alias("x"), F.col("vec").alias("vx"), F.col("node").alias("a_"))
+    right = nodes.select(F.col("nid").alias("y"), F.col("vec").alias("vy"), F.col("node").alias("b_"))
     dot = F.aggregate(F.zip_with("vx", "vy", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, p: acc + p)
-    scored = chosen.join(left, "x").join(right, "y").select("x", "y", F.round(F.least(F.lit(1.0), dot), 7).alias("cosine"))
-    return scored.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e"), "cosine").select("e.*", "cosine")
+    scored = chosen.join(left, "x").join(right, "y").select("a_", "b_", F.round(F.least(F.lit(1.0), dot), 7).alias("cosine"))
+    return scored.select(F.explode(F.array(F.struct(F.col("a_").alias("a"), F.col("b_").alias("b")), F.struct(F.col("b_").alias("a"), F.col("a_").alias("b")))).alias("e"), "cosine").select("e.*", "cosine")
 
 
 def best_nodes(near: DataFrame, k: int) -> DataFrame:
