@@ -168,10 +168,8 @@ def _paragraph_means(raw: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
     return (sums / np.bincount(paragraph)[:, None])[paragraph]
 
 
-def document_shares(text: str | None, hasher: Hasher, weights: np.ndarray, bias: np.ndarray, thresholds: np.ndarray, junk: bool = False) -> np.ndarray | None:
-    """Share of each subject among a text's units that tell one (others, like shelf marks, do not count); None if it has no unit with a word or is junk."""
-    if junk:
-        return None
+def unit_scores(text: str | None, hasher: Hasher, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(best subject, best score, lead over the next) of each of a text's units; None if it has no unit with a word."""
     units, paragraph = [], []
     for k, block in enumerate(units_of(text or "")):
         for u in block:
@@ -186,11 +184,24 @@ def document_shares(text: str | None, hasher: Hasher, weights: np.ndarray, bias:
     near = raw + PARAGRAPH * _paragraph_means(raw, compact)
     best = (near + DOCUMENT * raw.mean(0)).argmax(1)
     two = np.sort(np.partition(near, -2, axis=1)[:, -2:], axis=1) if near.shape[1] > 1 else np.column_stack((near - MARGIN, near))
-    sure = (two[:, 1] > thresholds[best]) & (two[:, 1] - two[:, 0] >= MARGIN)
+    return best, two[:, 1], two[:, 1] - two[:, 0]
+
+
+def shares_of(scores: tuple[np.ndarray, np.ndarray, np.ndarray] | None, thresholds: np.ndarray) -> np.ndarray | None:
+    """Share of each subject among the units that tell one (others, like shelf marks, do not count); None if there are no units."""
+    if scores is None:
+        return None
+    best, top, lead = scores
+    sure = (top > thresholds[best]) & (lead >= MARGIN)
     told = int(sure.sum())
-    if told < max(1, LEAST * len(units)):
-        return np.zeros(weights.shape[1])
-    return np.bincount(best[sure], minlength=weights.shape[1]) / told
+    if told < max(1, LEAST * len(best)):
+        return np.zeros(len(thresholds))
+    return np.bincount(best[sure], minlength=len(thresholds)) / told
+
+
+def document_shares(text: str | None, hasher: Hasher, weights: np.ndarray, bias: np.ndarray, thresholds: np.ndarray, junk: bool = False) -> np.ndarray | None:
+    """Share of each subject among a text's units that tell one; None if it has no unit with a word or is junk."""
+    return None if junk else shares_of(unit_scores(text, hasher, weights, bias), thresholds)
 
 
 def train(rows: list[tuple[str, list[int], bool]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,8 +247,9 @@ def calibrate(held: list[tuple[str, list[int], bool]], hasher: Hasher, weights:
     junk = unreadable([r[0] for r in held])
     for d, (text, subjects, _) in enumerate(held):
         truth[d, subjects] = True
+        scores = None if junk[d] else unit_scores(text, hasher, weights, bias)
         for g, t in enumerate(grid):
-            shares = document_shares(text, hasher, weights, bias, np.full(n, t), junk[d])
+            shares = shares_of(scores, np.full(n, t))
             if shares is not None:
                 found[g, d] = shares >= SHARE
     hits = (found & truth).sum(1)
