@@ -62,6 +62,22 @@ def ocr_route(spark, sf):
     return pages.route_pages(_routed(spark, sf), "source").select("doc_id", "usable", "likely_true_text", "route")
 
 
+def _scanned_pages(spark, sf):
+    """Latest page attempts with the text of the chunks that begin there; what was kept as an image, or has no text layer, can be seen."""
+    p = pages.latest_pages(table(spark, sf, "page_metadata"), "image_path", "text_layer_detected").where("source_id is not null and page_number is not null")
+    live = _live(spark, sf, "source_id", "page_start", "chunk_index", "text").where("text is not null and page_start is not null")
+    texts = pages.combine_pages(live, ["source_id", "page_start"], "chunk_index", "text").withColumnRenamed("page_start", "page_number").withColumnRenamed("markdown", "text")
+    q = pages.with_quality(p.join(texts, ["source_id", "page_number"], "left"), "text")
+    images = F.col("image_path").isNotNull()
+    return q.withColumn("has_images", images).withColumn("has_visual", images | ~F.coalesce("text_layer_detected", F.lit(False)))
+
+
+@_query
+def page_routes(spark, sf):
+    """Pages of the page table by their own signals, judged by source."""
+    return pages.route_pages(_scanned_pages(spark, sf), "source_id").select("source_id", "page_number", "usable", "likely_true_text", "route")
+
+
 @_query
 def source_votes(spark, sf):
     return pages.source_votes(_routed(spark, sf), "source")
@@ -480,17 +496,20 @@ def chunk_list(spark, sf):
 
 @_query
 def index_copy_check(spark, sf):
-    old, new = _generations(spark, sf)
-    return generations.copied_completely(old, generations.upsert(old, new))
+    """A copy that lacks every thirteenth chunk and holds another vector for every eleventh."""
+    old = _live(spark, sf, "chunk_index", "embedding")
+    cut = F.when(F.col("chunk_index") % 11 == 0, F.slice("embedding", 1, 2)).otherwise(F.col("embedding"))
+    return generations.copied_completely(old, old.where("chunk_index % 13 <> 0").withColumn("embedding", cut))
 
 
 @_query
 def layout_fallback(spark, sf):
-    """Pages whose layout failed or was empty, from page attempts."""
+    """Pages whose layout failed or was empty, from page attempts; the layout is the text of the chunk that begins there, in capitals."""
     p = pages.latest_pages(table(spark, sf, "page_metadata"), "extraction_method").where("source_id is not null")
+    first = _live(spark, sf, "source_id", "page_start", "text").where("text is not null").groupBy("source_id", F.col("page_start").alias("page_number")).agg(F.min("text").alias("plain"))
     error = F.when(F.col("extraction_method") == "failed", "RuntimeError")
-    made = p.select("source_id", "page_number", F.when(F.col("extraction_method") != "skipped", "x").alias("layout"), error.alias("layout_error"), F.lit("y").alias("plain"))
-    return plugins.layout_fallback(made).groupBy("extraction_method", F.array_join("quality_flags", ",").alias("flags"), "fatal").agg(F.count("*").alias("pages"))
+    made = p.join(first, ["source_id", "page_number"], "left").select("source_id", "page_number", F.when(F.col("extraction_method") != "skipped", F.upper("plain")).alias("layout"), error.alias("layout_error"), "plain")
+    return plugins.layout_fallback(made).select("source_id", "page_number", "extraction_method", F.array_join("quality_flags", ",").alias("flags"), "fatal", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
 @_query

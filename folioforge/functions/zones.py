@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import zoneinfo
 from datetime import datetime, timedelta, timezone
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 
@@ -24,14 +26,23 @@ ABBREVIATIONS = {
 }
 
 
+@cache
 def version() -> str:
-    """Release of the zone rules in use."""
+    """Release of the zone rules in use; where the machine's files do not name theirs, a hash of the files, which tells them from any others."""
     try:
         import tzdata
 
         return tzdata.IANA_VERSION
     except ImportError:
-        return "system"
+        pass
+    digest = hashlib.sha256()
+    for folder in map(Path, zoneinfo.TZPATH):
+        for name, mark in (("+VERSION", ""), ("tzdata.zi", "# version ")):
+            if (f := folder / name).exists():
+                return f.read_text(encoding="utf-8").splitlines()[0].removeprefix(mark).strip()
+        for f in sorted(p for p in folder.rglob("*") if p.is_file()):
+            digest.update(f.relative_to(folder).as_posix().encode() + f.read_bytes())
+    return f"files-{digest.hexdigest()[:12]}"
 
 
 @cache

@@ -92,11 +92,19 @@ def delete_source(index: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     return index.where(~gone), index.agg(F.count_if(gone).alias("deleted"))
 
 
-def copied_completely(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row: rows of both generations and whether every id of the old one is in the new one."""
-    missing = old.select("chunk_id").distinct().join(new.select("chunk_id").distinct(), "chunk_id", "left_anti").agg(F.count("*").alias("missing"))
-    counts = old.agg(F.count("*").alias("old_rows")).crossJoin(new.agg(F.count("*").alias("new_rows"))).crossJoin(missing)  # one row each
-    return counts.withColumn("complete", F.col("missing") == 0)
+def copied_completely(old: DataFrame, new: DataFrame, compared: tuple[str, ...] = ("embedding",)) -> DataFrame:
+    """One row: rows of both generations, ids that the copy lacks, ids whose ``compared`` columns differ in it, and whether it is complete.
+
+    Columns are compared by their 64-bit hashes, so no vectors are shuffled; an id that is repeated counts once, by its greatest hash.
+    """
+    cols = [c for c in compared if c in old.columns and c in new.columns]
+
+    def slim(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("chunk_id").agg(F.max(F.xxhash64(F.lit(0), *[F.col(c) for c in cols])).alias(name))
+
+    both = slim(old, "h_").join(slim(new, "g_"), "chunk_id", "left").agg(F.count_if(F.col("g_").isNull()).alias("missing"), F.count_if(F.col("g_") != F.col("h_")).alias("different"))
+    counts = old.agg(F.count("*").alias("old_rows")).crossJoin(new.agg(F.count("*").alias("new_rows"))).crossJoin(both)  # one row each
+    return counts.withColumn("complete", (F.col("missing") == 0) & (F.col("different") == 0))
 
 
 #: Fixed value: the name space of index keys (that of domain names) as 32 hexadecimal digits.

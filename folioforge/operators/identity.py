@@ -29,10 +29,14 @@ def content_hash(text: Column) -> Column:
 
 
 def request_identities(requests: DataFrame) -> DataFrame:
-    """(request_id, received_at, duplicate_policy, identity_key) once per request, by its latest delivery."""
-    cols = ("origin", "external_id", "canonical_url", "url", "body", "duplicate_policy")
-    once = requests.groupBy("request_id").agg(F.max(F.struct("received_at", *cols)).alias("n_")).select("request_id", "n_.*")
-    key = identity_key(*(F.col(c) for c in ("origin", "external_id", "canonical_url", "url")), content_hash(F.coalesce("body", F.lit(""))))
+    """(request_id, received_at, duplicate_policy, identity_key) once per request, by its latest delivery.
+
+    Bodies are hashed where they are read, so none is shuffled.
+    """
+    hashed = requests.withColumn("hash_", content_hash(F.coalesce("body", F.lit(""))))
+    cols = ("origin", "external_id", "canonical_url", "url", "hash_", "duplicate_policy")
+    once = hashed.groupBy("request_id").agg(F.max(F.struct("received_at", *cols)).alias("n_")).select("request_id", "n_.*")
+    key = identity_key(*(F.col(c) for c in ("origin", "external_id", "canonical_url", "url")), F.col("hash_"))
     return once.select("request_id", "received_at", "duplicate_policy", key.alias("identity_key"))
 
 

@@ -12,10 +12,10 @@ STATUSES = ("queued", "running", "succeeded", "failed")
 _ACTIVE = ("queued", "running")
 
 
-def latest_jobs(jobs: DataFrame) -> DataFrame:
-    """The latest row of each job; rows without id or with an unknown status are corrupt and left out."""
+def latest_jobs(jobs: DataFrame, *cols: str) -> DataFrame:
+    """The latest row of each job, with ``cols`` or all its columns; rows without id or with an unknown status are corrupt and left out."""
     good = jobs.where(F.col("job_id").isNotNull() & F.col("status").isin(*STATUSES))
-    cols = [c for c in jobs.columns if c not in ("job_id", "updated_at")]
+    cols = cols or tuple(c for c in jobs.columns if c not in ("job_id", "updated_at"))
     return good.groupBy("job_id").agg(F.max(F.struct("updated_at", *cols)).alias("n_")).select("job_id", "n_.*")
 
 

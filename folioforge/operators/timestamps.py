@@ -294,7 +294,7 @@ def to_micros(values: list[str | None], zones: list[str | None], orders: list[st
     for i, v in enumerate(values):
         if v is None:
             continue
-        if len(v) > 200:  # no moment is written at such length
+        if len(v) > 200 and len(v.strip()) > 200:  # no moment is written at such length
             masks[i] = "long"
             continue
         tokens[i] = tokens_of(v)

@@ -281,9 +281,17 @@ select a.job_id, min(h.job_id) blocked_by from a join h on a.identity_key = h.id
     "queue_health": f"with {_JOBS}, c as (select count(*) filter (status = 'queued') queued, count(*) filter (status = 'running') running, count(*) filter (status = 'succeeded') succeeded, count(*) filter (status = 'failed') failed, count(*) filter (status = 'failed') reserved, (select count(distinct source_id) from source_manifests) sources from j) select *, queued + running + reserved active, queued + running + reserved < 20 has_room, case when queued + running + reserved < 20 then 'ok' else 'degraded' end state from c",
     "job_phases": f"with {_JOBS} select status, phase, case when status in ('queued', 'running') then case phase when 'queued' then 'extracting' when 'extracting' then 'embedding' when 'embedding' then 'indexing' when 'indexing' then 'done' end end next_phase, case when status in ('queued', 'running') then case when phase = 'queued' then 'extracting' when phase in ('extracting', 'embedding', 'indexing') then 'done' end end next_unindexed, case when phase in ('embedding', 'indexing') then phase else 'extracting' end resumed, count(*) jobs from j group by all",
     "event_activity": "select (floor(epoch(ts) / 3600) * 3600)::bigint hour_s, event_type, count(*) events, round(sum(value), 4) total from events group by 1, 2",
-    "index_copy_check": f"with {_GENERATIONS}, up as (select chunk_id from new union all select chunk_id from old where chunk_id not in (select chunk_id from new)) select (select count(*) from old) old_rows, (select count(*) from up) new_rows, (select count(*) from (select chunk_id from old except select chunk_id from up)) missing, (select count(*) from (select chunk_id from old except select chunk_id from up)) = 0 complete",
-    "layout_fallback": """with l as (select * from (select *, row_number() over (partition by source_id, page_number order by extracted_at desc) r from page_metadata where source_id is not null) where r = 1),
-e as (select *, coalesce(extraction_method = 'failed', false) bad, extraction_method is null or extraction_method = 'skipped' no_text from l), b as (select *, coalesce(lag(bad) over (partition by source_id order by page_number), false) before from e)
-select case when bad or no_text then 'pymupdf' else 'pymupdf4llm' end extraction_method, case when bad then 'layout_failed:RuntimeError' when no_text then 'layout_empty' else '' end flags, bad and before fatal, count(*) pages from b group by all""",
+    "index_copy_check": f"""with {_live('chunk_index', 'embedding')}, copy as (select chunk_id, case when chunk_index % 11 = 0 then embedding[1:2] else embedding end v from live where chunk_index % 13 <> 0),
+j as (select live.*, copy.chunk_id is null gone, embedding is distinct from v other from live left join copy using (chunk_id))
+select (select count(*) from live) old_rows, (select count(*) from copy) new_rows, count(*) filter (gone) missing, count(*) filter (not gone and other) different, count(*) filter (gone or other) = 0 complete from j""",
+    "layout_fallback": f"""with {_live('source_id', 'page_start', 'text')}, l as (select * from (select *, row_number() over (partition by source_id, page_number order by extracted_at desc) r from page_metadata where source_id is not null) where r = 1),
+t as (select source_id, page_start page_number, min(text) plain from live where text is not null group by all), j as (select l.*, plain, case when extraction_method <> 'skipped' then upper(plain) end layout from l left join t using (source_id, page_number)),
+e as (select *, coalesce(extraction_method = 'failed', false) bad, trim(coalesce(layout, ''), ' ') = '' no_text from j), b as (select *, coalesce(lag(bad) over (partition by source_id order by page_number), false) before from e)
+select source_id, page_number, case when bad or no_text then 'pymupdf' else 'pymupdf4llm' end extraction_method, case when bad then 'layout_failed:RuntimeError' when no_text then 'layout_empty' else '' end flags, bad and before fatal, md5(coalesce(case when bad or no_text then plain else layout end, '')) text_md5 from b""",
+    "page_routes": f"""with {_live('source_id', 'page_start', 'chunk_index', 'text')}, t as (select source_id, page_start page_number, {_strip("string_agg(" + _strip('text') + ", chr(10) order by chunk_index, text)")} || chr(10) AS text from live where text is not null and page_start is not null group by all),
+documents as (select l.source_id AS source, page_number, image_path is not null has_images, image_path is not null or not coalesce(text_layer_detected, false) as sees, t.text from (select *, row_number() over (partition by source_id, page_number order by extracted_at desc) r from page_metadata) l left join t using (source_id, page_number) where r = 1 and l.source_id is not null and page_number is not null),
+{_QUALITY}
+select source source_id, page_number, usable, likely_true_text, case when is_true_text then 'text' when likely_true_text and not sees then 'text'
+ when char_count > 0 and not has_images and len(list_filter(flags, lambda x: x <> 'too_few_chars')) = 0 then 'text' when char_count > 0 and not sees then 'text' when sees then 'ocr' else 'text' end route from p left join vote using (source)""",
     "publication_outcomes": f"with {_MANIFESTS} select source_id, case when length(source_id) % 2 <> 0 then 'new' when length(source_id) % 3 = 0 and content_sha256 is distinct from 'changed' then 'conflict' else 'same' end outcome from m",
 }

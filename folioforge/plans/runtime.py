@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import re
 import shutil
 import tempfile
@@ -13,7 +12,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHUFFLES = re.compile(r"\b(?:Aggregate|Join|Window|Sort|Repartition|Distinct|Deduplicate)\b|RepartitionByExpression")
+#: Names of plan nodes that shuffle.
+_SHUFFLES = frozenset(("Aggregate", "Join", "Window", "Sort", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Distinct", "Deduplicate"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,14 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def _shuffles(plan) -> bool:
+    """Whether a logical plan holds a node that shuffles."""
+    if plan.nodeName() in _SHUFFLES:
+        return True
+    children = plan.children()
+    return any(_shuffles(children.apply(i)) for i in range(children.size()))
+
+
 def fan_out(df: DataFrame, *keys: str, per_core: int = 1) -> DataFrame:
     """Spread a scan of few splits over the cluster before per-row Python work.
 
@@ -113,14 +121,9 @@ def fan_out(df: DataFrame, *keys: str, per_core: int = 1) -> DataFrame:
     their scan splits (spark.sql.files.maxPartitionBytes). Plans that shuffle anyway are
     left as they are (counting their partitions would run them).
     """
-    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+    if _shuffles(df._jdf.queryExecution().optimizedPlan()):
         return df
     want = cores(df.sparkSession) * per_core
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
-
-
-def in_shared(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

@@ -22,6 +22,7 @@ from folioforge.functions.text import page_markdown
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 Provider = Callable[[bytes | None, int], tuple[str, str | None]]
+Parser = Callable[[bytes], Sequence[Mapping[str, object]]]
 _WORD = re.compile(r"\w+(?:['-]\w+)*")
 #: Fixed value: what precedes a question when it is embedded.
 INSTRUCTION = "Instruct: Given a question, retrieve relevant source passages that answer it\nQuery: "
@@ -154,6 +155,29 @@ def read_scans(pages: DataFrame, provider: Provider, name: str, blank: str = "bl
     return out.withColumn("markdown", page_markdown(F.col("text"), F.col("page_number"))).drop("text")
 
 
+def scan_pages(files: DataFrame, parser: Parser) -> DataFrame:
+    """Pages of documents (source_id, content BINARY) by a parser: source_id, page_number, page_index, text, has_images, drawings, dark, pixels, error.
+
+    The parser is called once a document, with its bytes, and gives a mapping a page; what it leaves out counts as none. A document it cannot read gives one row with the error and no page.
+    """
+    fields = (("text", "", pa.string()), ("has_images", False, pa.bool_()), ("drawings", 0, pa.int64()), ("dark", 0, pa.int64()), ("pixels", 0, pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                try:
+                    found, error = list(parser(b.column(1)[i].as_py() or b"")), None
+                except Exception as e:  # one unreadable document does not end the run
+                    found, error = [], str(e).strip() or type(e).__name__
+                n = len(found) or (1 if error else 0)
+                numbers = [k + 1 for k in range(len(found))] or [None] * n
+                cols = [pa.array([p.get(name, default) for p in found] or [None] * n, kind) for name, default, kind in fields]
+                index = [None if k is None else k - 1 for k in numbers]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, pa.string()), pa.array(numbers, pa.int32()), pa.array(index, pa.int32()), *cols, pa.array([error] * n, pa.string())], ["source_id", "page_number", "page_index", *(f[0] for f in fields), "error"])
+
+    return files.select(F.col("source_id").cast("string"), "content").mapInArrow(run, "source_id string, page_number int, page_index int, text string, has_images boolean, drawings bigint, dark bigint, pixels bigint, error string")
+
+
 def choose_provider(mode: str, providers: dict[str, Provider], default: str) -> Provider:
     """Provider of a mode: the default for auto and always, else the one of that name; there is no fallback."""
     wanted = default if mode in ("auto", "always") else mode

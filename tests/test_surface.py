@@ -12,7 +12,7 @@ from folioforge import __main__ as cli
 from folioforge import api
 from folioforge.operators import chunking, generations, queue
 from folioforge.plans import config, runtime
-from folioforge.sources import plugins, readers
+from folioforge.sources import plugins, readers, writers
 from folioforge.sources.store import PublicationError, VersionedTable
 from folioforge.streaming.worker import Worker
 
@@ -215,6 +215,72 @@ def test_command_provider(spark, tmp_path):
         ready.get("none", "own")
 
 
+def test_pages_of_documents(spark):
+    def parse(content):
+        if content == b"bad":
+            raise ValueError("not a document")
+        return [{"text": t, "has_images": "img" in t, "dark": len(t)} for t in content.decode().split("|")]
+
+    files = spark.createDataFrame([("a", bytearray(b"one|img two")), ("b", bytearray(b"bad")), ("c", None)], "source_id string, content binary")
+    got = {(r.source_id, r.page_number): r for r in plugins.scan_pages(files, parse).collect()}
+    assert got["a", 2].has_images and got["a", 2].page_index == 1 and got["a", 1].dark == 3 and got["b", None].error == "not a document" and got["c", 1].text == ""
+    assert plugins.scan_pages(files.where("false"), parse).count() == 0
+
+
+def test_writers(spark, tmp_path):
+    rows = spark.createDataFrame([("c1", None, 3), ("c2", "S", None)], "chunk_id string, section string, page_start int")
+    writers.write_records(rows, f"file://{tmp_path}/rows")
+    assert {(r.chunk_id, r.section, r.page_start) for r in readers.read_chunks(spark, f"file://{tmp_path}/rows").collect()} == {("c1", None, 3), ("c2", "S", None)}
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        writers.write_records(rows, f"file://{tmp_path}/rows")
+    writers.write_originals(spark.createDataFrame([("s", "/x/a.pdf", bytearray(b"12"))], "source_id string, path string, content binary"), f"file://{tmp_path}/o", 2)
+    kept = spark.read.parquet(f"file://{tmp_path}/o").collect()[0]
+    assert (kept.name, bytes(kept.content), kept.length) == ("a.pdf", b"12", 2)
+    t = writers.create_table(spark, f"file://{tmp_path}/t", rows.schema)
+    assert t.read().count() == 0 and writers.create_table(spark, t.root, rows.schema).current() == 1
+    with pytest.raises(ValueError, match="no columns"):
+        writers.create_table(spark, t.root, spark.range(1).schema)
+
+
+def test_reservations_stream(spark, tmp_path):
+    from folioforge.streaming import feed
+
+    schema = "identity_key string, owner_id string, action string"
+    spark.createDataFrame([("k", "a", "reserve"), ("z", "b", "reserve")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    ask = feed.reservations(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"))
+
+    def run():
+        ask.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert run() == [("k", "a", "reserve", "reserved"), ("z", "b", "reserve", "reserved")]
+    spark.createDataFrame([("k", "b", "reserve")], schema).write.parquet(f"{tmp_path}/in/2")
+    assert ("k", "b", "reserve", "busy") in run()
+    spark.createDataFrame([("k", "a", "release"), ("z", "x", "release")], schema).write.parquet(f"{tmp_path}/in/3")
+    got = run()
+    assert ("k", "a", "release", "released") in got and ("z", "x", "release", "ignored") in got
+    spark.createDataFrame([("k", "b", "reserve")], schema).write.parquet(f"{tmp_path}/in/4")
+    assert ("k", "b", "reserve", "reserved") in run()
+
+
+def test_appended_versions_are_read_as_upserts(spark, tmp_path):
+    from folioforge.streaming import feed
+
+    table = VersionedTable(spark, f"file://{tmp_path}/t")
+    for batch, rows in enumerate([[("a", 1), ("b", 1)], [("b", 2), ("c", 2)]]):
+        table.append(spark.createDataFrame(rows, "k string, v int").withColumn("batch_id", F.lit(batch)), "k")
+    assert table.read().count() == 4
+    assert {(r.k, r.v) for r in feed.newest(table.read(), "k").collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    feed.compact(table, "k")
+    assert table.read().count() == 3 and len(table.parts()["rows"]) == 1
+
+
+def test_zone_rules_have_a_release():
+    from folioforge.functions import zones
+
+    assert zones.version() and zones.version() != "system"
+
+
 def test_service_health(spark):
     ok = ('{"status":"ok"}', '{"data":[{"id":"m"}]}', '{"model_alias":"m","modalities":{"vision":true}}')
     rows = [ok, ('{"status":"loading"}', *ok[1:]), (ok[0], '{"data":[]}', ok[2]), (*ok[:2], '{"model_alias":"n"}'), (*ok[:2], '{"model_alias":"m"}'), (None, None, None)]
