@@ -242,27 +242,6 @@ def test_writers(spark, tmp_path):
         writers.create_table(spark, t.root, spark.range(1).schema)
 
 
-def test_reservations_stream(spark, tmp_path):
-    from folioforge.streaming import feed
-
-    schema = "identity_key string, owner_id string, action string"
-    spark.createDataFrame([("k", "a", "reserve"), ("z", "b", "reserve")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
-    ask = feed.reservations(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"))
-
-    def run():
-        ask.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        return sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-
-    assert run() == [("k", "a", "reserve", "reserved"), ("z", "b", "reserve", "reserved")]
-    spark.createDataFrame([("k", "b", "reserve")], schema).write.parquet(f"{tmp_path}/in/2")
-    assert ("k", "b", "reserve", "busy") in run()
-    spark.createDataFrame([("k", "a", "release"), ("z", "x", "release")], schema).write.parquet(f"{tmp_path}/in/3")
-    got = run()
-    assert ("k", "a", "release", "released") in got and ("z", "x", "release", "ignored") in got
-    spark.createDataFrame([("k", "b", "reserve")], schema).write.parquet(f"{tmp_path}/in/4")
-    assert ("k", "b", "reserve", "reserved") in run()
-
-
 def test_appended_versions_are_read_as_upserts(spark, tmp_path):
     from folioforge.streaming import feed
 
