@@ -292,7 +292,7 @@ def _query_vector(spark, sf):
 
 @_query
 def bm25_topk(spark, sf):
-    return retrieval.top(retrieval.bm25(table(spark, sf, "chunks"), QUESTION), "lexical", 20)
+    return retrieval.top(retrieval.bm25(fan_out(table(spark, sf, "chunks").select("chunk_id", "created_at", "text")), QUESTION), "lexical", 20)
 
 
 @_query

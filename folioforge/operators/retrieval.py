@@ -46,9 +46,8 @@ def _delivered(chunks: DataFrame) -> Column:
     return (F.col("created_at") if "created_at" in chunks.columns else F.lit(None).cast("timestamp")).alias("created_at")
 
 
-def _term_counts(text: Column, terms: Sequence[str]) -> list[Column]:
-    """Length of a text in words, and the number of times it holds each term."""
-    words = tokens(F.lower(F.coalesce(text, F.lit(""))))
+def _term_counts(words: Column, terms: Sequence[str]) -> list[Column]:
+    """Length of a list of words, and the number of times it holds each term."""
 
     def times(word: str) -> Column:
         return F.size(F.filter(words, lambda x: x == F.lit(word)))
@@ -64,7 +63,9 @@ def _features(chunks: DataFrame, query: str, where: Column | None, vector: Seque
     terms = query_terms(query)
     keep = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
     near = cosine_expression(vector, model) if vector is not None else F.lit(None).cast("double")
-    slim = chunks.where("chunk_id is not null").select("chunk_id", _delivered(chunks), keep.alias("keep_"), near.alias("cosine"), *_term_counts(F.col("text"), terms))
+    words = tokens(F.lower(F.coalesce("text", F.lit("")))).alias("words_")  # a column of its own, so that it is made once
+    slim = chunks.where("chunk_id is not null").select("chunk_id", _delivered(chunks), keep.alias("keep_"), near.alias("cosine"), words)
+    slim = slim.select("chunk_id", "created_at", "keep_", "cosine", *_term_counts(F.col("words_"), terms))
     names = ("keep_", "cosine", "dl_", *(f"tf{i}_" for i in range(len(terms))))
     return live_chunks(slim, *names)
 
