@@ -269,6 +269,7 @@ def training_rows(requests: DataFrame, documents: DataFrame, labels: DataFrame,
         share = min(1.0, 2.0 * enough / max(1, df.count()))
         return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
 
+    requests = requests if "collection" in requests.columns else requests.withColumn("collection", F.lit(None).cast("string"))
     number = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))])
     once = latest(drawn(requests, "request_id", sample), "request_id", "received_at", "title", "body", "url", "canonical_url", "tags", "collection")
     segments = F.split(F.lower(F.coalesce("canonical_url", "url", F.lit(""))), "[/?#&=.]+")
