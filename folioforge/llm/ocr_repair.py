@@ -6,9 +6,10 @@ that its neighbours in the text make most likely; running headers and page numbe
 and lines reflowed into paragraphs.
 
 The vectors are those of skip-gram with negative sampling: word and context vectors that maximise the expected objective over the counts of all (word, neighbour) pairs of the
-corpus. Counting reads every chunk, with partial sums per task; the counts of the TRAINED most frequent words with the CONTEXTS most frequent ones are
-a matrix of fixed size, on which one task trains. Counts are whole numbers, so the result does not depend on the order of tasks. A bounded core of the vocabulary
-(CORE words) is sent to all tasks; every word outside it is resolved by a join, so nothing is dropped.
+corpus. Counting reads every chunk, with partial sums per task. One task trains a model of fixed size on all pairs: each of the TRAINED most frequent words has a place of its own, as word
+and as neighbour, and all other words lie by a hash in SHARED places. From its place's vectors each of the other words is then trained on its own pairs with all places, so every word has vectors of its own
+(they do not depend on one another: only those that a choice asks for are made, and reach its chunk by a join). Counts are whole numbers, so the result does not depend on the order of tasks. A bounded core of
+the vocabulary (CORE words) is sent to all tasks; every word outside it is resolved by a join, so nothing is dropped.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ from folioforge.llm.texts import latest
 from folioforge.plans.runtime import save_table
 
 DIMENSIONS, WINDOW = 32, 2
-#: Words that get a vector, and words whose neighbourhood they are told by (the most frequent ones); negative samples a pair, steps of training.
-TRAINED, CONTEXTS, NEGATIVES, STEPS = 8192, 512, 5, 40
+#: Words trained together (the most frequent ones) and places that all others share in that; negative samples a pair, steps of training.
+TRAINED, SHARED, NEGATIVES, STEPS = 8192, 1024, 5, 40
 #: Weight of a candidate's log frequency beside its fit into the context.
 PRIOR = 0.5
 #: Words of the core vocabulary that is sent to all tasks (a bound, not the vocabulary).
@@ -42,6 +45,8 @@ RARER, TIMES = 0.2, 2
 LEARNT = 20
 #: Words distinct within one task's memory before its partial sums are passed on.
 HELD = 200_000
+#: Cells of neighbours distinct within one task's memory before its partial sums are passed on.
+CELLS = 3_000_000
 
 # Glyphs and pairs of glyphs that are mistaken for one another, each written as the strokes that stand
 # for its class (rn for m, vv for w, el for d and cl, ll for h, b, u, li, ii).
@@ -128,13 +133,49 @@ def word_table(texts: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_ocr").alias("n_ocr"))
 
 
-def neighbour_counts(texts: DataFrame, trained: list[str], contexts: int = CONTEXTS, window: int = WINDOW) -> DataFrame:
-    """(cell, n): how often word cell // contexts of ``trained`` has word cell % contexts within ``window`` words to either side, over all texts."""
-    shared = texts.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(trained)})  # at most TRAINED words
+class Model(NamedTuple):
+    """Vectors of the places: those of ``words`` come first, the shared ones after them; ``totals``: neighbours that stand around each."""
+
+    words: list[str]
+    vectors: np.ndarray
+    contexts: np.ndarray
+    totals: np.ndarray
+
+
+def place(word: str, number: dict[str, int], shared: int) -> int:
+    """The place of a word: its own, or one of the shared ones behind those."""
+    k = number.get(word)
+    return len(number) + zlib.crc32(word.encode()) % shared if k is None else k
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
+
+def neighbour_counts(texts: DataFrame, trained: list[str], shared: int, window: int = WINDOW) -> DataFrame:
+    """(word, cell, n): how often words stand within ``window`` words of each other, over all texts.
+
+    Without word: the pairs of places a <= b, each pair of neighbours once, cell = a * (number of places) + b. With a word outside ``trained``: its neighbours by their place.
+    """
+    known_words = texts.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(trained)})  # at most TRAINED words
+    own, size = len(trained), len(trained) + shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known = shared.value, {}
-        counts = np.zeros(len(number) * contexts, dtype=np.int64)
+        number, known = known_words.value, {}
+        names: list[str] = []  # words outside trained, by their number less ``own``
+        places = list(range(own))
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        rare: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for parts, named in ((pairs, False), (rare, True)):
+                if parts:
+                    keys, n = _summed(parts)
+                    word = pa.array(names, pa.string()).take(pa.array(keys // size)) if named else pa.nulls(len(keys), pa.string())
+                    yield pa.RecordBatch.from_arrays([word, pa.array((keys % size if named else keys).astype(np.int32)), pa.array(n)], ["word", "cell", "n"])
+                    parts.clear()
+
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 stream: list[int] = []
@@ -142,68 +183,161 @@ def neighbour_counts(texts: DataFrame, trained: list[str], contexts: int = CONTE
                     for token in text.split():
                         k = known.get(token)
                         if k is None:
-                            k = known[token] = number.get(clean_word(token), -1)
+                            w = clean_word(token)
+                            k = number.get(w, -1)
+                            if k < 0 and shared and _is_word(w):
+                                k = own + len(names)
+                                names.append(w)
+                                places.append(place(w, number, shared))
+                            known[token] = k
                         stream.append(k)
                     stream.extend((-1,) * window)
-                if len(known) > HELD:
-                    known.clear()
                 ids = np.array(stream, dtype=np.int64)
-                cells = []
+                at = np.array([*places, -1], dtype=np.int64)[ids]  # the last one for no word
+                cells, told = [], []
                 for step in range(1, window + 1):
-                    for a, b in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
-                        pair = (a >= 0) & (b >= 0) & (b < contexts)
-                        cells.append(a[pair] * contexts + b[pair])
-                at, many = np.unique(np.concatenate(cells), return_counts=True)
-                counts[at] += many
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
+                    both = (ids[:-step] >= 0) & (ids[step:] >= 0)
+                    a, b = at[:-step][both], at[step:][both]
+                    cells.append(np.minimum(a, b) * size + np.maximum(a, b))
+                    for word, beside in ((ids[:-step][both], b), (ids[step:][both], a)):
+                        far = word >= own
+                        told.append((word[far] - own) * size + beside[far])
+                for parts, found in ((pairs, cells), (rare, told)):
+                    keys, n = np.unique(np.concatenate(found), return_counts=True)
+                    if len(keys):
+                        parts.append((keys, n))
+                    if len(parts) > 1 and sum(len(k) for k, _ in parts) > CELLS:
+                        parts[:] = [_summed(parts)]
+                if len(known) > HELD or any(len(p) == 1 and len(p[0][0]) > CELLS // 2 for p in (pairs, rare)):
+                    yield from flush()
+                    known.clear()
+                    names.clear()
+                    del places[own:]
+        yield from flush()
 
-    return texts.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "word string, cell int, n bigint").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+
+
+class _Adam:
+    """Climbs by Adam's steps."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.mean, self.square, self.step = x, np.zeros_like(x), np.zeros_like(x), 0
+
+    def climb(self, grad: np.ndarray) -> None:
+        self.step += 1
+        self.mean = 0.9 * self.mean + 0.1 * grad
+        self.square = 0.99 * self.square + 0.01 * grad**2
+        self.x = self.x + 0.1 * (self.mean / (1 - 0.9**self.step)) / (np.sqrt(self.square / (1 - 0.99**self.step)) + 1e-6)
 
 
 def skip_gram(counts: np.ndarray, dimensions: int = DIMENSIONS, negatives: int = NEGATIVES, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(word vectors, context vectors) of skip-gram with negative sampling on a matrix of counts (words x contexts).
+    """(word vectors, context vectors) of skip-gram with negative sampling on a matrix of counts (words x contexts), see ``skip_gram_cells``."""
+    row, col = np.nonzero(counts)
+    return skip_gram_cells(row, col, counts[row, col], counts.shape, dimensions, negatives, steps)
+
+
+def skip_gram_cells(row: np.ndarray, col: np.ndarray, n: np.ndarray, shape: tuple[int, int], dimensions: int = DIMENSIONS, negatives: int = NEGATIVES, steps: int = STEPS, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(word vectors, context vectors) of skip-gram with negative sampling on the cells of a matrix of counts, in the order of their rows.
 
     The objective is the expected one: n log s(v u) for the pairs that occur and ``negatives`` times as many drawn contexts (by frequency to the power 0.75) as
-    log s(-v u); rows are weighed down to the root of their size, so frequent words do not drown the others. Trained by Adam from a fixed start.
+    log s(-v u); rows are weighed down to the root of their size, so frequent words do not drown the others. Trained by Adam from a fixed start. Chances are held for ``block`` rows at a time.
     """
-    n = counts.astype(np.float32)
-    total = n.sum(1, keepdims=True)
-    drawn = n.sum(0) ** 0.75
+    total = np.bincount(row, weights=n, minlength=shape[0]).astype(np.float32)
+    drawn = np.bincount(col, weights=n, minlength=shape[1]).astype(np.float32) ** 0.75
     drawn /= max(float(drawn.sum()), 1e-9)
     weight = 1 / np.sqrt(np.maximum(total, 1))
-    positive, negative = n * weight, negatives * total * weight * drawn
+    negative = negatives * total * weight
+    # the slope at a cell, divided by its column's drawn: pairs + share * (slope of the negative ones)
+    at = ((row % block) * shape[1] + col).astype(np.int32)
+    pairs = n.astype(np.float32) * weight[row] / drawn[col]
+    share = pairs / negative[row]
+    ends = np.searchsorted(row, range(0, shape[0] + block, block))
     rng = np.random.default_rng(17)
-    both = [rng.normal(0, 0.1, (size, dimensions)).astype(np.float32) for size in n.shape]
-    mean, square = [np.zeros_like(x) for x in both], [np.zeros_like(x) for x in both]
-    for step in range(1, steps + 1):
-        chance = 1 / (1 + np.exp(-(both[0] @ both[1].T)))
-        slope = positive - (positive + negative) * chance
-        for k, grad in enumerate((slope @ both[1], slope.T @ both[0])):
-            mean[k] = 0.9 * mean[k] + 0.1 * grad
-            square[k] = 0.99 * square[k] + 0.01 * grad**2
-            both[k] += 0.1 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
-    return both[0], both[1]
-
-
-def learn_vectors(texts: DataFrame, words: DataFrame, trained: int = TRAINED, contexts: int = CONTEXTS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words by frequency, their vectors, vectors of the first of them as contexts), trained in one task on counts over all texts."""
+    words, contexts = (_Adam(rng.normal(0, 0.1, (size, dimensions)).astype(np.float32)) for size in shape)
+    for _ in range(steps):
+        across, scaled = np.ascontiguousarray(contexts.x.T), contexts.x * drawn[:, None]
+        up, along = np.zeros_like(words.x), np.zeros_like(across)
+        for k, start in enumerate(range(0, shape[0], block)):
+            v = words.x[start : start + block]
+            slope = -v @ across
+            with np.errstate(over="ignore"):
+                np.exp(slope, out=slope)
+            slope += 1
+            np.divide(-negative[start : start + block, None], slope, out=slope)
+            cells = slice(ends[k], ends[k + 1])
+            flat = slope.reshape(-1)
+            flat[at[cells]] += pairs[cells] + share[cells] * flat[at[cells]]
+            up[start : start + block] = slope @ scaled
+            along += v.T @ slope
+        words.climb(up)
+        contexts.climb(along.T * drawn[:, None])
+    return words.x, contexts.x
+
+
+def learn_vectors(texts: DataFrame, words: DataFrame, trained: int | None = None, shared: int | None = None) -> tuple[Model, DataFrame]:
+    """(the vectors of all places, trained in one task on counts over all texts; (word, cell, n) of the words with a shared place)."""
+    trained, shared = trained or TRAINED, shared or SHARED
     top = [r["word"] for r in words.orderBy(F.desc(F.col("n_clean") + F.col("n_ocr")), "word").limit(trained).collect()]
+    shared = shared if len(top) == trained else 0  # else every word has its own
+    size = len(top) + shared
+    cells = save_table(neighbour_counts(texts, top, shared), "neighbours")
+    rare = cells.where("word is not null")
     if not top:
-        return [], np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32)
-    c = min(contexts, len(top))
+        return Model([], *(np.zeros((0, DIMENSIONS), np.float32) for _ in range(2)), np.zeros(0)), rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(top) * c, dtype=np.int64)
-        for b in batches:
-            counts[b.column(0).to_numpy()] = b.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in skip_gram(counts.reshape(-1, c))], pa.binary())], ["part", "data"])
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.float32)) for b in batches]
+        cell, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.float32))
+        row, col = cell // size, cell % size
+        data = (*skip_gram_cells(row, col, n, (size, size)), np.bincount(row, weights=n, minlength=size))
+        yield pa.RecordBatch.from_arrays([pa.array(range(3), pa.int32()), pa.array([x.tobytes() for x in data], pa.binary())], ["part", "data"])
+
+    a, b = F.expr(f"cell div {size}").cast("int"), F.col("cell") % size
+    ways = F.when(a == b, F.array(F.struct("cell", (2 * F.col("n")).alias("n")))).otherwise(F.array(F.struct("cell", "n"), F.struct((b * size + a).alias("cell"), "n")))
+    mirrored = cells.where("word is null").select(F.explode(ways).alias("c")).select(F.col("c.cell").alias("cell"), F.col("c.n").alias("n"))
+    got = {r["part"]: bytes(r["data"]) for r in mirrored.coalesce(1).sortWithinPartitions("cell").mapInArrow(run, "part int, data binary").collect()}  # of fixed size
+    if not got:  # no cells: an empty partition may not be run
+        return Model(top, *(np.zeros((size, DIMENSIONS), np.float32) for _ in range(2)), np.zeros(size)), rare
+    return Model(top, *(np.frombuffer(got[k], np.float32).reshape(-1, DIMENSIONS) for k in (0, 1)), np.frombuffer(got[2], np.float64)), rare
+
+
+def own_vectors(counts: np.ndarray, starts: np.ndarray, model: Model, negatives: int = NEGATIVES, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """(word vectors, context vectors) of words (their counts beside all places, their own place): the objective of ``skip_gram_cells``, with the places' vectors held."""
+    n, total = counts.astype(np.float32), counts.sum(1, keepdims=True).astype(np.float32)
+    all_drawn = max(float((model.totals**0.75).sum()), 1e-9)
+    drawn, share = (model.totals**0.75 / all_drawn).astype(np.float32), total**0.75 / all_drawn
+    row, column = 1 / np.sqrt(np.maximum(total, 1)), (1 / np.sqrt(np.maximum(model.totals, 1))).astype(np.float32)
+    out = []
+    for start, others, positive, negative in (
+        (model.vectors, model.contexts, n * row, negatives * total * row * drawn),
+        (model.contexts, model.vectors, n * column, negatives * (model.totals * column).astype(np.float32) * share),
+    ):
+        adam, both = _Adam(start[starts]), positive + negative
+        for _ in range(steps):
+            with np.errstate(over="ignore"):
+                adam.climb((positive - both / (1 + np.exp(-(adam.x @ others.T)))) @ others)
+        out.append(adam.x.astype(np.float32))
+    return out[0], out[1]
+
+
+def _own_table(rare: DataFrame, asked: DataFrame, shared, batch: int = 32) -> DataFrame:
+    """(word, v, u): the vectors of the words asked for that have a shared place. shared: broadcast (.., model)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value[-1]
+        number, size = {w: k for k, w in enumerate(model.words)}, len(model.totals)
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch):
+                b = whole.slice(start, batch)
+                words, counts = b.column(0).to_pylist(), np.zeros((b.num_rows, size), np.float32)
+                for k, cells in enumerate(b.column(1).to_pylist()):
+                    counts[k, [c["cell"] for c in cells]] = [c["n"] for c in cells]
+                both = own_vectors(counts, np.array([place(w, number, size - len(number)) for w in words]), model)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([x.tobytes() for x in side], pa.binary()) for side in both)], ["word", "v", "u"])
 
-    cells = save_table(neighbour_counts(texts, top, c), "neighbours")
-    got = {r["part"]: r["data"] for r in cells.coalesce(1).mapInArrow(run, "part int, data binary").collect()}  # of fixed size
-    if not got:
-        return top, np.zeros((len(top), DIMENSIONS), np.float32), np.zeros((c, DIMENSIONS), np.float32)
-    return top, *(np.frombuffer(bytes(got[k]), np.float32).reshape(-1, DIMENSIONS) for k in (0, 1))
+    listed = rare.join(asked, "word", "leftsemi").groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    return listed.mapInArrow(run, "word string, v binary, u binary")
 
 
 def _skeletons(df: DataFrame) -> DataFrame:
@@ -232,19 +366,24 @@ def corrections(words: DataFrame, clean_chunks: int, ocr_chunks: int) -> DataFra
 class Context:
     """Chooses among the words that one may have been misread from by its neighbours in the text."""
 
-    def __init__(self, words: list[str], vectors: np.ndarray, contexts: np.ndarray):
-        self.number, self.vectors, self.contexts = {w: k for k, w in enumerate(words)}, vectors, contexts
+    def __init__(self, number: dict[str, int], model: Model, own: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
+        """own: vectors of words without a place of their own."""
+        self.number, self.model, self.own = number, model, own or {}
+
+    def _vector(self, word: str, side: int) -> np.ndarray | None:
+        k = self.number.get(word)
+        return self.model[1 + side][k] if k is not None else self.own[word][side] if word in self.own else None
 
     def choose(self, candidates: list[tuple[str, int]], around: list[str]) -> str:
-        """The candidate (word, frequency) that fits best; without known neighbours, or for words without a vector, frequency decides."""
-        near = [k for w in around if (k := self.number.get(w, len(self.contexts))) < len(self.contexts)]
+        """The candidate (word, frequency) that fits best; without known neighbours, or for words that never had any, frequency decides."""
+        near = [u for w in around if (u := self._vector(w, 1)) is not None]
         if len(candidates) == 1 or not near:
             return candidates[0][0]
-        told = self.contexts[near].sum(0)
+        told = np.sum(near, axis=0)
 
-        def fit(c: tuple[str, int]) -> tuple[bool, float, int]:
-            k = self.number.get(c[0])
-            return k is not None, 0.0 if k is None else round(float(self.vectors[k] @ told) + PRIOR * math.log(c[1]), 4), c[1]
+        def fit(c: tuple[str, int]) -> tuple[float, int]:
+            v = self._vector(c[0], 0)
+            return round((0.0 if v is None else float(v @ told)) + PRIOR * math.log(c[1]), 4), c[1]
 
         return max(candidates, key=fit)[0]
 
@@ -432,31 +571,51 @@ def _read(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     known = rate & (F.col("n_clean") > 1)
     table = save_table(words.select("word", known.alias("known"), (F.col("n_clean") + F.col("n_ocr")).alias("n")).join(meant, "word", "left"), "vocabulary")
     core = {r["word"]: _entry(r) for r in table.orderBy(F.desc("n"), "word").limit(CORE).collect()}  # bounded by CORE
-    shared = spark.sparkContext.broadcast((core, *learn_vectors(every, words)))
+    model, rare = learn_vectors(every, words)
+    shared = spark.sparkContext.broadcast((core, {w: k for k, w in enumerate(model.words)}, model))
     scanned = every.where("ocr").select("chunk_id", "title", "chapter", "page_start", "page_end", "text")
     reader = Reader({})
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, number, _ = shared.value
+        open_ = {w for w, (known, meant, _) in core.items() if not known and meant and len(meant) > 1}
         for b in batches:
-            ids, words_ = [], []
+            ids, words_, beside = [], [], []
             for cid, title, chapter, first, last, text in zip(*(b.column(k).to_pylist() for k in range(6))):
                 lines = text.split("\n")
-                for w in _lookups(lines, reader.furniture(lines, title, chapter, first, last)):
-                    if w not in shared.value[0]:
+                kinds = reader.furniture(lines, title, chapter, first, last)
+                asked = {w for w in _lookups(lines, kinds) if w not in core or w in open_}
+                if not asked:
+                    continue
+                flow = [clean_word(token) for line, kind in zip(lines, kinds) if not kind for token in line.split()]
+                near: dict[str, set[str]] = defaultdict(set)
+                for at, w in enumerate(flow):
+                    if w in asked:
+                        near[w].update(x for x in (*flow[max(0, at - WINDOW) : at], *flow[at + 1 : at + 1 + WINDOW]) if x not in number and _is_word(x))
+                for w in asked:
+                    inside = w in core  # its entry is at hand, its candidates' vectors may not be
+                    others = near[w] | {m for m, _ in core[w][1] if m not in number} if inside else near[w]
+                    if others or not inside:
                         ids.append(cid)
-                        words_.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words_, pa.string())], ["chunk_id", "word"])
-
-    asked = scanned.mapInArrow(wanted, "chunk_id string, word string").join(table, "word")
-    entries = asked.groupBy("chunk_id").agg(F.collect_list(F.struct("word", "known", "meant", "n")).alias("more"))
-    joined = scanned.join(entries, "chunk_id", "left")
+                        words_.append(None if inside else w)
+                        beside.append(sorted(others))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words_, pa.string()), pa.array(beside, pa.list_(pa.string()))], ["chunk_id", "word", "near"])
+
+    asked = save_table(scanned.mapInArrow(wanted, "chunk_id string, word string, near array<string>").join(table, "word", "left").where("known is not null or word is null"), "asked")
+    entries = asked.where("word is not null").groupBy("chunk_id").agg(F.collect_list(F.struct("word", "known", "meant", "n")).alias("more"))
+    # words whose vectors a choice needs, as far as they have no place of their own: neighbours and candidates
+    choices = asked.where("word is null or not known and size(meant) > 1").select("chunk_id", F.explode(F.array_union("near", F.coalesce(F.col("meant.meant"), F.array().cast("array<string>")))).alias("word")).distinct()
+    own = _own_table(rare, choices.select("word").distinct(), shared)
+    told = choices.join(own, "word").groupBy("chunk_id").agg(F.collect_list(F.struct("word", "v", "u")).alias("told"))
+    joined = scanned.join(entries, "chunk_id", "left").join(told, "chunk_id", "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core, context = shared.value[0], Context(*shared.value[1:])
+        core, number, model = shared.value
         for b in batches:
             ids, nos, kinds, texts = [], [], [], []
-            for cid, title, chapter, first, last, text, more in zip(*(b.column(k).to_pylist() for k in range(7))):
+            for cid, title, chapter, first, last, text, more, told in zip(*(b.column(k).to_pylist() for k in range(8))):
                 own = _Layered(core, {e["word"]: _entry(e) for e in more or ()})
+                context = Context(number, model, {e["word"]: (np.frombuffer(e["v"], np.float32), np.frombuffer(e["u"], np.float32)) for e in told or ()})
                 cases, repaired = read_lines(text, title, chapter, first, last, own, context)
                 ids.append(cid)
                 nos.append([c[0] for c in cases])
@@ -464,7 +623,7 @@ def _read(chunks: DataFrame, pages: DataFrame) -> DataFrame:
                 texts.append(repaired)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(nos, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string())], ["chunk_id", "lines", "noises", "text"])
 
-    return joined.select("chunk_id", "title", "chapter", "page_start", "page_end", "text", "more").mapInArrow(read, "chunk_id string, lines array<int>, noises array<string>, text string")
+    return joined.select("chunk_id", "title", "chapter", "page_start", "page_end", "text", "more", "told").mapInArrow(read, "chunk_id string, lines array<int>, noises array<string>, text string")
 
 
 def _entry(r) -> tuple[bool, list[tuple[str, int]] | None, int]:

@@ -311,6 +311,51 @@ def test_a_misread_word_is_corrected_by_its_neighbours(spark):
     assert len(got) == 20 and all((farm.format("cow") if int(i[1:]) % 2 else ship.format("eow")) == t for i, t in got.items())
 
 
+def farm_and_ship(rng, extra):
+    """Clean texts of cows and eows, scanned ones of ``c0w``, and clean ones of ``extra`` words more frequent than these; (rows, pages, what is right)."""
+    farm, ship = "farmer milks brown {} behind barn", "sailor ties long {} around mast"
+    rows = [(f"c{i}", T0, "clean", "T", None, 1, 1, (farm.format("cow") if i % 2 else ship.format("eow")), None, None, None) for i in range(100)]
+    rows += [(f"o{i}", T0, "scan", "T", None, 1, 1, (farm if i % 2 else ship).format("c0w"), None, None, None) for i in range(20)]
+    words = [f"{a}{b}{c}n" for a in "bdgkt" for b in "aeou" for c in "bdfgjklmnprstvxz"]
+    words = [w + x for w in words for x in "aeo"][:extra]
+    rows += [(f"f{i}", T0, "clean", "T", None, 1, 1, " ".join(rng.sample(words, len(words))), None, None, None) for i in range(150)]
+    pages = [("scan", 1, "ocr", T0, "", ""), ("clean", 1, "markdown", T0, "", "")]
+    return rows, pages, {f"o{i}": (farm.format("cow") if i % 2 else ship.format("eow")) for i in range(20)}
+
+
+def test_neighbours_tell_however_many_words_are_more_frequent(spark):
+    """700 words are more frequent than all that tell cow from eow."""
+    rows, pages, want = farm_and_ship(random.Random(5), 700)
+    got = ocr_repair.repaired_texts(spark.createDataFrame(rows, SCANNED), spark.createDataFrame(pages, PAGES)).collect()
+    assert {r.chunk_id: r.text for r in got} == want
+
+
+@pytest.mark.parametrize("core", (ocr_repair.CORE, 20))
+def test_words_of_shared_places_have_their_own_vectors(spark, monkeypatch, core):
+    """None of the words told apart, nor of those that tell, is among the words trained together; with a small core their entries come by a join."""
+    for name, value in (("TRAINED", 30), ("SHARED", 4), ("CORE", core)):
+        monkeypatch.setattr(ocr_repair, name, value)
+    rows, pages, want = farm_and_ship(random.Random(5), 40)
+    got = ocr_repair.repaired_texts(spark.createDataFrame(rows, SCANNED), spark.createDataFrame(pages, PAGES)).collect()
+    assert {r.chunk_id: r.text for r in got} == want
+
+
+def test_neighbour_counts_hold_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(ocr_repair, "CELLS", 8)
+    rng = random.Random(8)
+    top, tail = ["the", "and", "of"], [f"word{c}" for c in "abcdefgh"]
+    texts = [" ".join(rng.choices([*top, *tail, "-", "Worda,"], k=30)) for _ in range(40)]
+    want, number = Counter(), {w: k for k, w in enumerate(top)}
+    for t in texts:
+        ws = [ocr_repair.clean_word(x) for x in t.split()]
+        for i, j in ((i, j) for i in range(30) for j in (i + 1, i + 2) if j < 30 and "-" not in (ws[i], ws[j])):
+            a, b = (ocr_repair.place(ws[x], number, 2) for x in (i, j))
+            want[None, min(a, b) * 5 + max(a, b)] += 1
+            want.update((ws[x], p) for x, p in ((i, b), (j, a)) if ws[x] in tail)
+    got = ocr_repair.neighbour_counts(spark.createDataFrame([(t,) for t in texts], "text string"), top, 2).collect()
+    assert {(r.word, r.cell): r.n for r in got} == want and len(got) == len(want)
+
+
 # Problem 8
 
 
